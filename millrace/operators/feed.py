@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.session import small_side
 
@@ -109,8 +110,8 @@ def list_sequences(shards: DataFrame, shuffle: str = "hash", spread: int | None
     n = spread or int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shards.repartition(n, "shard_id")
     if shuffle == "exact":
-        schema = rows.schema.add("seq_in_shard", "long").add("place", "long")
-        return rows.mapInPandas(_permuted, schema)
+        added = [T.StructField("seq_in_shard", T.LongType()), T.StructField("place", T.LongType())]
+        return rows.mapInPandas(_permuted, T.StructType(rows.schema.fields + added))
     listed = rows.filter(F.col("num_sequences") > 0).withColumn(
         "seq_in_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_sequences") - 1))
     )

@@ -1,0 +1,98 @@
+"""Streaming queries: run to the end of the input, then the stored result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millrace.operators.clean import measure
+from millrace.plans.documents import BATCH, KEPT, MEASURED, QUOTA, WORDS, raw_documents, scanned_sql
+from millrace.plans.logs import PROGRESS, STALL_SECONDS, progress_log
+from millrace.plans.mixture import plan_from_documents
+from millrace.plans.registry import query
+from millrace.session import materialize, scratch_path
+from millrace.sources.corpora import Corpus
+from millrace.streaming.ingest import (
+    cleaned_stream,
+    distinct_texts,
+    start_ingest,
+    stream_corpus,
+    text_hex,
+    use_rocksdb,
+)
+from millrace.streaming.quota import start_quota
+from millrace.streaming.stall import stall_warnings
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+FILES = 3
+
+
+def landed(spark, df, order: str, files: int = FILES) -> str:
+    """The table as a folder of files that arrive one after the other, by ranges of ``order``."""
+    path = scratch_path(spark, "landed")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    width = (high - low) / files
+    for i in range(files):
+        after = F.col(order) >= low + i * width
+        before = F.col(order) < low + (i + 1) * width if i + 1 < files else F.lit(True)
+        df.filter(after & before).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def document_stream(spark, sf_dir):
+    path = landed(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
+    corpus = Corpus("source", [path], seq="doc_id", schema=DOCUMENTS, domain_is_expr=True)
+    return stream_corpus(spark, corpus, files_per_trigger=1)
+
+
+def finish(query):
+    query.awaitTermination()
+
+
+@query(f"WITH {MEASURED} SELECT domain, doc_seq, n_tokens, md5(text_norm) AS text_md5 FROM m WHERE survivor")
+def stream_ingest(spark, sf_dir):
+    docs = cleaned_stream(document_stream(spark, sf_dir), WORDS)
+    out = scratch_path(spark, "ingested")
+    finish(start_ingest(docs, out, scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select(
+        "domain", "doc_seq", F.col("n_tokens").cast("long").alias("n_tokens"),
+        F.md5("text_norm").alias("text_md5"),
+    )
+
+
+@query(f"WITH {MEASURED} SELECT DISTINCT domain, sha256(text_norm) AS text_sha FROM m WHERE survivor")
+def stream_dedup(spark, sf_dir):
+    use_rocksdb(spark)
+    docs = distinct_texts(cleaned_stream(document_stream(spark, sf_dir), WORDS))
+    out = scratch_path(spark, "distinct")
+    finish(start_ingest(docs, out, scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select("domain", text_hex().alias("text_sha"))
+
+
+@query(f"WITH {scanned_sql(BATCH)} {KEPT}")
+def stream_quota(spark, sf_dir):
+    plan = materialize(plan_from_documents(raw_documents(spark, sf_dir), QUOTA, BATCH), "plan")
+    docs = measure(document_stream(spark, sf_dir), WORDS)
+    out, ledger = scratch_path(spark, "kept"), scratch_path(spark, "ledger")
+    finish(start_quota(docs, plan, out, ledger, scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out).select("domain", "doc_seq", "n_tokens")
+
+
+@query(f"""WITH RECURSIVE {PROGRESS},
+warned AS (
+  SELECT domain, total_tokens, last_gain, min(ts) AS warned_at FROM gains
+  WHERE ts - last_gain > {STALL_SECONDS} GROUP BY ALL
+  UNION ALL
+  SELECT domain, total_tokens, last_gain, warned_at FROM (
+    SELECT g.domain, g.total_tokens, g.last_gain, g.ts AS warned_at, w.warned_at AS before,
+      row_number() OVER (PARTITION BY g.domain, g.total_tokens ORDER BY g.ts) AS r
+    FROM warned w JOIN gains g USING (domain, total_tokens)
+    WHERE g.ts - w.warned_at > {STALL_SECONDS}) WHERE r = 1)
+SELECT domain, total_tokens, last_gain, warned_at FROM warned""")
+def stream_stalls(spark, sf_dir):
+    """All warnings of a pause, the timer starting again after each."""
+    log = materialize(progress_log(spark, sf_dir), "progress-log")
+    path = landed(spark, log, "ts")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "warnings")
+    finish(start_ingest(stall_warnings(stream, STALL_SECONDS), out, scratch_path(spark, "checkpoint")))
+    return spark.read.parquet(out)
