@@ -320,7 +320,7 @@ seqs AS (SELECT *, 42 + worker + 1000 * shard_id AS shard_seed,
                 unnest(range(num_sequences)) AS seq_in_shard FROM split),
 streamed AS (
   SELECT *, row_number() OVER (PARTITION BY rank, worker ORDER BY shard_id,
-      md5(concat_ws(':', shard_seed, shard_id, seq_in_shard)), seq_in_shard) - 1 AS place,
+      md5(concat_ws(':', shard_seed, shard_id, seq_in_shard)), seq_in_shard) - 1 AS nth,
     count(*) OVER (PARTITION BY rank, worker) AS n_worker FROM seqs),
 batched AS (
   SELECT rank, worker, shard_id, seq_in_shard, nth // {BATCH} AS batch_in_worker,
