@@ -18,13 +18,15 @@ def clean(
 
     Null and missing texts fail the first test.  ``text`` is replaced by
     ``text_norm``.  The cheap raw-length test stands first so that the regex
-    runs on survivors of it only.
+    runs on survivors of it only.  The regex is the input of a generator
+    (``stack`` of one row): the optimizer would copy a projected expression into
+    the second filter and run it twice.
     """
+    others = [c for c in docs.columns if c != text]
     return (
         docs.filter(F.length(text) >= min_chars)
-        .withColumn("text_norm", normalize_text(F.col(text), max_chars))
+        .select(*others, F.stack(F.lit(1), normalize_text(F.col(text), max_chars)).alias("text_norm"))
         .filter(F.length("text_norm") >= min_chars)
-        .drop(text)
     )
 
 

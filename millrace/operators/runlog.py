@@ -11,8 +11,9 @@ from millrace.operators.prefix import CHUNK_BITS, previous_row
 LINE = (
     r"^\[Rank(\d+)\]\s+(?:(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d),(\d{3})\s+\w+\s+)?"
     r"Step\s+(\d+)/(\d+) \| Loss (\S+) \| Aux (\S+) \| GradNorm (\S+) \| "
-    r"LR (\S+) \| (\S+)K tok/s \| (\S+)s/step"
+    r"LR (\S+) \| (\S+)K tok/s \| (\S+)s/step.*$"
 )
+N_FIELDS = 11
 
 # Ranges the documentation calls healthy.
 AUX_RANGE = (0.5, 1.5)
@@ -21,27 +22,34 @@ GRAD_NORM_CLIP = 1.0
 
 
 def parse_run_log(lines: DataFrame, text: str = "text") -> DataFrame:
-    """Typed columns of the step lines; other lines are dropped."""
+    """Typed columns of the step lines; other lines are dropped.
 
-    def part(i):
-        return F.regexp_extract(text, LINE, i)
+    One regex pass turns a line into its fields.  It is the input of a generator
+    so that the optimizer does not repeat it for every column taken from it.
+    """
+    others = [c for c in lines.columns if c != text]
+    row = F.concat_ws("\x1f", *[F.lit(f"${i + 1}") for i in range(N_FIELDS)])
+    fields = F.split(F.regexp_replace(F.col(text), F.lit(LINE), row), "\x1f")
+    split = lines.select(*others, F.stack(F.lit(1), fields).alias("_f")).filter(
+        F.size("_f") == N_FIELDS
+    )
 
-    def number(i):
-        return part(i).try_cast("double")
+    def field(i):
+        return F.col("_f")[i]
 
-    stamp = F.when(part(2) != "", F.concat(part(2), F.lit("."), part(3)))
-    return lines.filter(F.col(text).rlike(LINE)).select(
-        *[c for c in lines.columns if c != text],
-        part(1).cast("int").alias("rank"),
+    stamp = F.when(field(1) != "", F.concat(field(1), F.lit("."), field(2)))
+    return split.select(
+        *others,
+        field(0).cast("int").alias("rank"),
         stamp.try_cast("timestamp_ntz").alias("at"),
-        part(4).cast("long").alias("step"),
-        part(5).cast("long").alias("max_steps"),
-        number(6).alias("loss"),
-        number(7).alias("aux"),
-        number(8).alias("grad_norm"),
-        number(9).alias("lr"),
-        (number(10) * 1000).alias("tok_per_s"),
-        number(11).alias("s_per_step"),
+        field(3).cast("long").alias("step"),
+        field(4).cast("long").alias("max_steps"),
+        field(5).try_cast("double").alias("loss"),
+        field(6).try_cast("double").alias("aux"),
+        field(7).try_cast("double").alias("grad_norm"),
+        field(8).try_cast("double").alias("lr"),
+        (field(9).try_cast("double") * 1000).alias("tok_per_s"),
+        field(10).try_cast("double").alias("s_per_step"),
     )
 
 

@@ -21,7 +21,7 @@ from millrace.operators.progress import (
 from millrace.operators.quota import accounting, apply_quota, batch_sums
 from millrace.plans.mixture import plan_from_documents
 from millrace.plans.registry import query
-from millrace.session import materialize, scratch_path
+from millrace.session import materialize, scratch_path, spread
 from millrace.sources.corpora import Corpus, read_line_docs, scan_corpora, write_line_docs
 from millrace.sources.tokshard import open_fs
 
@@ -33,15 +33,22 @@ PROGRESS_TARGET = 1_000_000
 
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("source").alias("domain"), F.col("doc_id").alias("doc_seq"), "lang", "text"
     )
+    return spread(docs, "doc_seq")
 
 
 def cleaned(spark, sf_dir):
     return clean(raw_documents(spark, sf_dir))
 
 
+def stored_clean(spark, sf_dir):
+    """Cleaned and counted documents, stored: the state between collecting and the rest."""
+    docs = count_tokens(cleaned(spark, sf_dir), WORDS)
+    return materialize(docs.withColumn("n_tokens", F.col("n_tokens").cast("long")), "clean")
+
+
 def measured(spark, sf_dir):
     """The narrow table that budgets work on, stored."""
     return materialize(measure(raw_documents(spark, sf_dir).drop("lang"), WORDS), "measured")
@@ -290,22 +297,17 @@ def document_accounting(spark, sf_dir):
 SELECT domain, doc_seq, n_tokens FROM m WHERE survivor
 QUALIFY row_number() OVER (PARTITION BY domain, text_norm ORDER BY doc_seq) = 1""")
 def dedup_domain(spark, sf_dir):
-    docs = count_tokens(cleaned(spark, sf_dir), WORDS)
-    return dedup_exact(docs).select(
-        "domain", "doc_seq", F.col("n_tokens").cast("long").alias("n_tokens")
-    )
+    return dedup_exact(stored_clean(spark, sf_dir)).select("domain", "doc_seq", "n_tokens")
 
 
 @query(f"""WITH {MEASURED}
 SELECT domain, doc_seq, n_tokens FROM m WHERE survivor
 QUALIFY row_number() OVER (PARTITION BY text_norm ORDER BY plan_order, doc_seq) = 1""")
 def dedup_global(spark, sf_dir):
-    docs = count_tokens(cleaned(spark, sf_dir), WORDS).withColumn(
+    docs = stored_clean(spark, sf_dir).withColumn(
         "plan_order", F.regexp_extract("domain", r"(\d+)", 1).cast("int")
     )
-    return dedup_exact(docs, "global").select(
-        "domain", "doc_seq", F.col("n_tokens").cast("long").alias("n_tokens")
-    )
+    return dedup_exact(docs, "global").select("domain", "doc_seq", "n_tokens")
 
 
 def _kept(spark, sf_dir, batch, target=None, ledger=False):

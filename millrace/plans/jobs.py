@@ -111,7 +111,7 @@ def build_shards(
     per_shard: int = PER_SHARD,
     tail: str = "pad",
     framed: bool = True,
-    mode: str = "errorifexists",
+    mode: str = "append",
     **options,
 ) -> DataFrame:
     """Encodes line documents, packs them and writes shards; returns the shard plan."""
@@ -127,5 +127,5 @@ def build_shards(
     ).first()
     packed = pack(encoded, seq_len, framed, tail)
     assigned = assign_shards(packed, plan, totals["sources"], per_shard)
-    write_shards(assigned, out, totals["shards"] or 0, "overwrite" if mode == "overwrite" else "append", **options)
+    write_shards(assigned, out, totals["shards"] or 0, 4 * seq_len * per_shard, mode, **options)
     return plan

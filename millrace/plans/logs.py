@@ -13,12 +13,13 @@ from millrace.operators.runlog import (
     parse_run_log,
 )
 from millrace.plans.registry import query
+from millrace.session import spread
 
 TARGET = 50_000_000
 
 
 def events(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
 
 
 def micros(column="ts"):

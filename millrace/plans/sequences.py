@@ -39,8 +39,9 @@ WORLD, WORKERS, BATCH, ACCUMULATION, MAX_STEPS = 2, 4, 8, 4, 100
 
 
 def encoded(spark, sf_dir):
+    """Documents as token ids, stored: packing reads the lengths before the ids."""
     docs = encode(cleaned(spark, sf_dir), WORDS).withColumn("plan_order", plan_order())
-    return docs.drop("text_norm")
+    return materialize(docs.drop("text_norm"), "encoded")
 
 
 def plan_order():
@@ -51,27 +52,28 @@ def survivors(spark, sf_dir):
     return measured(spark, sf_dir).filter("survivor")
 
 
-def sequence_counts_of(spark, sf_dir, seq_len=SEQ_LEN):
-    counts = sequence_counts(survivors(spark, sf_dir), seq_len)
+def ordered_counts(docs):
+    counts = sequence_counts(docs, SEQ_LEN)
     return counts.withColumn(
         "source_order", F.regexp_extract("source", r"(\d+)", 1).cast("int")
     )
 
 
-def planned_shards(spark, sf_dir):
-    return materialize(shard_plan(sequence_counts_of(spark, sf_dir), PER_SHARD), "shard-plan")
+def planned_shards(docs):
+    return materialize(shard_plan(ordered_counts(docs), PER_SHARD), "shard-plan")
 
 
 def sharded(spark, sf_dir):
-    plan = planned_shards(spark, sf_dir)
-    packed = pack(encoded(spark, sf_dir), SEQ_LEN)
+    docs = encoded(spark, sf_dir)
+    plan = planned_shards(docs)
+    packed = pack(docs, SEQ_LEN)
     n_shards = plan.agg(F.sum(F.ceil(F.col("n_sequences") / PER_SHARD))).first()[0]
     return assign_shards(packed, plan, plan.count(), PER_SHARD), n_shards
 
 
 def source_shards(spark, sf_dir):
     """One shard per source: its plan order is the shard id."""
-    return sequence_counts_of(spark, sf_dir).select(
+    return ordered_counts(survivors(spark, sf_dir)).select(
         F.col("source_order").alias("shard_id"), F.col("n_sequences").alias("num_sequences")
     )
 
@@ -232,7 +234,7 @@ def shard_corpus_stats(spark, sf_dir):
 def written_shards(spark, sf_dir):
     path = scratch_path(spark, "shards")
     rows, n_shards = sharded(spark, sf_dir)
-    write_shards(rows, path, n_shards)
+    write_shards(rows, path, n_shards, PER_SHARD * SEQ_LEN * 4)
     return path
 
 

@@ -53,3 +53,13 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     the bound the planner is left to choose a shuffled join.
     """
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rehashes an input that has fewer splits than the session has cores.
+
+    Such an input is at most a few files, and the work on its texts would
+    otherwise occupy a few cores only.  Larger inputs are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

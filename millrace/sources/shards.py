@@ -9,6 +9,7 @@ from millrace.operators.pack import HEADER_BYTES, out_of_range
 from millrace.sources.manifest import list_files, shard_triples
 from millrace.sources.tokshard import PREFIX, TokshardDataSource
 
+TASK_BYTES = 256 << 20
 META_SCHEMA = "num_sequences long, seq_length long, source string"
 
 
@@ -24,18 +25,23 @@ def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def write_shards(
-    sequences: DataFrame, path: str, n_shards: int, mode: str = "append", **options
+    sequences: DataFrame, path: str, n_shards: int, shard_bytes: int, mode: str = "append", **options
 ) -> None:
     """Writes ``(shard_id, seq_in_shard, tokens, num_sequences)`` as shard files.
 
-    Rows go straight to the partition with their shard's number, so every shard
-    is one task and no two hot shards fall together by hash.
+    Shard ids run from 0 to ``n_shards - 1``.  Rows go straight to the partition
+    of their shard, so that no two shards fall together by hash.  A task writes
+    one shard, or neighbouring ones as long as they stay below ``TASK_BYTES``.
     """
-    register(sequences.sparkSession)
+    spark = sequences.sparkSession
+    register(spark)
+    by_size = -(-n_shards * shard_bytes // TASK_BYTES)
+    tasks = max(1, min(n_shards, max(by_size, 2 * spark.sparkContext.defaultParallelism)))
     columns = ["shard_id", "seq_in_shard", "tokens", "num_sequences"]
+    task = F.floor(F.col("shard_id").cast("long") * tasks / max(1, n_shards)).cast("int")
     (
         sequences.select(*columns)
-        .repartitionById(max(1, n_shards), F.col("shard_id") % max(1, n_shards))
+        .repartitionById(tasks, task)
         .sortWithinPartitions("shard_id", "seq_in_shard")
         .write.format("tokshard")
         .options(**options)

@@ -7,8 +7,8 @@ sequence.  ``<name>.meta`` is JSON with the counts and the name.
 
 Options: ``magic`` (8 bytes, default ``MILLRACE``), ``prefix`` (file name prefix,
 default ``shard``), and on read ``part`` (``body``, ``index`` or ``header``),
-``wide`` (ids as bigint), ``rangeBytes`` (body bytes per input partition) and
-``tolerant`` (a shard that cannot be read gives no rows, for validation).
+``wide`` (ids as bigint), ``rangeBytes`` (most bytes per input partition),
+``minPartitions`` (small folders are cut into about that many) and ``tolerant`` (a shard that cannot be read gives no rows, for validation).
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ INDEX_ENTRY_BYTES = 12
 MAGIC = "MILLRACE"
 PREFIX = "shard"
 RANGE_BYTES = 128 << 20
+MIN_RANGE_BYTES = 64 << 10
+MIN_PARTITIONS = 16
 HEADERS_PER_TASK = 256
 BATCH_BYTES = 16 << 20
 
@@ -85,21 +87,37 @@ def list_shards(path: str, prefix: str) -> list[tuple[int, str, int]]:
 
 
 @dataclass
-class ShardRange(InputPartition):
+class ShardRange:
     """Slice ``part`` of ``parts`` equal slices of one shard."""
 
     shard_id: int
     stem: str
     size: int
-    part: int
-    parts: int
+    part: int = 0
+    parts: int = 1
 
 
 @dataclass
-class ShardGroup(InputPartition):
-    """A few shards of which only the header is read."""
+class ShardRanges(InputPartition):
+    """What one task reads: a slice of a large shard, or several small shards."""
 
-    shards: list
+    ranges: list
+
+
+def group_ranges(shards: list[tuple[int, str, int]], limit: int, cut: bool) -> list[ShardRanges]:
+    """Tasks of at most about ``limit`` bytes; shards beyond it are ``cut`` into slices."""
+    tasks, open_task, room = [], [], limit
+    for shard_id, stem, size in shards:
+        parts = max(1, -(-size // limit)) if cut else 1
+        if parts > 1:
+            tasks += [ShardRanges([ShardRange(shard_id, stem, size, k, parts)]) for k in range(parts)]
+            continue
+        if open_task and size > room:
+            tasks.append(ShardRanges(open_task))
+            open_task, room = [], limit
+        open_task.append(ShardRange(shard_id, stem, size))
+        room -= size
+    return tasks + ([ShardRanges(open_task)] if open_task else [])
 
 
 class TokshardDataSource(DataSource):
@@ -130,6 +148,7 @@ class TokshardReader(DataSourceReader):
         self.part = options.get("part", "body")
         self.wide = options.get("wide", "false").lower() == "true"
         self.tolerant = options.get("tolerant", "false").lower() == "true"
+        self.min_partitions = int(options.get("minPartitions", MIN_PARTITIONS))
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.magic = magic_bytes(options)
 
@@ -137,43 +156,34 @@ class TokshardReader(DataSourceReader):
         shards = list_shards(self.path, self.prefix)
         if not shards:
             raise FileNotFoundError(f"no shards {self.prefix}_*.bin in {self.path}")
-        if self.part == "header":
-            return [
-                ShardGroup(shards[i : i + HEADERS_PER_TASK])
-                for i in range(0, len(shards), HEADERS_PER_TASK)
-            ]
-        if self.part == "index":
-            return [ShardRange(n, stem, size, 0, 1) for n, stem, size in shards]
-        ranges = []
-        for n, stem, size in shards:
-            parts = max(1, -(-size // self.range_bytes))
-            ranges += [ShardRange(n, stem, size, k, parts) for k in range(parts)]
-        return ranges
+        # Indexes are much smaller than bodies, and of headers a task reads 36 bytes
+        # each, so those parts take more shards per task.
+        share = {"header": 1 / HEADERS_PER_TASK, "index": 1 / 64}.get(self.part, 1)
+        total = sum(size for _, _, size in shards)
+        limit = max(MIN_RANGE_BYTES, min(int(self.range_bytes / share), total // self.min_partitions))
+        return group_ranges(shards, limit, cut=self.part == "body")
 
     def read(self, partition):
         fs, _ = open_fs(self.path)
-        if self.part == "header":
-            yield from self._headers(fs, partition.shards)
-            return
-        rows = self._index if self.part == "index" else self._body
-        try:
-            yield from rows(fs, partition)
-        except (ValueError, OSError, struct.error):
-            if not self.tolerant:
-                raise
-
-    def _headers(self, fs, shards):
-        for shard_id, stem, size in shards:
-            with fs.open_input_file(stem + ".bin") as f:
-                raw = f.read(HEADER_BYTES)
-            if len(raw) == HEADER_BYTES:
-                magic, version, n, length, _ = struct.unpack(HEADER, raw)
-            else:
-                magic, version, n, length = raw[:8], None, None, None
-            yield (
-                shard_id, _base(stem), size, len(raw), magic == self.magic,
-                version, _signed(n), _signed(length),
-            )
+        rows = {"header": self._header, "index": self._index}.get(self.part, self._body)
+        for piece in partition.ranges:
+            try:
+                yield from rows(fs, piece)
+            except (ValueError, OSError, struct.error):
+                if not self.tolerant:
+                    raise
+
+    def _header(self, fs, p):
+        with fs.open_input_file(p.stem + ".bin") as f:
+            raw = f.read(HEADER_BYTES)
+        if len(raw) == HEADER_BYTES:
+            magic, version, n, length, _ = struct.unpack(HEADER, raw)
+        else:
+            magic, version, n, length = raw[:8], None, None, None
+        yield (
+            p.shard_id, _base(p.stem), p.size, len(raw), magic == self.magic,
+            version, _signed(n), _signed(length),
+        )
 
     def _index(self, fs, p):
         with fs.open_input_file(p.stem + ".idx") as f:
