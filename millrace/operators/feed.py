@@ -11,13 +11,10 @@ shard, so the sequences themselves are only ever grouped by shard.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.session import small_side
 
@@ -109,10 +106,13 @@ def list_sequences(shards: DataFrame, shuffle: str = "hash", spread: int | None
     """
     n = spread or int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = shards.repartition(n, "shard_id")
+    filled = rows.filter(F.col("num_sequences") > 0)
     if shuffle == "exact":
-        added = [T.StructField("seq_in_shard", T.LongType()), T.StructField("place", T.LongType())]
-        return rows.mapInPandas(_permuted, T.StructType(rows.schema.fields + added))
-    listed = rows.filter(F.col("num_sequences") > 0).withColumn(
+        order = permutation(F.col("num_sequences"), F.col("shard_seed"))
+        return filled.withColumn("_order", order).select(
+            *shards.columns, F.posexplode("_order").alias("place", "seq_in_shard")
+        )
+    listed = filled.withColumn(
         "seq_in_shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("num_sequences") - 1))
     )
     if shuffle == "hash":
@@ -120,15 +120,19 @@ def list_sequences(shards: DataFrame, shuffle: str = "hash", spread: int | None
     return listed.withColumn("place", F.col("seq_in_shard"))
 
 
-def _permuted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for shards in batches:
-        for row in shards.to_dict("records"):
-            order = list(range(row["num_sequences"]))
-            np.random.default_rng(row["shard_seed"]).shuffle(order)
-            out = pd.DataFrame({"seq_in_shard": order, "place": range(len(order))}, dtype="int64")
-            for name, value in row.items():
-                out[name] = [value] * len(out) if isinstance(value, (list, np.ndarray)) else value
-            yield out[[*shards.columns, "seq_in_shard", "place"]]
+def permutation(n: Column, seed: Column) -> Column:
+    """``0 .. n-1`` as the NumPy generator of that seed shuffles it; one array per shard."""
+
+    @F.pandas_udf("array<long>")
+    def shuffled(sizes: pd.Series, seeds: pd.Series) -> pd.Series:
+        orders = []
+        for size, start in zip(sizes, seeds, strict=True):
+            order = list(range(size))
+            np.random.default_rng(start).shuffle(order)
+            orders.append(order)
+        return pd.Series(orders, dtype="object")
+
+    return shuffled.asNondeterministic()(n, seed)
 
 
 def batch_in_rank(batch_in_worker: Column, worker: Column, sizes: Column) -> Column:

@@ -17,7 +17,7 @@ def with_doc_seq(
     partitions: int | None = None,
     out: str = "doc_seq",
 ) -> DataFrame:
-    """Numbers the rows of each group 0, 1, 2, … in the order of ``keys``.
+    """Numbers the rows of each group 0, 1, 2, ... in the order of ``keys``.
 
     The rows are range-partitioned on ``(group, keys)``, sorted, and written
     with their partition number and place, so both are fixed from then on.  What

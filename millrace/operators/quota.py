@@ -128,17 +128,10 @@ def batch_sums(
 
 def _with_progress(plan, ledger):
     if ledger is None:
-        ledger_cols = {}
         state = plan
     else:
-        ledger_cols = set(ledger.columns)
-        state = plan.join(
-            ledger.select(
-                "domain", *[c for c in ("done_tokens", "open_docs", "open_tokens") if c in ledger_cols]
-            ),
-            "domain",
-            "left",
-        )
+        known = [c for c in ("done_tokens", "open_docs", "open_tokens") if c in ledger.columns]
+        state = plan.join(ledger.select("domain", *known), "domain", "left")
     for c in ("done_tokens", "open_docs", "open_tokens"):
         have = F.coalesce(F.col(c), F.lit(0)) if c in state.columns else F.lit(0)
         state = state.withColumn(c, have.cast("long"))
@@ -148,14 +141,14 @@ def _with_progress(plan, ledger):
 
 
 def _chunk_index(measured, bits):
-    """Totals and running totals of fixed-width chunks of the order key, stored."""
+    """Totals and running totals of fixed-width chunks of the order key; the totals are stored."""
     sums = (
         measured.filter("survivor")
         .groupBy("domain", F.shiftright(F.col("doc_seq"), bits).alias("chunk"))
         .agg(F.count("*").alias("n"), F.sum("n_tokens").alias("w"))
     )
     sums = materialize(sums, "quota-chunks")
-    return materialize(running_totals(sums, ["domain"], "chunk", ["n", "w"], bits), "quota-index")
+    return running_totals(sums, ["domain"], "chunk", ["n", "w"], bits)
 
 
 def _cut(measured, chunks, wanted, rows, bits):
@@ -165,7 +158,7 @@ def _cut(measured, chunks, wanted, rows, bits):
     # A batch is kept whole, so the cut is the last document of the crossing batch.
     # Documents in the open batch shift the batch boundaries, and may have crossed already.
     place = F.when(F.col("need") <= F.col("open_tokens"), -1).otherwise(F.col("place"))
-    placed = active.join(crossing, "domain", "left").withColumn("place", place)
+    placed = active.join(small_side(crossing, rows), "domain", "left").withColumn("place", place)
     ends = placed.filter(F.col("place").isNotNull()).select(
         "domain",
         (
@@ -175,10 +168,11 @@ def _cut(measured, chunks, wanted, rows, bits):
         ).alias("last_place"),
     )
     found = _row_at_place(measured, chunks, ends, rows, bits)
-    totals = chunks.groupBy("domain").agg(F.sum("w").alias("_all"))
+    totals = chunks.join(small_side(wanted.select("domain"), rows), "domain", "left_semi")
+    totals = totals.groupBy("domain").agg(F.sum("w").alias("_all"))
     return (
-        wanted.join(found, "domain", "left")
-        .join(totals, "domain", "left")
+        wanted.join(small_side(found, rows), "domain", "left")
+        .join(small_side(totals, rows), "domain", "left")
         .withColumn(
             "added",
             F.when(F.col("need") <= 0, 0)
@@ -200,7 +194,11 @@ def _rows_of(measured, hot, bits):
 
 def _so_far():
     """Rows of the domain's one listed chunk up to the current one."""
-    return Window.partitionBy("domain").orderBy("doc_seq")
+    return (
+        Window.partitionBy("domain")
+        .orderBy("doc_seq")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
 
 
 def _place_of_weight(measured, chunks, active, rows, bits):

@@ -36,7 +36,7 @@ def start_quota(
 ) -> StreamingQuery:
     """Applies the plan's budgets to a stream of measured documents.
 
-    ``measured`` is ``(domain, doc_seq, survivor, n_tokens, …)``; the documents
+    ``measured`` is ``(domain, doc_seq, survivor, n_tokens, ...)``; the documents
     of a domain must arrive in ``doc_seq`` order from one micro-batch to the next.
     """
 
