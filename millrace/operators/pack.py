@@ -91,7 +91,8 @@ def pack(
             "ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
         ).alias("piece"),
     )
-    joined = pieces.groupBy("source", "seq").agg(
+    # Pieces of one sequence seldom meet in a map task, so they are not combined there.
+    joined = pieces.repartition("source", "seq").groupBy("source", "seq").agg(
         F.array_sort(F.collect_list(F.struct("low", "piece"))).alias("parts")
     ).select(
         "source",

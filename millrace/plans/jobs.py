@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.errors import PySparkException
@@ -31,6 +32,8 @@ from millrace.sources.corpora import (
 )
 from millrace.sources.shards import write_shards
 
+SLICE_WIDTH = 10_000_000
+
 
 def collect(
     spark: SparkSession,
@@ -41,6 +44,7 @@ def collect(
     ledger_path: str,
     target: int | None = None,
     dedup: str | None = None,
+    slice_width: int = SLICE_WIDTH,
 ) -> DataFrame:
     """Reads, cleans, counts and cuts the corpora, and writes the kept documents as lines.
 
@@ -66,7 +70,11 @@ def collect(
             continue
         try:
             raw = skip_ingested(open_corpus(spark, corpus), state)
-            docs = materialize(measure(raw, tokenizer, keep_text=True), "counted")
+            if dedup:
+                docs = materialize(measure(raw, tokenizer, keep_text=True), "counted")
+            else:
+                row = plan.filter(F.col("domain") == corpus.domain)
+                docs = read_until_full(raw, row, state, tokenizer, slice_width)
             counted.append(docs)
             status.append((corpus.domain, "ok", None))
         except PySparkException as e:
@@ -86,11 +94,44 @@ def collect(
         docs.select("domain", "doc_seq", "survivor", "n_tokens"), plan, target, state
     )
     scanned = within_cut(docs, cuts, len(domains))
-    write_line_docs(scanned.filter("n_tokens > 0"), f"{out}/run={run}", mode="overwrite")
+    folder = f"{out}/run={run:06d}"
+    write_line_docs(scanned.filter("n_tokens > 0"), folder, mode="overwrite", ordered=True)
     append_ledger(_ledger_rows(scanned, time.time()), ledger_path, run)
     return statuses
 
 
+def read_until_full(
+    raw: DataFrame, plan: DataFrame, state: DataFrame, tokenizer, width: int = SLICE_WIDTH
+) -> DataFrame:
+    """The measured beginning of a domain, long enough to hold its cut.
+
+    Slices of consecutive ``doc_seq`` values are read until the budget's cut lies
+    within what was read or the domain ends, so a corpus far larger than its
+    budget is not read whole.  Slices grow with the number of tokens that are
+    missing.  Documents after the cut cannot be part of the result, so nothing is
+    lost.  ``plan`` has the domain's one row.
+    """
+    low, top = raw.agg(F.min("doc_seq"), F.max("doc_seq")).first()
+    if low is None:
+        return measure(raw, tokenizer, keep_text=True)
+    start, docs = low, None
+    while True:
+        inside = (F.col("doc_seq") >= low) & (F.col("doc_seq") < low + width)
+        part = materialize(measure(raw.filter(inside), tokenizer, keep_text=True), "counted")
+        docs = part if docs is None else docs.unionByName(part)
+        low += width
+        if low > top:
+            return docs
+        narrow = docs.select("domain", "doc_seq", "survivor", "n_tokens")
+        cut = quota_cuts(narrow, plan, ledger=state).first()
+        if cut["need"] <= 0 or cut["cut_seq"] is not None:
+            return docs
+        missing = cut["need"] - cut["added"]
+        per_place = cut["added"] / (low - start)
+        wanted = math.ceil(1.1 * missing / per_place) if per_place else 8 * width
+        width = max(width, min(wanted, 8 * width))
+
+
 def _ledger_rows(scanned, now):
     return scanned.groupBy("domain").agg(
         F.sum("n_tokens").alias("tokens_added"),

@@ -16,15 +16,21 @@ def scratch_root(spark: SparkSession) -> str:
     its own.  On a cluster a machine-local folder would be lost with its
     machine, so a missing setting is an error there.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_roots.get(_app(spark))
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        root = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_roots.setdefault(_app(spark), tempfile.mkdtemp(prefix="millrace-"))
     return root.rstrip("/")
 
 
+_local_roots: dict[str, str] = {}
+
+
+def _app(spark: SparkSession) -> str:
+    return spark.conf.get("spark.app.id", "")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the scratch folder that no earlier call has returned."""
     return f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"

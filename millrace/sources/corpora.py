@@ -6,12 +6,11 @@ import dataclasses
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.order import with_doc_seq
-from millrace.session import materialize
+from millrace.session import materialize, small_side
 
 
 @dataclasses.dataclass(frozen=True)
@@ -100,14 +99,18 @@ def scan_corpora(
 
 def write_line_docs(
     docs: DataFrame, path: str, text: str = "text_norm", mode: str = "append",
-    max_records: int = 0,
+    max_records: int = 0, ordered: bool = False,
 ) -> None:
     """One document per line, one folder per domain.
 
     Cleaned text holds no line break, so a line is a document.  ``max_records``
-    limits the lines per file.  No shuffle: every task appends files to the
-    folders of the domains it has seen.
+    limits the lines per file.  Every task appends files to the folders of the
+    domains it has seen, without a shuffle; with ``ordered`` the documents are
+    first range-partitioned and sorted, so that the lines of a domain's files, in
+    name order, are in ``doc_seq`` order.
     """
+    if ordered:
+        docs = docs.repartitionByRange("domain", "doc_seq").sortWithinPartitions("domain", "doc_seq")
     (
         docs.select("domain", F.col(text).alias("value"))
         .write.mode(mode)
@@ -121,9 +124,11 @@ def read_line_docs(spark: SparkSession, path: str, ordered: bool = False) -> Dat
     """``(domain, text)`` of line documents.
 
     The domain is the ``domain=`` folder, or the name of a ``.txt`` file.  With
-    ``ordered`` the documents get a ``doc_seq`` by file and place in it.  Line
-    places are taken from one scan and stored, since they are not part of the
-    data.
+    ``ordered`` the documents get a dense ``doc_seq`` by file and line.  Lines
+    are numbered as they are scanned and stored with the number, since it is not
+    part of the data; within a file block the numbers are consecutive, so only
+    the blocks (one row each) need to be put in order, and no text is shuffled
+    unless there are very many blocks.
     """
     where = F.col("_metadata.file_path")
     by_folder = F.regexp_extract(where, r"/domain=([^/]*)/[^/]*$", 1)
@@ -136,12 +141,34 @@ def read_line_docs(spark: SparkSession, path: str, ordered: bool = False) -> Dat
     domain = F.when(by_folder != "", by_folder).otherwise(by_file)
     if not ordered:
         return lines.select(domain.alias("domain"), F.col("value").alias("text"))
-    placed = lines.select(
-        domain.alias("domain"),
-        F.col("value").alias("text"),
-        where.alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_line"),
+    placed = materialize(
+        lines.select(
+            domain.alias("domain"),
+            F.col("value").alias("text"),
+            where.alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_line"),
+        ),
+        "lines",
+    )
+    blocks = materialize(
+        placed.groupBy("domain", "_file", "_block").agg(
+            F.count("*").alias("_n"), F.min("_line").alias("_first")
+        ),
+        "line-blocks",
+    )
+    earlier = (
+        Window.partitionBy("domain")
+        .orderBy("_file", "_block")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    shifts = blocks.select(
+        "domain",
+        "_file",
+        "_block",
+        (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+    )
+    return (
+        placed.join(small_side(shifts, blocks.count()), ["domain", "_file", "_block"])
+        .select("domain", "text", (F.col("_line") + F.col("_shift")).alias("doc_seq"))
     )
-    keys = ["_file", "_block", "_line"]
-    return with_doc_seq(materialize(placed, "lines"), keys).drop(*keys)

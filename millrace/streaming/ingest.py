@@ -30,16 +30,35 @@ def stream_corpus(
 
 
 def cleaned_stream(raw: DataFrame, tokenizer) -> DataFrame:
-    """The batch operators, which are all per document, on a stream."""
+    """Clean, count and drop what has no tokens: all per document, batch or stream."""
     return drop_uncounted(count_tokens(clean(raw), tokenizer))
 
 
-def start_ingest(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes a document stream to parquet, exactly once, until the input ends."""
+def ingest(
+    spark: SparkSession, corpus: Corpus, tokenizer, mode: str = "batch",
+    files_per_trigger: int | None = None,
+) -> DataFrame:
+    """Cleaned and counted documents of a corpus, as a table or as a stream."""
+    if mode == "batch":
+        return cleaned_stream(open_corpus(spark, corpus), tokenizer)
+    if mode == "stream":
+        return cleaned_stream(stream_corpus(spark, corpus, files_per_trigger), tokenizer)
+    raise ValueError(f"mode must be 'batch' or 'stream', not {mode!r}")
+
+
+def start_ingest(
+    docs: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Writes a document stream to parquet, exactly once.
+
+    Runs until the input ends, or for good with a micro-batch ``every`` interval
+    (such as ``"120 seconds"``), which is then the cadence of snapshots.
+    """
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
         docs.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(path)
     )
 

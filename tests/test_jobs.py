@@ -10,7 +10,7 @@ from millrace.operators.clean import measure
 from millrace.operators.ledger import load_ledger, read_ledger
 from millrace.operators.pack import pack
 from millrace.operators.quota import apply_quota
-from millrace.plans.jobs import build_shards, collect
+from millrace.plans.jobs import build_shards, collect, read_until_full
 from millrace.plans.mixture import Domain, mixture_plan
 from millrace.sources.corpora import (
     Corpus,
@@ -54,6 +54,21 @@ def sources(spark, tmp_path):
     return catalog, domains
 
 
+def test_reading_stops_behind_the_cut(spark, sources):
+    catalog, domains = sources
+    plan = mixture_plan(spark, [Domain("web", 1_000)]).withColumn("batch", F.lit(4))
+    state = load_ledger(plan, read_ledger(spark, "/nowhere"))
+    raw = open_corpus(spark, catalog[0])
+    part = read_until_full(raw, plan, state, WORDS, width=3)
+    table = measure(raw, WORDS)
+    whole = apply_quota(table, table, plan).select("domain", "doc_seq", "n_tokens").collect()
+    from_part = apply_quota(part, part.drop("text_norm"), plan).select("domain", "doc_seq", "n_tokens")
+    assert sorted(from_part.collect()) == sorted(whole)
+    assert part.count() < 80
+    everything = plan.withColumn("quota", F.lit(10**9))
+    assert read_until_full(raw, everything, state, WORDS, width=3).count() == 80
+
+
 def lines(spark, out):
     return sorted(tuple(r) for r in read_line_docs(spark, out).select("domain", "text").collect())
 
@@ -71,6 +86,10 @@ def test_collect_isolates_failures_and_resumes(spark, sources, tmp_path):
     expected = sorted(tuple(r) for r in kept.select("domain", "text_norm").collect())
     assert lines(spark, out) == expected
 
+    in_order = read_line_docs(spark, out, ordered=True).orderBy("domain", "doc_seq")
+    by_seq = kept.orderBy("domain", "doc_seq").select("domain", "text_norm").collect()
+    assert [tuple(r) for r in in_order.select("domain", "text").collect()] == [tuple(r) for r in by_seq]
+
     done = {r["domain"]: r["done_tokens"] for r in load_ledger(plan, read_ledger(spark, ledger)).collect()}
     totals = {r["domain"]: r["t"] for r in kept.groupBy("domain").agg(F.sum("n_tokens").alias("t")).collect()}
     assert done == {**totals, "lost": 0}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.tokenizers import WordTokenizer
-from millrace.operators.clean import clean, count_tokens, measure
+from millrace.operators.clean import clean, measure
 from millrace.operators.quota import apply_quota
 from millrace.plans.streams import landed
 from millrace.sources.corpora import Corpus
@@ -14,6 +14,7 @@ from millrace.streaming import quota as stream_quota
 from millrace.streaming.ingest import (
     cleaned_stream,
     distinct_texts,
+    ingest,
     start_ingest,
     stream_corpus,
 )
@@ -43,10 +44,12 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     for low, high in ((0, 40), (40, 70), (70, 120)):
         land(documents(spark, low, high), source)
-        docs = cleaned_stream(stream_corpus(spark, corpus(source), 1), WORDS)
+        docs = ingest(spark, corpus(source), WORDS, "stream", 1)
         start_ingest(docs, out, check).awaitTermination()
     got = spark.read.parquet(out).select("domain", "doc_seq", "n_tokens").collect()
-    want = count_tokens(clean(documents(spark, 0, 120)), WORDS).select("domain", "doc_seq", "n_tokens").collect()
+    whole = ingest(spark, corpus(source), WORDS)
+    want = whole.select("domain", "doc_seq", "n_tokens").collect()
+    assert whole.count() == clean(documents(spark, 0, 120)).count()
     assert sorted(got) == sorted(want)
 
 
