@@ -46,9 +46,9 @@ def quota_cuts(
     state = _with_progress(plan, ledger)
 
     wanted = state.withColumn("need", F.col("quota") - F.col("done_tokens"))
-    own = _cut(measured, chunks, wanted, rows, bits)
+    own = materialize(_cut(measured, chunks, wanted, rows, bits), "quota-cuts")
     if target is None:
-        return materialize(own, "quota-cuts")
+        return own
 
     before = Window.orderBy("plan_order").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -60,7 +60,8 @@ def quota_cuts(
     ).withColumn(
         "_left", F.lit(target) - F.col("_elsewhere") - F.col("_earlier") - F.col("done_tokens")
     )
-    limited = limited.withColumn("_bound", F.col("_left") < F.col("need"))
+    bound = F.col("_left") < F.col("need")
+    limited = materialize(limited.withColumn("_bound", bound), "quota-limits")
     # Domains the target does not touch keep their cut; the others are cut again.
     again = _cut(
         measured,
@@ -141,14 +142,14 @@ def _with_progress(plan, ledger):
 
 
 def _chunk_index(measured, bits):
-    """Totals and running totals of fixed-width chunks of the order key; the totals are stored."""
+    """Totals and running totals of fixed-width chunks of the order key, stored."""
     sums = (
         measured.filter("survivor")
         .groupBy("domain", F.shiftright(F.col("doc_seq"), bits).alias("chunk"))
         .agg(F.count("*").alias("n"), F.sum("n_tokens").alias("w"))
     )
     sums = materialize(sums, "quota-chunks")
-    return running_totals(sums, ["domain"], "chunk", ["n", "w"], bits)
+    return materialize(running_totals(sums, ["domain"], "chunk", ["n", "w"], bits), "quota-index")
 
 
 def _cut(measured, chunks, wanted, rows, bits):

@@ -115,7 +115,9 @@ def validate_shards(
         .join(headers, "shard")
         .join(metas, "shard", "left")
     )
-    base = base.join(_index_facts(spark, path, base, options), "shard", "left")
+    base = base.join(_index_facts(spark, path, headers, options), "shard", "left")
+    if vocab_size is not None:
+        base = base.join(_id_facts(spark, path, vocab_size, options), "shard", "left")
     expected = HEADER_BYTES + 4 * F.col("num_sequences") * F.col("seq_length")
     checks = {
         "magic": F.col("magic_ok"),
@@ -128,26 +130,28 @@ def validate_shards(
         & (F.col("num_sequences") == F.col("meta_n"))
         & (F.col("seq_length") == F.col("meta_length")),
     }
-    table = base.select(
+    if vocab_size is not None:
+        none = F.lit(0)
+        checks["id_range"] = (F.coalesce("bad_ids", none) == 0) & (
+            F.coalesce("rows_read", none) == F.col("num_sequences")
+        )
+    return base.select(
         "shard",
-        F.explode(
+        F.inline(
             F.array(
                 *[
                     F.struct(F.lit(r).alias("rule"), F.coalesce(c, F.lit(False)).alias("ok"))
                     for r, c in checks.items()
                 ]
             )
-        ).alias("c"),
-    ).select("shard", "c.rule", "c.ok")
-    if vocab_size is None:
-        return table
-    return table.unionByName(_id_range(spark, path, base, vocab_size, options))
+        ),
+    )
 
 
-def _index_facts(spark, path, base, options):
+def _index_facts(spark, path, headers, options):
     """Per shard: announced and real number of entries, and entries in the wrong place."""
     entries = read_shards(spark, path, part="index", tolerant="true", **options)
-    lengths = base.select("shard", "seq_length")
+    lengths = headers.select("shard", "seq_length")
     wrong = (
         F.col("offset") != HEADER_BYTES + 4 * F.col("seq_length") * F.col("seq_in_shard")
     ) | (F.col("length") != F.col("seq_length"))
@@ -162,25 +166,16 @@ def _index_facts(spark, path, base, options):
     )
 
 
-def _id_range(spark, path, base, vocab_size, options):
-    """Rule ``id_range``: all sequences could be read and hold known ids only.
+def _id_facts(spark, path, vocab_size, options):
+    """Per shard: sequences that could be read and ids outside the vocabulary.
 
     The body is read as bigint so that ids from 2**31 show.
     """
-    seen = (
+    return (
         read_shards(spark, path, wide="true", tolerant="true", **options)
         .groupBy("shard")
         .agg(
-            F.sum(out_of_range(F.col("tokens"), vocab_size)).alias("_bad"),
-            F.count("*").alias("_rows"),
+            F.sum(out_of_range(F.col("tokens"), vocab_size)).alias("bad_ids"),
+            F.count("*").alias("rows_read"),
         )
     )
-    return base.select("shard", "num_sequences").join(seen, "shard", "left").select(
-        "shard",
-        F.lit("id_range").alias("rule"),
-        F.coalesce(
-            (F.coalesce("_bad", F.lit(0)) == 0)
-            & (F.coalesce("_rows", F.lit(0)) == F.col("num_sequences")),
-            F.lit(False),
-        ).alias("ok"),
-    )
