@@ -146,12 +146,12 @@ def clean_documents(spark, sf_dir):
 
 
 @query(f"""WITH {RAW}
-SELECT domain, doc_seq, md5(trim(regexp_replace(substr(text, 1, 100), '{BLANKS}', ' ', 'g'))) AS text_md5
+SELECT domain, doc_seq, md5(trim(regexp_replace(substr(text, 1, 200000), '{BLANKS}', ' ', 'g'))) AS text_md5
 FROM raw""")
-def truncate_normalize(spark, sf_dir):
-    """Normalisation alone, with a truncation that binds for most documents."""
+def normalize_documents(spark, sf_dir):
+    """Normalisation alone, without the length rules."""
     return raw_documents(spark, sf_dir).select(
-        "domain", "doc_seq", F.md5(normalize_text(F.col("text"), 100)).alias("text_md5")
+        "domain", "doc_seq", F.md5(normalize_text(F.col("text"))).alias("text_md5")
     )
 
 

@@ -51,8 +51,10 @@ def collect(
     Goes on where the ledger stands: complete domains are not read, and read
     documents are not read again.  A domain that fails is reported in the
     returned status table and the others go on.  ``dedup`` may be ``domain`` or
-    ``global``.  The run's documents and its ledger rows go to one folder per run
-    number, the ledger last, so a run that died half-way is repeated whole.
+    ``global`` and applies to the documents of this run, before the budgets.
+
+    The run's documents and its ledger rows go to one folder per run number, the
+    ledger last, so a run that died half-way is repeated whole.
     """
     plan = mixture_plan(spark, domains)
     history = read_ledger(spark, ledger_path)

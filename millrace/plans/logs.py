@@ -32,7 +32,7 @@ MICROS = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))"
 
 
 def run_log_lines(spark, sf_dir):
-    """A printed line per event, with every hundredth line broken off."""
+    """A printed line per event, broken off where the event's value is below one."""
     i = F.col("event_id")
     line = F.format_string(
         "[Rank%d] %s,%s INFO Step %6d/%d | Loss %.4f | Aux %.4f | GradNorm %.2f | LR %.2e | "
@@ -50,7 +50,7 @@ def run_log_lines(spark, sf_dir):
         (i % 300) / 10.0,
     )
     return events(spark, sf_dir).select(
-        F.when(i % 100 == 99, F.substring(line, 1, 60)).otherwise(line).alias("text")
+        F.when(F.col("value") < 1, F.substring(line, 1, 60)).otherwise(line).alias("text")
     )
 
 
@@ -64,7 +64,7 @@ LOG = """log AS (
     CAST(concat(event_id % 900 + 100, 'e-6') AS DOUBLE) AS lr,
     (event_id % 500) / 10.0::DOUBLE * 1000 AS tok_per_s,
     (event_id % 300) / 10.0::DOUBLE AS s_per_step
-  FROM events WHERE event_id % 100 <> 99)"""
+  FROM events WHERE value >= 1)"""
 
 
 @query(f"WITH {LOG} SELECT * FROM log")

@@ -35,7 +35,7 @@ from millrace.sources.shards import read_shards, shard_catalog, validate_shards,
 SEQ_LEN = 256
 LONG_LEN = 2_048
 PER_SHARD = 50
-WORLD, WORKERS, BATCH, ACCUMULATION, MAX_STEPS = 2, 4, 8, 4, 100
+WORLD, WORKERS, BATCH, ACCUMULATION, EPOCHS = 2, 4, 8, 4, 2
 
 
 def encoded(spark, sf_dir):
@@ -333,7 +333,9 @@ feed AS (
     AS batch_in_rank FROM batched)"""
 STEPS = f"""{FEED},
 sizes AS (SELECT rank, max(batch_in_rank) + 1 AS n_batches FROM feed GROUP BY rank),
-micro AS (SELECT rank, n_batches, unnest(range({MAX_STEPS * ACCUMULATION})) AS ordinal FROM sizes),
+micro AS (
+  SELECT rank, n_batches, unnest(range({EPOCHS} * (SELECT max(n_batches) FROM sizes)
+    // {ACCUMULATION} * {ACCUMULATION})) AS ordinal FROM sizes),
 steps AS (
   SELECT rank, ordinal, ordinal // {ACCUMULATION} + 1 AS step,
          CAST(ordinal % {ACCUMULATION} AS INTEGER) AS micro, ordinal // n_batches AS epoch,
@@ -382,8 +384,10 @@ def batch_plan(spark, sf_dir):
 
 
 def _steps(spark, sf_dir):
+    """As many whole steps as two epochs of the longest rank hold."""
     batches = materialize(batches_per_rank(source_shards(spark, sf_dir), WORLD, WORKERS, BATCH), "batches")
-    return step_plan(batches, WORLD, MAX_STEPS, ACCUMULATION)
+    longest = batches.agg(F.max("n_batches")).first()[0]
+    return step_plan(batches, WORLD, EPOCHS * longest // ACCUMULATION, ACCUMULATION)
 
 
 @query(f"WITH {STEPS} SELECT * FROM steps")

@@ -115,7 +115,7 @@ def validate_shards(
         .join(headers, "shard")
         .join(metas, "shard", "left")
     )
-    base = base.join(_index_facts(spark, path, headers, options), "shard", "left")
+    base = base.join(_index_facts(spark, path, options), "shard", "left")
     if vocab_size is not None:
         base = base.join(_id_facts(spark, path, vocab_size, options), "shard", "left")
     expected = HEADER_BYTES + 4 * F.col("num_sequences") * F.col("seq_length")
@@ -125,7 +125,9 @@ def validate_shards(
         "index_present": F.col("has_index"),
         "meta_present": F.col("has_meta"),
         "file_size": F.col("file_bytes") == expected,
-        "index_entries": (F.col("entries") == F.col("index_n")) & (F.col("bad_entries") == 0),
+        "index_entries": (F.col("entries") == F.col("index_n"))
+        & (F.col("bad_entries") == 0)
+        & (F.col("index_length") == F.col("seq_length")),
         "counts_agree": (F.col("num_sequences") == F.col("index_n"))
         & (F.col("num_sequences") == F.col("meta_n"))
         & (F.col("seq_length") == F.col("meta_length")),
@@ -148,20 +150,24 @@ def validate_shards(
     )
 
 
-def _index_facts(spark, path, headers, options):
-    """Per shard: announced and real number of entries, and entries in the wrong place."""
-    entries = read_shards(spark, path, part="index", tolerant="true", **options)
-    lengths = headers.select("shard", "seq_length")
-    wrong = (
-        F.col("offset") != HEADER_BYTES + 4 * F.col("seq_length") * F.col("seq_in_shard")
-    ) | (F.col("length") != F.col("seq_length"))
+def _index_facts(spark, path, options):
+    """Per shard: what the index says, its entries, and entries in the wrong place.
+
+    Entries are judged by the index's own sequence length, so they are reduced
+    to a row per shard in the task that reads them.
+    """
+    length = F.col("index_seq_length")
+    wrong = (F.col("offset") != HEADER_BYTES + 4 * length * F.col("seq_in_shard")) | (
+        F.col("length") != length
+    )
     return (
-        entries.join(lengths, "shard")
+        read_shards(spark, path, part="index", tolerant="true", **options)
         .groupBy("shard")
         .agg(
             F.max("index_n").alias("index_n"),
+            F.max(length).alias("index_length"),
             F.count("*").alias("entries"),
-            F.count_if(F.coalesce(wrong, F.lit(True))).alias("bad_entries"),
+            F.count_if(wrong).alias("bad_entries"),
         )
     )
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,7 @@ MIN_RANGE_BYTES = 64 << 10
 MIN_PARTITIONS = 16
 HEADERS_PER_TASK = 256
 BATCH_BYTES = 16 << 20
+RENAMES_AT_ONCE = 16
 
 BODY_SCHEMA = "shard_id int, shard string, seq_in_shard bigint, tokens array<{ids}>"
 INDEX_SCHEMA = (
@@ -333,9 +335,13 @@ class TokshardWriter(DataSourceArrowWriter):
                     if fs.get_file_info(stem + suffix).type != pafs.FileType.NotFound:
                         fs.delete_file(stem + suffix)
         # The .bin file is what readers look for, so it is published last.
-        for name, folder in written:
+        def publish(entry):
+            name, folder = entry
             for suffix in (".meta", ".idx", ".bin"):
                 fs.move(f"{folder}/{name}{suffix}", f"{root}/{name}{suffix}")
+
+        with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
+            list(pool.map(publish, written))
         self._drop_staging(fs, root)
 
     def abort(self, messages):

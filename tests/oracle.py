@@ -30,6 +30,11 @@ def _rows(columns, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+}
+
+
 def compare(df, con, sql: str) -> tuple[int, list[str]]:
     """Row count and a list of differences (empty if equal)."""
     got_rows = [tuple(r) for r in df.collect()]
@@ -37,6 +42,9 @@ def compare(df, con, sql: str) -> tuple[int, list[str]]:
     want_columns = result.columns
     if sorted(df.columns) != sorted(want_columns):
         return len(got_rows), [f"columns {sorted(df.columns)} != {sorted(want_columns)}"]
+    want_types = {c: TYPES.get(str(t)) for c, t in zip(want_columns, result.types, strict=True)}
+    if dict(df.dtypes) != want_types:
+        return len(got_rows), [f"types {sorted(set(df.dtypes) ^ set(want_types.items()))}"]
     got = _rows(df.columns, got_rows)
     want = _rows(want_columns, result.fetchall())
     if len(got) != len(want):
