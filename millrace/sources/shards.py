@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.pack import HEADER_BYTES, out_of_range
 from millrace.sources.manifest import list_files, shard_triples
-from millrace.sources.tokshard import PREFIX, TokshardDataSource
+from millrace.sources.tokshard import DIGITS, PREFIX, TokshardDataSource
 
 TASK_BYTES = 256 << 20
 META_SCHEMA = "num_sequences long, seq_length long, source string"
@@ -44,7 +44,7 @@ def write_shards(
         .repartitionById(tasks, task)
         .sortWithinPartitions("shard_id", "seq_in_shard")
         .write.format("tokshard")
-        .options(**options)
+        .options(**{"digits": max(DIGITS, len(str(n_shards - 1))), **options})
         .mode(mode)
         .save(path)
     )

@@ -6,7 +6,8 @@ uint32.  ``<name>.idx`` has the two counts and one (offset, length) entry per
 sequence.  ``<name>.meta`` is JSON with the counts and the name.
 
 Options: ``magic`` (8 bytes, default ``MILLRACE``), ``prefix`` (file name prefix,
-default ``shard``), and on read ``part`` (``body``, ``index`` or ``header``),
+default ``shard``), on write ``digits`` (of the number in a name, default 3; enough
+of them keep name order and number order the same), and on read ``part`` (``body``, ``index`` or ``header``),
 ``wide`` (ids as bigint), ``rangeBytes`` (most bytes per input partition),
 ``minPartitions`` (small folders are cut into about that many) and ``tolerant`` (a shard that cannot be read gives no rows, for validation).
 """
@@ -42,6 +43,7 @@ INDEX_ENTRY_BYTES = 12
 
 MAGIC = "MILLRACE"
 PREFIX = "shard"
+DIGITS = 3
 RANGE_BYTES = 128 << 20
 MIN_RANGE_BYTES = 64 << 10
 MIN_PARTITIONS = 16
@@ -286,6 +288,7 @@ class TokshardWriter(DataSourceArrowWriter):
         self.path = options["path"]
         self.prefix = options.get("prefix", PREFIX)
         self.magic = magic_bytes(options)
+        self.digits = int(options.get("digits", DIGITS))
         self.overwrite = overwrite
         self.names = schema.names
         missing = {"shard_id", "seq_in_shard", "tokens", "num_sequences"} - set(self.names)
@@ -361,7 +364,7 @@ class _ShardFile:
         column = lambda rows, name: rows.column(writer.names.index(name))
         self._column = column
         self.shard_id = shard_id
-        self.name = f"{writer.prefix}_{shard_id:03d}"
+        self.name = f"{writer.prefix}_{shard_id:0{writer.digits}d}"
         self.fs, self.stem = fs, f"{folder}/{self.name}"
         self.expected = column(first_rows, "num_sequences")[0].as_py()
         self.length = len(column(first_rows, "tokens")[0])

@@ -130,6 +130,11 @@ def test_foreign_magic_and_prefix(spark, tmp_path):
     assert failures(spark, tmp_path, **options) == set()
 
 
+def test_names_have_digits_for_all_shards(spark, tmp_path):
+    write_shards(sequences(spark, [1, 1]), str(tmp_path), 1_001, 1)
+    assert {p.stem for p in tmp_path.iterdir()} == {"shard_0000", "shard_0001"}
+
+
 def test_append_refuses_and_overwrite_replaces(spark, folder):
     with pytest.raises(Exception, match="shards exist already"):
         write_shards(sequences(spark, [2]), str(folder), 1, 1)
