@@ -15,10 +15,10 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def shared(spark: SparkSession, path: str) -> str:
-    """The qualified path; a machine-local one is refused on a cluster of several machines."""
+    """The qualified path; one that means a local disk only by default is refused on a cluster."""
     full = qualified(spark, path)
     master = spark.conf.get("spark.master", "")
-    if full.startswith("file:") and not master.startswith("local"):
+    if full.startswith("file:") and not path.startswith("file:") and not master.startswith("local"):
         raise ValueError(f"{full} is local to each machine; name a folder all executors share")
     return full
 
