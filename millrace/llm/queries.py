@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from millrace.llm.id_archive import read_id_archive, write_id_archive
+from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
 from millrace.plans.registry import query
+from millrace.session import materialize, scratch_path
 
 
 def documents(spark, sf_dir):
@@ -15,3 +18,16 @@ def documents(spark, sf_dir):
 @query()
 def op1_token_counts(spark, sf_dir):
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op3_id_archive(spark, sf_dir):
+    folder = scratch_path(spark, "id-archive")
+    write_id_archive(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return read_id_archive(spark, folder)
+
+
+@query()
+def op9_best_fit_packing(spark, sf_dir):
+    cut = pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(materialize(cut, "pieces"))
