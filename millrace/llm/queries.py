@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
+from millrace.llm.warc import normalise, read_records, with_revisits, write_monolithic
 from millrace.plans.registry import query
 from millrace.session import materialize, scratch_path
 
@@ -31,3 +33,31 @@ def op3_id_archive(spark, sf_dir):
 def op9_best_fit_packing(spark, sf_dir):
     cut = pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return pack(materialize(cut, "pieces"))
+
+
+# Base 32 writes five bits a letter: the hexadecimal digest as bits, cut into 32 groups.
+@query("""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT page_id, hex, octet_length(encode(payload)) AS payload_bytes, list_aggregate(list_transform(range(1, 41),
+    lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+      1 + 4 * (strpos('0123456789abcdef', substr(hex, i, 1)) - 1), 4)), 'string_agg', '') AS bits FROM p),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(0, 32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6),
+      lambda j: CASE WHEN substr(bits, 5 * i + j, 1) = '1' THEN 1 << (5 - j) ELSE 0 END))::INT, 1)),
+    'string_agg', '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM m""")
+def op2_warc(spark, sf_dir):
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")
+    )
+    rows = with_revisits(pages, F.col("page_id"), F.col("payload"))
+    crawl = materialize(write_monolithic(rows, scratch_path(spark, "crawl")), "crawl-archives")
+    index = materialize(normalise(crawl.repartition("archive"), scratch_path(spark, "warc")), "warc-index")
+    return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
