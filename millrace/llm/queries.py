@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from millrace.llm.id_archive import read_id_archive, write_id_archive
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
 from millrace.llm.warc import normalise, read_records, with_revisits, write_monolithic
@@ -61,3 +62,23 @@ def op2_warc(spark, sf_dir):
     crawl = materialize(write_monolithic(rows, scratch_path(spark, "crawl")), "crawl-archives")
     index = materialize(normalise(crawl.repartition("archive"), scratch_path(spark, "warc")), "warc-index")
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 3
+    THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""")
+def op10_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
