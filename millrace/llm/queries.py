@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
@@ -64,6 +65,11 @@ def op2_warc(spark, sf_dir):
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op4_decontaminate(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query(r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
