@@ -12,12 +12,13 @@ import json
 import os
 import re
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 
 from millrace.llm.common import LETTER, NOT_PLAIN, NUMBER
 
-REMEMBERED = 300_000  # pre-tokens a worker remembers before it starts anew
+REMEMBERED = 800_000  # pre-tokens a worker remembers before it starts anew
 
 # The pre-token pattern of byte-level BPE, for plain characters.
 PRE_TOKEN = re.compile(
@@ -56,16 +57,20 @@ class ByteIds:
             written = token.encode().decode("latin-1").translate(self.table)
             self.known[token] = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
+    def _joined(self, pre_tokens: list[str]) -> bytes:
+        if len(pre_tokens) < 2:
+            return b"".join(self.known[t] for t in pre_tokens)
+        return b"".join(itemgetter(*pre_tokens)(self.known))
+
     def _plain(self, text: str) -> bytes:
         pre_tokens = PRE_TOKEN.findall(text)
-        known = self.known
         try:
-            return b"".join(map(known.__getitem__, pre_tokens))
+            return self._joined(pre_tokens)
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn({t for t in pre_tokens if t not in known})
-            return b"".join(map(known.__getitem__, pre_tokens))
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            self._learn({t for t in pre_tokens if t not in self.known})
+            return self._joined(pre_tokens)
 
     def encode(self, text: str) -> bytes:
         if not text:
