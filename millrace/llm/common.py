@@ -28,18 +28,18 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """A batch in runs of rows with about ``SLICE_BYTES`` of text each; no row is left out."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``size`` bytes of text each; no row is left out."""
     if batch.num_rows == 0:
         return
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0))
-    run = np.cumsum(sizes.astype(np.int64) + 64) // SLICE_BYTES
+    run = np.cumsum(sizes.astype(np.int64) + 64) // size
     starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     for start, stop in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
         yield batch.slice(start, stop - start)
 
 
-def arrow_batches(function, schema: StructType):
+def arrow_batches(function, schema: StructType, size: int = SLICE_BYTES):
     """A ``mapInArrow`` function from one that turns a slice into a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -47,7 +47,7 @@ def arrow_batches(function, schema: StructType):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=size):
                 columns = function(part)
                 arrays = [pa.array(columns[f.name], type=f.type) for f in target]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
@@ -55,10 +55,10 @@ def arrow_batches(function, schema: StructType):
     return run
 
 
-def map_texts(docs: DataFrame, function, schema: str) -> DataFrame:
+def map_texts(docs: DataFrame, function, schema: str, size: int = SLICE_BYTES) -> DataFrame:
     """Applies ``function(slice) -> {column: values}`` to the rows of ``docs``."""
     fields = StructType.fromDDL(schema)
-    return docs.mapInArrow(arrow_batches(function, fields), fields)
+    return docs.mapInArrow(arrow_batches(function, fields, size), fields)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

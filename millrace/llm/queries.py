@@ -5,8 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from millrace.llm.common import held_out
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
+from millrace.llm.language import fit_languages, predict_languages
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
@@ -88,3 +90,11 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, len(sh) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""")
 def op10_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+@query()
+def op6_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = fit_languages(docs, ~held_out("doc_id", 5, 0))
+    predicted = predict_languages(docs, model)
+    return predicted.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
