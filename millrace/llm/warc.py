@@ -188,13 +188,14 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     no gzip file of records, or ends early, fails the job.
     """
     folder = _create(archives.sparkSession, folder)
+    archives = archives.select("archive").repartition(max(archives.count(), 1))  # a task per file
 
     def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("archive").to_pylist():
                 yield _rewrite(path, folder)
 
-    return archives.select("archive").mapInArrow(rewrite, INDEX)
+    return archives.mapInArrow(rewrite, INDEX)
 
 
 def _rewrite(path: str, folder: str) -> pa.RecordBatch:
@@ -251,7 +252,9 @@ def read_records(index: DataFrame) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    return index.select("archive", "offset", "size").mapInArrow(read, RECORDS)
+    places = index.select("archive", "offset", "size")
+    tasks = max(index.select("archive").distinct().count(), 1)
+    return places.repartition(tasks, "archive").sortWithinPartitions("archive", "offset").mapInArrow(read, RECORDS)
 
 
 def _facts(record: bytes) -> dict:
