@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,26 @@ def map_texts(docs: DataFrame, function, schema: str, size: int = SLICE_BYTES) -
     return docs.mapInArrow(arrow_batches(function, fields, size), fields)
 
 
+def looked_up(known: dict[str, int], words: list[str]) -> np.ndarray:
+    """The numbers ``known`` gives to words it has."""
+    if len(words) < 2:
+        return np.array([known[w] for w in words], np.int64)
+    return np.array(itemgetter(*words)(known), np.int64)
+
+
+def ragged_sums(table: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``counts`` rows ``table[places]``; runs of one length are summed together."""
+    starts = np.cumsum(counts) - counts
+    out = np.zeros((len(counts), table.shape[1]), table.dtype)
+    for n in np.unique(counts[counts > 0]).tolist():
+        own = np.flatnonzero(counts == n)
+        step = max((1 << 18) // n, 1)
+        for k in range(0, len(own), step):
+            some = own[k:k + step]
+            out[some] = table[places[starts[some][:, None] + np.arange(n)]].sum(axis=1)
+    return out
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 

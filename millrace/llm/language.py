@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import id_text, map_texts
+from millrace.llm.common import id_text, looked_up, map_texts, ragged_sums
 from millrace.llm.crf import Adam, batches, forward_backward, lay_out
 from millrace.llm.samples import labelled_sample
 from millrace.llm.wordhash import mix
@@ -68,13 +68,14 @@ class LanguageModel:
     lexicon: dict[str, int]
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
+    letters: np.ndarray | None = None  # length of each word of ``table``
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "table": None}
+        return self.__dict__ | {"known": {}, "table": None, "letters": None}
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         buckets, counts = gram_buckets(words)
-        scores = np.add.reduceat(self.grams[buckets], np.cumsum(counts) - counts)
+        scores = ragged_sums(self.grams, buckets, counts)
         none = len(self.languages)
         return scores + self.entries[[self.lexicon.get(w, none) for w in words]]
 
@@ -83,15 +84,16 @@ class LanguageModel:
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, None
         known = self.known
-        new = list({w for words in found for w in words if w not in known})
+        new = list(set().union(*found) - known.keys())
         if self.table is None:
-            self.table = np.zeros((1, len(self.languages)))
+            self.table, self.letters = np.zeros((1, len(self.languages))), np.zeros(1)
         letters = [w for w in new if any(map(str.isalpha, w))]
         known.update(dict.fromkeys(new, 0))
         if letters:
             known.update(zip(letters, range(len(self.table), len(self.table) + len(letters)), strict=True))
             self.table = np.concatenate([self.table, self.word_scores(letters)])
-        places = [np.array([known[w] for w in words], np.int64) for words in found]
+            self.letters = np.concatenate([self.letters, [len(w) for w in letters]])
+        places = [looked_up(known, words) for words in found]
         return [p[p > 0] for p in places]
 
     def posteriors(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
@@ -109,7 +111,6 @@ class LanguageModel:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[list[dict]]]:
         """Language, its share of the letters, and runs of words of one language, for each text."""
         found = [WORD.findall(t.lower()) for t in texts]
-        lengths = [np.array([len(w) for w in words if any(map(str.isalpha, w))] or [0]) for words in found]
         places = self.rows(found)
         del found
         names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -119,7 +120,8 @@ class LanguageModel:
             likely, _, _ = forward_backward(self.table[laid], going, self.transitions, self.start)
             for column, k in enumerate(batch.tolist()):
                 own = likely[:len(places[k]), column]
-                share = lengths[k] @ own / lengths[k].sum()
+                weight = self.letters[places[k]]
+                share = weight @ own / weight.sum()
                 best = int(share.argmax())
                 names[k], shares[k] = self.languages[best], float(min(share[best], 1.0))
                 labels = own.argmax(axis=1)

@@ -13,6 +13,7 @@ from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
 from millrace.llm.warc import normalise, read_records, with_revisits, write_monolithic
+from millrace.llm.toxicity import fit_toxicity, score_toxicity
 from millrace.plans.registry import query
 from millrace.session import materialize, scratch_path
 
@@ -63,7 +64,7 @@ def op2_warc(spark, sf_dir):
     )
     rows = with_revisits(pages, F.col("page_id"), F.col("payload"))
     crawl = materialize(write_monolithic(rows, scratch_path(spark, "crawl")), "crawl-archives")
-    index = materialize(normalise(crawl.repartition("archive"), scratch_path(spark, "warc")), "warc-index")
+    index = materialize(normalise(crawl, scratch_path(spark, "warc")), "warc-index")
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -98,3 +99,14 @@ def op6_language(spark, sf_dir):
     model = fit_languages(docs, ~held_out("doc_id", 5, 0))
     predicted = predict_languages(docs, model)
     return predicted.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+TOXIC_FROM = 0.3
+
+
+@query()
+def op5_toxicity(spark, sf_dir):
+    docs, held = documents(spark, sf_dir), held_out("doc_id", 4, 2)
+    model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", predicted)
