@@ -9,6 +9,7 @@ from millrace.llm.common import held_out
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.language import fit_languages, predict_languages
+from millrace.llm.line_quality import fit_lines, judge
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
@@ -110,3 +111,9 @@ def op5_toxicity(spark, sf_dir):
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
     predicted = (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", predicted)
+
+
+@query()
+def op7_line_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return judge(docs, fit_lines(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("content_words")

@@ -1,7 +1,7 @@
 """64-bit hashes of words and word n-grams of many texts at once, in NumPy.
 
-Words are runs of bytes other than space and U+0009 to U+000D; A to Z count as a
-to z.  A word's hash is a polynomial in random 64-bit values of its bytes,
+Words are runs of bytes other than space and U+0009 to U+000D; where case is folded,
+A to Z count as a to z.  A word's hash is a polynomial in random 64-bit values of its bytes,
 taken from differences of running sums, and then mixed.
 """
 
@@ -17,7 +17,8 @@ STEP = 1 << 20  # texts are hashed in runs of about so many bytes
 LONG_WORD = 1 << 16  # longer words are hashed one by one
 _random = np.random.Generator(np.random.PCG64(20240229))
 BYTE_VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BYTE_VALUE[ord("A"):ord("Z") + 1] = BYTE_VALUE[ord("a"):ord("z") + 1]
+FOLDED_VALUE = BYTE_VALUE.copy()
+FOLDED_VALUE[ord("A"):ord("Z") + 1] = BYTE_VALUE[ord("a"):ord("z") + 1]
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -38,38 +39,49 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Hashes of words that lie within ``STEP`` plus ``LONG_WORD`` bytes of the first one's start."""
     first = starts[0]
     up, down = _powers(STEP + LONG_WORD)
     part = raw[first:ends[-1]]
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[part] * up[:len(part)], out=sums[1:])
+    np.cumsum(values[part] * up[:len(part)], out=sums[1:])
     starts, ends = starts - first, ends - first
     return (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
 
 
-def _hash_long(raw: np.ndarray, start: int, end: int) -> int:
-    return int.from_bytes(hashlib.blake2b(raw[start:end].tobytes().lower(), digest_size=8).digest(), "little")
+def _hash_long(raw: np.ndarray, start: int, end: int, fold: bool) -> int:
+    word = raw[start:end].tobytes()
+    return int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the number of words before each text and in all."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+def words_in(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of a run of bytes."""
     edge = np.diff(BLANK[raw].astype(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     hashes = np.empty(len(starts), np.uint64)
     long = ends - starts > LONG_WORD
     for k in np.flatnonzero(long).tolist():
-        hashes[k] = _hash_long(raw, starts[k], ends[k])
+        hashes[k] = _hash_long(raw, starts[k], ends[k], fold)
     short = np.flatnonzero(~long)
     step = starts[short] // STEP
     cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(short) else []
     for a, b in zip(cuts, cuts[1:], strict=False):
         some = short[a:b]
-        hashes[some] = _hash_words(raw, starts[some], ends[some])
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    return mix(hashes), np.r_[0, np.searchsorted(starts, text_ends)]
+        hashes[some] = _hash_words(raw, starts[some], ends[some], FOLDED_VALUE if fold else BYTE_VALUE)
+    return mix(hashes), starts, ends
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, each followed by a line break, and one past each text's break."""
+    return np.frombuffer(b"\n".join([*texts, b""]), np.uint8), np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+
+
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in order, and the number of words before each text and in all."""
+    raw, text_ends = joined(texts)
+    hashes, starts, _ = words_in(raw, fold)
+    return hashes, np.r_[0, np.searchsorted(starts, text_ends)]
 
 
 def runs(texts: list[bytes]):
