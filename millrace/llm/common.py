@@ -62,6 +62,18 @@ def map_texts(docs: DataFrame, function, schema: str, size: int = SLICE_BYTES) -
     return docs.mapInArrow(arrow_batches(function, fields, size), fields)
 
 
+def keep_rows(docs: DataFrame, decide, text_col: str = "text", size: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts ``decide(texts)`` gives true; null is empty text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, size):
+                texts = pa.compute.fill_null(part.column(text_col), "").to_pylist()
+                yield part.filter(pa.array(np.asarray(decide(texts), bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def looked_up(known: dict[str, int], words: list[str]) -> np.ndarray:
     """The numbers ``known`` gives to words it has."""
     if len(words) < 2:

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held_out
+from millrace.llm.context_tree import score_texts
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.language import fit_languages, predict_languages
@@ -117,3 +118,10 @@ def op5_toxicity(spark, sf_dir):
 def op7_line_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return judge(docs, fit_lines(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("content_words")
+
+
+@query()
+def op8_context_tree(spark, sf_dir):
+    held = held_out("doc_id", 7, 2)
+    scored = score_texts(documents(spark, sf_dir), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
