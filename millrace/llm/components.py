@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from millrace.session import materialize
 
-FINISH_LINKS = 16_384  # links that one task may finish by itself
+FINISH_LINKS = 100_000  # links that one task may finish by itself
+TASKS_PER_FILE = 16  # shuffle tasks whose few links share a file
 
 
 class Forest:
@@ -70,43 +71,45 @@ def _contract(links: DataFrame, seed: int) -> DataFrame:
     return nearest.select("node", F.least("first", own)["n"].alias("root"))
 
 
-def components(links: DataFrame, finish_links: int = FINISH_LINKS) -> DataFrame:
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """A table of short rows in few files."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(rows.repartition(max(tasks // TASKS_PER_FILE, 1)), name)
+
+
+def components(links: DataFrame, thinned: bool = False, finish_links: int = FINISH_LINKS) -> DataFrame:
     """``(node, component)`` for every node of the links ``(a, b)``; the component is its smallest node.
 
-    Links are thinned to a spanning forest within each partition.  While many
+    Links are thinned to a spanning forest within each partition, unless they are ``thinned`` already.  While many
     are left, every node moves onto the neighbour that a hash of the round
     ranks first, which shrinks long chains and stars alike by a constant
     factor; the last few links are joined in one task.  Each round is a
     written table.
     """
-    links = links.toDF("a", "b").filter("a <> b").mapInArrow(_spanning, "a long, b long")
-    links = materialize(links, "links")
+    links = links.toDF("a", "b").filter("a <> b")
+    links = _stored(links if thinned else links.mapInArrow(_spanning, "a long, b long"), "links")
     labels, seed = None, 0
-    while True:
-        small = links.count() <= finish_links
-        if small:
-            moved = links.coalesce(1).mapInArrow(_finish, "node long, root long")
-        else:
-            moved = _contract(links, seed)
-        moved = materialize(moved, "moved")
-        if labels is None:
-            labels = moved
-        else:
-            onto = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            labels = labels.join(onto, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-            labels = materialize(labels, "labels")
-        if small:
-            break
+    while links.count() > finish_links:
+        moved = _stored(_contract(links, seed), "moved")
+        labels = moved if labels is None else _stored(_relabelled(labels, moved), "labels")
         at_a = moved.select(F.col("node").alias("a"), F.col("root").alias("_a"))
         at_b = moved.select(F.col("node").alias("b"), F.col("root").alias("_b"))
         links = links.join(at_a, "a").join(at_b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-        links = links.filter("a <> b").mapInArrow(_spanning, "a long, b long")
-        links = materialize(links, "links")
+        links = _stored(links.filter("a <> b").mapInArrow(_spanning, "a long, b long"), "links")
         seed += 1
+    moved = materialize(links.coalesce(1).mapInArrow(_finish, "node long, root long"), "moved")
+    if labels is None:
+        return moved.withColumnRenamed("root", "component")
+    labels = _stored(_relabelled(labels, moved), "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
     return labels.join(least, "root").select("node", "component")
 
 
+def _relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    onto = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return labels.join(onto, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+
+
 def as_edges(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {"a": pa.array(np.asarray(a, np.int64)), "b": pa.array(np.asarray(b, np.int64))}

@@ -249,12 +249,9 @@ def candidate_links(classes: DataFrame, threshold: int) -> DataFrame:
     shared = postings.join(lists, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("at"))
     prefix = F.slice("at", F.lit(1), F.size("at") - (threshold - 1))
     shared = shared.filter(F.size("at") >= threshold).select("node", F.explode(prefix).alias("p"))
-    looked_up = materialize(shared.select("node", "p.key", "p.n"), "prefixes")
-    met = looked_up.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
     short = classes.mapInArrow(_short, "node long, signature binary")
-    rows = looked_up.join(met, "key").drop("n").join(short, "node")
-    blocks = F.ceil(F.col("met") / LIST_BLOCK)
-    paired = block_pairs(rows, blocks).select(*PAIRED, "block", "node", "signature")
+    rows = shared.select("node", "p.key", "p.n").join(short, "node")
+    paired = block_pairs(rows, F.ceil(F.col("n") / LIST_BLOCK)).select(*PAIRED, "block", "node", "signature")
     return _by_pair(paired).mapInArrow(list_links(threshold), "a long, b long")
 
 
@@ -274,16 +271,14 @@ def near_duplicates(
     sketched = materialize(map_texts(docs, _sketches(words), fields), "sketches")
     full = sketched.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("node")).filter("node IS NOT NULL")
-    classes = materialize(classes, "classes")
     first = full.select(F.col("doc_id").alias("node"), "digest", "signature", "n_shingles")
     nodes = materialize(first.join(classes, ["node", "digest"], "left_semi").dropDuplicates(["node", "digest"]), "nodes")
 
     threshold = match_threshold(percent)
-    loose = components(candidate_links(nodes.select("node", "signature"), threshold))
+    loose = components(candidate_links(nodes.select("node", "signature"), threshold), thinned=True)
     members = nodes.select("node", "n_shingles").join(loose, "node")
     size = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CLUSTER_BLOCK).alias("blocks"))
     members = loose.join(size, "component")
-    members = materialize(members, "members")
 
     def sets(part: pa.RecordBatch) -> dict:
         found = shingle_sets(text_bytes(part.column("text")), words)
@@ -296,7 +291,7 @@ def near_duplicates(
     links = _by_pair(paired).mapInArrow(confirmed_links(percent), "a long, b long")
     repeated = full.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     same_id = full.join(repeated, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "node")
-    found = components(links.union(same_id))
+    found = components(links.union(same_id), thinned=True)
 
     group = F.coalesce("component", "node")
     classes = classes.join(found, "node", "left").select("digest", group.alias("component_id"))
