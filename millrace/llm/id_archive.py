@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     short = docs.filter(F.col("doc_id").isin([c for c in chosen if c is not None]))
     texts = short.filter(F.length("text") <= SAMPLE_CHARS).orderBy(place, "text").limit(SAMPLE_DOCS).collect()
     encoder, end = byte_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
-    samples = [encoder.encode(r["text"]) + end for r in texts]
+    samples = [ids + end for ids in encoder.encode([r["text"] for r in texts])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -107,7 +107,7 @@ def _part_writer(folder: str, tokenizer_path: str, end_id: int, dictionary: byte
             for batch in batches:
                 for piece in slices(batch):
                     out = out or system.open_output_stream(f"{root}/{name}.zids", compression=None)
-                    raw = [encoder.encode(t) + end for t in piece.column("text").to_pylist()]
+                    raw = [ids + end for ids in encoder.encode(piece.column("text").to_pylist())]
                     frames = [compressor.compress(r) for r in raw]
                     sizes = np.array([len(f) for f in frames], np.int64)
                     entries["present"].append(pc.is_valid(piece["doc_id"]).to_numpy(zero_copy_only=False))

@@ -45,8 +45,9 @@ def pieces(
     def cut(part: pa.RecordBatch) -> dict:
         encoder, end = byte_ids(tokenizer_path), np.array([end_id], "<u4").tobytes()
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            raw = encoder.encode(text) + end
+        encoded = encoder.encode(part.column("text").to_pylist())
+        for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded, strict=True):
+            raw = ids + end
             n = len(raw) // 4
             first = n % capacity or capacity
             edges = [0, *range(first, n + 1, capacity)]

@@ -55,10 +55,8 @@ def _hash_long(raw: np.ndarray, start: int, end: int, fold: bool) -> int:
     return int.from_bytes(hashlib.blake2b(word.lower() if fold else word, digest_size=8).digest(), "little")
 
 
-def words_in(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of all words of a run of bytes."""
-    edge = np.diff(BLANK[raw].astype(np.int8), prepend=1, append=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Hashes of spans of a run of bytes, in order of their starts."""
     hashes = np.empty(len(starts), np.uint64)
     long = ends - starts > LONG_WORD
     for k in np.flatnonzero(long).tolist():
@@ -69,7 +67,14 @@ def words_in(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray
     for a, b in zip(cuts, cuts[1:], strict=False):
         some = short[a:b]
         hashes[some] = _hash_words(raw, starts[some], ends[some], FOLDED_VALUE if fold else BYTE_VALUE)
-    return mix(hashes), starts, ends
+    return mix(hashes)
+
+
+def words_in(raw: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of all words of a run of bytes."""
+    edge = np.diff(BLANK[raw].astype(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return hash_spans(raw, starts, ends, fold), starts, ends
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
