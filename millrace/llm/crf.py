@@ -78,18 +78,26 @@ def viterbi(scores: np.ndarray, going: np.ndarray, transitions: np.ndarray, star
 
 
 class Adam:
-    """Gradient ascent with adaptive steps on a dict of arrays."""
+    """Gradient ascent with adaptive steps on a dict of arrays.
 
-    def __init__(self, parameters: dict[str, np.ndarray], rate: float):
-        self.parameters, self.rate, self.steps = parameters, rate, 0
+    The ``shared`` arrays, large tables of which a step touches a few entries, have one step size each,
+    so that what many sequences share moves far and what one of them has alone hardly moves.
+    """
+
+    def __init__(self, parameters: dict[str, np.ndarray], rate: float, shared: dict[str, float] | None = None):
+        self.parameters, self.rate, self.steps, self.shared = parameters, rate, 0, shared or {}
         self.mean = {k: np.zeros_like(v) for k, v in parameters.items()}
-        self.square = {k: np.zeros_like(v) for k, v in parameters.items()}
+        self.square = {k: 0.0 if k in self.shared else np.zeros_like(v) for k, v in parameters.items()}
 
     def ascend(self, gradients: dict[str, np.ndarray]) -> None:
         self.steps += 1
         for k, g in gradients.items():
             self.mean[k] += 0.1 * (g - self.mean[k])
-            self.square[k] += 0.001 * (g * g - self.square[k])
-            mean = self.mean[k] / (1 - 0.9**self.steps)
-            square = self.square[k] / (1 - 0.999**self.steps)
-            self.parameters[k] += self.rate * mean / (np.sqrt(square) + 1e-8)
+            if k in self.shared:
+                self.square[k] += 0.02 * ((g * g).sum() / max(np.count_nonzero(g), 1) - self.square[k])
+                square = self.square[k] / (1 - 0.98**self.steps)
+            else:
+                self.square[k] += 0.001 * (g * g - self.square[k])
+                square = self.square[k] / (1 - 0.999**self.steps)
+            step = self.rate * self.shared.get(k, 1.0) / (1 - 0.9**self.steps)
+            self.parameters[k] += step * self.mean[k] / (np.sqrt(square) + 1e-8)

@@ -216,9 +216,10 @@ def fit_languages(
 ) -> LanguageModel:
     """A model of the languages ``lang_col`` names, from a bounded sample of the rows ``may_learn`` allows."""
     rows = docs.withColumn("_may", may_learn).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), "_may"
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label"), "_may"
     )
-    return fit([(r["text"], r["lang"]) for r in labelled_sample(rows, "lang", per_language, F.col("_may"))])
+    rows = rows.filter("_may")
+    return fit(labelled_sample(rows.select("doc_id", "text"), rows.select("doc_id", "label"), per_language))
 
 
 def predict_languages(

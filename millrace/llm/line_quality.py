@@ -204,9 +204,9 @@ def fit_lines(
 ) -> LineModel:
     """A field fitted on a bounded sample of labelled texts."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter("label IN (0, 1)").dropDuplicates(["doc_id"])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
-    return fit([(r["text"].encode(), r["label"]) for r in labelled_sample(rows, "label", per_label, F.lit(True))])
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sample = labelled_sample(texts, marks.filter("label IN (0, 1)"), per_label)
+    return fit([(text.encode(), label) for text, label in sample])
 
 
 def judge(

@@ -25,14 +25,15 @@ from millrace.llm.crf import Adam
 from millrace.llm.samples import labelled_sample
 from millrace.llm.wordhash import mix
 
-PER_LABEL = 700  # texts of either label the network is fitted on
+PER_LABEL = 500  # texts of either label the network is fitted on
 WINDOW = 32
-STEP = 16
+STRIDE = 16
 HIDDEN = 8
 WORD_SIZE, WORD_BUCKETS = 12, 1 << 14
 CHAR_SIZE, CHAR_BUCKETS = 12, 1 << 15
 GRAMS = (3, 4)
-PASSES = 4
+STEPS = 200  # of ascent, whatever the size of the sample
+RATE = 0.01
 BATCH_TEXTS = 32
 BATCH_WINDOWS = 2048
 REMEMBERED = 500_000
@@ -69,16 +70,16 @@ def windows(length: int) -> list[tuple[int, int]]:
     """Ranges of the overlapping windows of a text of so many words; the last one reaches its end."""
     if length == 0:
         return []
-    last = max(-(-(length - WINDOW) // STEP), 0)
-    return [(k * STEP, min(k * STEP + WINDOW, length)) for k in range(last + 1)]
+    last = max(-(-(length - WINDOW) // STRIDE), 0)
+    return [(k * STRIDE, min(k * STRIDE + WINDOW, length)) for k in range(last + 1)]
 
 
 def lay_out(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of all texts as ``(step, window)``, longest first, how many go on at each step, and their texts."""
     lengths = np.array([len(r) for r in rows], np.int64)
-    counts = np.where(lengths > 0, np.maximum(-(-(lengths - WINDOW) // STEP), 0) + 1, 0)
+    counts = np.where(lengths > 0, np.maximum(-(-(lengths - WINDOW) // STRIDE), 0) + 1, 0)
     owner = np.repeat(np.arange(len(rows)), counts)
-    start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * STEP
+    start = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE
     size = np.minimum(lengths[owner] - start, WINDOW)
     order = np.argsort(-size, kind="stable")
     owner, start, size = owner[order], start[order], size[order]
@@ -222,12 +223,14 @@ def fit(rows: list[tuple[str, int]], share: float, seed: int = 3) -> ToxicityMod
     if not 0 < positive < len(found):
         weights["out"][:] = 0
         return model
-    adam = Adam(weights, 0.01)
-    for epoch in range(PASSES):
-        adam.rate = 0.01 * (1 - epoch / PASSES)
-        order = random.permutation(len(found))
-        for k in range(0, len(order), BATCH_TEXTS):
-            _ascend(model, adam, [found[i] for i in order[k:k + BATCH_TEXTS]])
+    adam = Adam(weights, RATE, {"words": 5.0, "chars": 5.0})
+    order: list[int] = []
+    for step in range(STEPS):
+        adam.rate = RATE * (1 - step / STEPS)
+        if len(order) < BATCH_TEXTS:
+            order += random.permutation(len(found)).tolist()
+        _ascend(model, adam, [found[i] for i in order[:BATCH_TEXTS]])
+        del order[:BATCH_TEXTS]
     own = positive / len(found)
     share = min(max(share, 1e-6), 1 - 1e-6)
     for name in weights:
@@ -279,16 +282,12 @@ def fit_toxicity(
     docs: DataFrame, labels: DataFrame, may_learn: Column, label_col: str = "toxic", id_col: str = "doc_id",
     text_col: str = "text", per_label: int = PER_LABEL,
 ) -> ToxicityModel:
-    """A network fitted on a bounded sample of the labelled rows that ``may_learn`` allows."""
-    rows = docs.withColumn("_may", may_learn).select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_may"
-    )
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter("label IN (0, 1)").dropDuplicates(["doc_id"])
-    rows = rows.join(marks, "doc_id")
-    share = rows.filter(F.col("_may")).agg(F.avg("label")).first()[0]
-    sample = labelled_sample(rows, "label", per_label, F.col("_may"))
-    return fit([(r["text"], r["label"]) for r in sample], share or 0.0)
+    """A network fitted on a bounded sample of the labelled rows that ``may_learn``, a condition on ids, allows."""
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), may_learn.alias("_may"))
+    marks = marks.filter("_may AND label IN (0, 1)")
+    share = marks.agg(F.avg("label")).first()[0]
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return fit(labelled_sample(texts, marks, per_label), share or 0.0)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
