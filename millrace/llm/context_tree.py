@@ -113,7 +113,7 @@ def log_gamma(x: Column) -> Column:
     steps = x
     for k in range(1, 7):
         steps = steps * (x + k)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * F.pow(y, F.lit(7)))
     return (y - 0.5) * F.log(y) - y + F.lit(0.5 * np.log(2 * np.pi)) + series - F.log(steps)
 
 

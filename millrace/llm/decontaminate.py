@@ -251,7 +251,8 @@ def contaminated(
         wanted[block.gram_of[rare]] = True
         kept = materialize(spark.createDataFrame([(int(g),) for g in np.flatnonzero(wanted)], "seed int"), "seeds")
         seeded = hits.select("doc_id", F.explode("seeds").alias("seed")).join(kept, "seed", "left_semi")
-        again = docs.join(seeded.select("doc_id").distinct(), "doc_id", "left_semi")
+        wanted_ids = seeded.select(F.col("doc_id").alias("_id")).distinct()
+        again = docs.join(wanted_ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         found = found.unionByName(map_texts(again, _align_all(block, rare, min_share), FOUND))
     best = F.max_by(F.struct("score", "n_matches", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
