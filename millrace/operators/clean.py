@@ -64,10 +64,9 @@ def count_tokens(cleaned: DataFrame, tokenizer, text: str = "text_norm") -> Data
 
 
 def encode(cleaned: DataFrame, tokenizer, text: str = "text_norm") -> DataFrame:
-    """Adds ``n_tokens`` and ``ids``."""
-    return cleaned.withColumns(
-        {"n_tokens": tokenizer.count(F.col(text)), "ids": tokenizer.encode(F.col(text))}
-    )
+    """Adds ``n_tokens`` and ``ids``; the count is that of the ids, so the tokenizer runs once."""
+    with_ids = cleaned.withColumn("ids", tokenizer.encode(F.col(text)))
+    return with_ids.select(*cleaned.columns, F.size("ids").alias("n_tokens"), "ids")
 
 
 def drop_uncounted(counted: DataFrame) -> DataFrame:

@@ -52,9 +52,10 @@ def quota_cuts(
 
     before = Window.orderBy("plan_order").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
+    left_plan = _tokens_outside(plan, ledger)
     limited = own.withColumns(
         {
-            "_elsewhere": F.sum("done_tokens").over(everything) - F.col("done_tokens"),
+            "_elsewhere": F.sum("done_tokens").over(everything) - F.col("done_tokens") + F.lit(left_plan),
             "_earlier": F.coalesce(F.sum("added").over(before), F.lit(0)),
         }
     ).withColumn(
@@ -127,6 +128,14 @@ def batch_sums(
     )
 
 
+def _tokens_outside(plan, ledger) -> int:
+    """Tokens of state rows whose domain has left the plan; they count towards the target."""
+    if ledger is None:
+        return 0
+    outside = ledger.join(plan.select("domain"), "domain", "left_anti")
+    return outside.agg(F.sum("done_tokens")).first()[0] or 0
+
+
 def _with_progress(plan, ledger):
     if ledger is None:
         state = plan

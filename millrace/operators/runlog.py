@@ -57,11 +57,13 @@ def interval_means(steps: DataFrame, values: list[str], group: list[str], every:
     """Means over each run of ``every`` steps, labelled with the interval's last step.
 
     Intervals that are not complete are not reported, as the log line is printed
-    at their end.
+    at their end.  A step that a resumed run logs again counts once, with the mean of its
+    rows.
     """
     end = (F.floor((F.col("step") - 1) / every) + 1) * every
+    once = steps.groupBy(*group, "step").agg(*[F.avg(v).alias(v) for v in values])
     return (
-        steps.groupBy(*group, end.alias("log_step"))
+        once.groupBy(*group, end.alias("log_step"))
         .agg(*[F.avg(v).alias(v) for v in values], F.count("*").alias("_n"))
         .filter(F.col("_n") == every)
         .drop("_n")

@@ -23,7 +23,7 @@ from millrace.plans.mixture import plan_from_documents
 from millrace.plans.registry import query
 from millrace.session import materialize, scratch_path, spread
 from millrace.sources.corpora import Corpus, read_line_docs, scan_corpora, write_line_docs
-from millrace.sources.tokshard import open_fs
+from millrace.sources.paths import open_fs
 
 WORDS = WordTokenizer()
 QUOTA = 10_000
@@ -218,11 +218,12 @@ def ascii_model(spark: SparkSession) -> str:
         hard_vocab_limit=False,
         minloglevel=2,
     )
-    fs, path = open_fs(scratch_path(spark, "model"))
+    folder = scratch_path(spark, "model")
+    fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/ascii.model") as f:
         f.write(model.getvalue())
-    return f"{path}/ascii.model"
+    return f"{folder}/ascii.model"
 
 
 @query(f"""WITH {MEASURED}, t AS (

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 import time
+from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +22,7 @@ from millrace.operators.pack import (
 )
 from millrace.operators.quota import quota_cuts, within_cut
 from millrace.plans.mixture import Domain, mixture_plan
-from millrace.session import materialize
+from millrace.session import FAILURES, materialize
 from millrace.sources.corpora import (
     STATUS_SCHEMA,
     Corpus,
@@ -49,59 +49,87 @@ def collect(
     """Reads, cleans, counts and cuts the corpora, and writes the kept documents as lines.
 
     Goes on where the ledger stands: complete domains are not read, and read
-    documents are not read again.  A domain that fails is reported in the
-    returned status table and the others go on.  ``dedup`` may be ``domain`` or
-    ``global`` and applies to the documents of this run, before the budgets.
-
-    The run's documents and its ledger rows go to one folder per run number, the
-    ledger last, so a run that died half-way is repeated whole.
+    documents are not read again.  Without ``dedup`` the domains follow each
+    other in the plan's order; each one's documents go to a folder with a run number of
+    its own and its ledger row is written after them, so a run that dies loses
+    the domain it was in and no other.  ``dedup`` may be ``domain`` or
+    ``global``; it applies to the documents of this run, before the budgets, and all
+    domains then share one run number.
+
+    A domain that fails, when it is opened or anywhere later, is reported in the returned
+    status table and the others go on.
     """
-    plan = mixture_plan(spark, domains)
+    plan = materialize(mixture_plan(spark, domains), "plan")
+    if dedup:
+        return _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup)
+    status, order = [], [d.name for d in domains]
+    for corpus in sorted(catalog, key=lambda c: order.index(c.domain) if c.domain in order else len(order)):
+        state, run, complete = _standing(spark, plan, ledger_path)
+        if corpus.domain in complete:
+            status.append((corpus.domain, "complete", None))
+            continue
+        own = plan.filter(F.col("domain") == corpus.domain)
+        try:
+            raw = skip_ingested(open_corpus(spark, corpus), state)
+            docs = read_until_full(raw, own, state, tokenizer, slice_width)
+            _commit(docs, own, state, target, out, ledger_path, run)
+            status.append((corpus.domain, "ok", None))
+        except FAILURES as e:
+            status.append((corpus.domain, "failed", str(e)))
+    return spark.createDataFrame(status, STATUS_SCHEMA)
+
+
+def _standing(spark, plan, ledger_path):
+    """State of the domains, the next run number, and the names of complete domains (rows of the plan)."""
     history = read_ledger(spark, ledger_path)
     run = (history.agg(F.max("batch_id")).first()[0] or 0) + 1
     state = materialize(load_ledger(plan, history), "state")
-    complete = {
-        r["domain"]
-        for r in plan.join(state, "domain").filter("done_tokens >= quota").select("domain").collect()
-    }
+    done = plan.join(state, "domain").filter("done_tokens >= quota").select("domain")
+    return state, run, {r["domain"] for r in done.collect()}
+
 
-    counted, measured, status = [], [], []
+def _commit(docs, plan, state, target, out, ledger_path, run) -> None:
+    """Cuts measured documents to the budgets of ``plan``, writes them, and their ledger rows last."""
+    narrow = docs.select("domain", "doc_seq", "survivor", "n_tokens")
+    cuts = quota_cuts(narrow, plan, target, state)
+    scanned = within_cut(docs, cuts, plan.count())
+    write_line_docs(scanned.filter("n_tokens > 0"), run_folder(out, run), mode="overwrite", ordered=True)
+    append_ledger(_ledger_rows(scanned, time.time()), ledger_path, run)
+
+
+def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup):
+    state, run, complete = _standing(spark, plan, ledger_path)
+    counted, status = [], []
     for corpus in catalog:
         if corpus.domain in complete:
             status.append((corpus.domain, "complete", None))
             continue
         try:
             raw = skip_ingested(open_corpus(spark, corpus), state)
-            if dedup:
-                docs = materialize(measure(raw, tokenizer, keep_text=True), "counted")
-            else:
-                row = plan.filter(F.col("domain") == corpus.domain)
-                docs = read_until_full(raw, row, state, tokenizer, slice_width)
-            counted.append(docs)
+            counted.append(materialize(measure(raw, tokenizer, keep_text=True), "counted"))
             status.append((corpus.domain, "ok", None))
-        except PySparkException as e:
+        except FAILURES as e:
             status.append((corpus.domain, "failed", str(e)))
     statuses = spark.createDataFrame(status, STATUS_SCHEMA)
-    if not counted:
-        return statuses
-
-    docs = counted[0]
-    for more in counted[1:]:
-        docs = docs.unionByName(more)
-    if dedup:
+    if counted:
+        docs = reduce(DataFrame.unionByName, counted)
         ordered = docs.filter("survivor").join(plan.select("domain", "plan_order"), "domain")
         distinct = dedup_exact(ordered, dedup).drop("plan_order")
         docs = materialize(distinct.unionByName(docs.filter("NOT survivor")), "distinct")
-    cuts = quota_cuts(
-        docs.select("domain", "doc_seq", "survivor", "n_tokens"), plan, target, state
-    )
-    scanned = within_cut(docs, cuts, len(domains))
-    folder = f"{out}/run={run:06d}"
-    write_line_docs(scanned.filter("n_tokens > 0"), folder, mode="overwrite", ordered=True)
-    append_ledger(_ledger_rows(scanned, time.time()), ledger_path, run)
+        _commit(docs, plan, state, target, out, ledger_path, run)
     return statuses
 
 
+def run_folder(out: str, run: int) -> str:
+    return f"{out}/run={run:06d}"
+
+
+def committed_runs(spark: SparkSession, out: str, ledger_path: str) -> list[str]:
+    """The folders of the runs the ledger names, for :func:`build_shards`; other folders are of runs that died."""
+    runs = read_ledger(spark, ledger_path).select("batch_id").distinct().orderBy("batch_id").collect()
+    return [run_folder(out, r["batch_id"]) for r in runs]
+
+
 def read_until_full(
     raw: DataFrame, plan: DataFrame, state: DataFrame, tokenizer, width: int = SLICE_WIDTH
 ) -> DataFrame:
@@ -147,7 +175,7 @@ def _ledger_rows(scanned, now):
 
 def build_shards(
     spark: SparkSession,
-    lines: str,
+    lines: str | list[str],
     out: str,
     tokenizer,
     seq_len: int = SEQ_LEN,
@@ -157,7 +185,10 @@ def build_shards(
     mode: str = "append",
     **options,
 ) -> DataFrame:
-    """Encodes line documents, packs them and writes shards; returns the shard plan."""
+    """Encodes line documents, packs them and writes shards; returns the shard plan.
+
+    ``lines`` is a folder, or the list of folders :func:`committed_runs` gives.
+    """
     ordered = read_line_docs(spark, lines, ordered=True)
     encoded = materialize(
         encode(ordered, tokenizer, "text").drop("text").filter("n_tokens > 0"), "encoded"

@@ -5,10 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# What Spark raises for input it cannot open (the first) or finds broken while it reads (either).
+FAILURES = (PySparkException, Py4JJavaError)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as named by ``spark.checkpoint.dir``.
 
@@ -61,11 +67,16 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+SPREAD_SPLITS = 8
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rehashes an input that has fewer splits than the session has cores.
+    """Rehashes an input of fewer than ``SPREAD_SPLITS`` splits and than the session has cores.
 
-    Such an input is at most a few files, and the work on its texts would
-    otherwise occupy a few cores only.  Larger inputs are left as they are.
+    The work on the texts of such an input would otherwise occupy a few cores only.
+    A larger input is left as it is, however many cores there are, so what is shuffled stays below
+    ``SPREAD_SPLITS`` times the split size.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    few = min(cores, SPREAD_SPLITS)
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < few else df

@@ -5,12 +5,11 @@ from __future__ import annotations
 import dataclasses
 from functools import reduce
 
-from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import materialize, small_side
+from millrace.session import FAILURES, materialize, small_side
 
 
 @dataclasses.dataclass(frozen=True)
@@ -39,7 +38,7 @@ def open_corpus(spark: SparkSession, corpus: Corpus, stream: bool = False) -> Da
     for path in corpus.paths:
         try:
             return _project(_reader(spark, corpus, stream).load(path), corpus)
-        except PySparkException as e:
+        except FAILURES as e:
             failure = e
     raise failure or ValueError(f"no path given for {corpus.domain}")
 
@@ -86,7 +85,7 @@ def scan_corpora(
         try:
             opened.append(open_corpus(spark, corpus))
             status.append((corpus.domain, "ok", None))
-        except PySparkException as e:
+        except FAILURES as e:
             if on_error != "skip":
                 raise
             status.append((corpus.domain, "failed", str(e)))
@@ -120,10 +119,20 @@ def write_line_docs(
     )
 
 
-def read_line_docs(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+# Fixed value: the folder Spark writes for a null or empty partition value.
+NO_DOMAIN = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _plain_name(name: Column) -> Column:
+    """Undoes one layer of percent signs; the writer escapes folder names and the file URI escapes them again."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
+def read_line_docs(spark: SparkSession, path: str | list[str], ordered: bool = False) -> DataFrame:
     """``(domain, text)`` of line documents.
 
-    The domain is the ``domain=`` folder, or the name of a ``.txt`` file.  With
+    The domain is the ``domain=`` folder as it was before it became a folder name, or the
+    name of a ``.txt`` file.  With
     ``ordered`` the documents get a dense ``doc_seq`` by file and line.  Lines
     are numbered as they are scanned and stored with the number, since it is not
     part of the data; within a file block the numbers are consecutive, so only
@@ -131,14 +140,14 @@ def read_line_docs(spark: SparkSession, path: str, ordered: bool = False) -> Dat
     unless there are very many blocks.
     """
     where = F.col("_metadata.file_path")
-    by_folder = F.regexp_extract(where, r"/domain=([^/]*)/[^/]*$", 1)
-    by_file = F.regexp_extract(where, r"/([^/]*)\.txt$", 1)
+    by_folder = _plain_name(_plain_name(F.regexp_extract(where, r"/domain=([^/]*)/[^/]*$", 1)))
+    by_file = _plain_name(F.regexp_extract(where, r"/([^/]*)\.txt$", 1))
     lines = (
         spark.read.schema("value string")
         .option("recursiveFileLookup", True)
         .text(path)
     )
-    domain = F.when(by_folder != "", by_folder).otherwise(by_file)
+    domain = F.when(by_folder != "", F.nullif(by_folder, F.lit(NO_DOMAIN))).otherwise(by_file)
     if not ordered:
         return lines.select(domain.alias("domain"), F.col("value").alias("text"))
     placed = materialize(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.paths import qualified
+
 # Folders left out of a manifest at any depth.
 IGNORED_FOLDERS = ["locks", "logs", "state"]
 
@@ -24,19 +26,22 @@ def prune_ignored(files: DataFrame, ignored: list[str] = IGNORED_FOLDERS) -> Dat
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """``(rel_path, length)`` of all files below ``root``; no content is read."""
+    """``(rel_path, length)`` of all files below ``root``; no content is read.
+
+    A listed file that is not below ``root`` is an error.
+    """
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .load(root)
         .select("path", "length")
     )
-    folder = root.split("://", 1)[-1] if "://" in root else os.path.abspath(root)
-    base = folder.rstrip("/") + "/"
-    start = F.locate(base, F.col("path")) + len(base)
-    return listing.select(
-        F.col("path").substr(start, F.length("path")).alias("rel_path"), "length"
-    )
+    store = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    base = re.sub(store, "", qualified(spark, root)).rstrip("/") + "/"
+    path = F.regexp_replace("path", store, "")
+    below = path.substr(F.lit(len(base) + 1), F.length(path))
+    stray = F.raise_error(F.concat(F.lit(f"not below {base}: "), "path"))
+    return listing.select(F.when(path.startswith(base), below).otherwise(stray).alias("rel_path"), "length")
 
 
 def manifest(spark: SparkSession, root: str, ignored: list[str] = IGNORED_FOLDERS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.pack import HEADER_BYTES, out_of_range
 from millrace.sources.manifest import list_files, shard_triples
+from millrace.sources.paths import shared
 from millrace.sources.tokshard import DIGITS, PREFIX, TokshardDataSource
 
 TASK_BYTES = 256 << 20
@@ -21,7 +22,7 @@ def register(spark: SparkSession) -> None:
 def read_shards(spark: SparkSession, path: str, **options) -> DataFrame:
     """``(shard_id, shard, seq_in_shard, tokens)``, or headers or index entries by ``part``."""
     register(spark)
-    return spark.read.format("tokshard").options(**options).load(path)
+    return spark.read.format("tokshard").options(**options).load(shared(spark, path))
 
 
 def write_shards(
@@ -46,7 +47,7 @@ def write_shards(
         .write.format("tokshard")
         .options(**{"digits": max(DIGITS, len(str(n_shards - 1))), **options})
         .mode(mode)
-        .save(path)
+        .save(shared(spark, path))
     )
 
 
@@ -118,7 +119,8 @@ def validate_shards(
     base = base.join(_index_facts(spark, path, options), "shard", "left")
     if vocab_size is not None:
         base = base.join(_id_facts(spark, path, vocab_size, options), "shard", "left")
-    expected = HEADER_BYTES + 4 * F.col("num_sequences") * F.col("seq_length")
+    ids = F.try_multiply(F.col("num_sequences"), F.col("seq_length"))
+    expected = F.try_add(F.lit(HEADER_BYTES).cast("long"), F.try_multiply(F.lit(4).cast("long"), ids))
     checks = {
         "magic": F.col("magic_ok"),
         "header_size": F.col("header_bytes") == HEADER_BYTES,
@@ -157,9 +159,9 @@ def _index_facts(spark, path, options):
     to a row per shard in the task that reads them.
     """
     length = F.col("index_seq_length")
-    wrong = (F.col("offset") != HEADER_BYTES + 4 * length * F.col("seq_in_shard")) | (
-        F.col("length") != length
-    )
+    before = F.try_multiply(F.lit(4).cast("long"), F.try_multiply(length, F.col("seq_in_shard")))
+    place = F.try_add(F.lit(HEADER_BYTES).cast("long"), before)
+    wrong = ~F.col("offset").eqNullSafe(place) | (F.col("length") != length)
     return (
         read_shards(spark, path, part="index", tolerant="true", **options)
         .groupBy("shard")

@@ -32,6 +32,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from millrace.sources.paths import open_fs
+
 # The layout of the three files.
 HEADER = "<8sIQQQ"
 HEADER_BYTES = 36
@@ -62,15 +64,6 @@ HEADER_SCHEMA = (
 )
 
 
-def open_fs(path: str):
-    """File system and path in it, for plain paths and URIs."""
-    if "://" not in path and path.startswith("file:"):
-        path = "file://" + path[len("file:"):]
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
-
-
 def magic_bytes(options) -> bytes:
     magic = options.get("magic", MAGIC).encode("latin-1").ljust(8, b"\0")
     if len(magic) != 8:
@@ -218,6 +211,8 @@ class TokshardReader(DataSourceReader):
             magic, _version, n, length, _pad = struct.unpack(HEADER, raw)
             if magic != self.magic:
                 raise ValueError(f"bad magic in {p.stem}.bin: {magic!r}")
+            if 4 * n * length != p.size - HEADER_BYTES or (n and not length):
+                raise ValueError(f"{p.stem}.bin does not have the size its header gives")
             first, last = n * p.part // p.parts, n * (p.part + 1) // p.parts
             with fs.open_input_file(p.stem + ".idx") as g:
                 g.seek(INDEX_HEAD_BYTES + INDEX_ENTRY_BYTES * first)

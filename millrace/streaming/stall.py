@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,7 +22,8 @@ def stall_warnings(
 
     ``log`` is a stream of ``(domain, ts double, total_tokens long)``, one row per
     written batch, in time order from one micro-batch to the next.  The state is
-    three numbers per domain, and rows are taken in Arrow batches as they come.
+    three numbers per domain.  A domain's rows of one micro-batch are put in time order
+    together, however many Arrow batches they come in.
     ``watch_silence`` also warns, by processing time, when no row comes at all;
     such a warning carries the time of the last row plus ``seconds``.
     """
@@ -35,14 +37,16 @@ def stall_warnings(
             warnings.append((key[0], total, gain, timer))
         else:
             total, timer, gain = state.get if state.exists else (None, None, None)
-            for rows in batches:
-                ordered = rows.sort_values("ts")
-                for ts, seen in zip(ordered["ts"], ordered["total_tokens"], strict=True):
-                    if total is None or seen != total:
-                        total, timer, gain = int(seen), float(ts), float(ts)
-                    elif ts - timer > seconds:
-                        warnings.append((key[0], total, gain, float(ts)))
-                        timer = float(ts)
+            rows = pd.concat(list(batches)).sort_values(["ts", "total_tokens"])
+            ts, seen = rows["ts"].to_numpy(float), rows["total_tokens"].to_numpy("int64")
+            changed = np.r_[total is None or seen[0] != total, seen[1:] != seen[:-1]]
+            starts = np.unique(np.r_[0, np.flatnonzero(changed)])
+            for low, high in zip(starts.tolist(), [*starts[1:].tolist(), len(ts)], strict=True):
+                if changed[low]:
+                    total, timer, gain = int(seen[low]), float(ts[low]), float(ts[low])
+                while (at := low + int(np.searchsorted(ts[low:high] - timer, seconds, "right"))) < high:
+                    timer = float(ts[at])
+                    warnings.append((key[0], total, gain, timer))
             state.update((total, timer, gain))
         if watch_silence:
             state.setTimeoutDuration(seconds * 1000)

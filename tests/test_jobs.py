@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.tokenizers import WordTokenizer
-from millrace.operators.clean import measure
-from millrace.operators.ledger import load_ledger, read_ledger
+from millrace.operators.clean import encode, measure
+from millrace.operators.ledger import append_ledger, load_ledger, read_ledger
 from millrace.operators.pack import pack
 from millrace.operators.quota import apply_quota
-from millrace.plans.jobs import build_shards, collect, read_until_full
+from millrace.plans import jobs
+from millrace.plans.jobs import build_shards, collect, committed_runs, read_until_full
 from millrace.plans.mixture import Domain, mixture_plan
 from millrace.sources.corpora import (
     Corpus,
@@ -142,10 +143,86 @@ def test_line_documents_keep_their_order(spark, tmp_path):
 
 
 def test_line_sink_round_trip(spark, tmp_path):
-    docs = spark.createDataFrame([("a", "x y"), ("a", "x y"), ("b/c", "é \U0001f600")], "domain string, text_norm string")
+    rows = [("a", "x y"), ("a", "x y"), ("b/c", "é \U0001f600"), ("wiki ko: a/b", "1"), ("50% + é?", "2"), ("a=b%20c", "3"), (None, "4")]
+    docs = spark.createDataFrame(rows, "domain string, text_norm string")
     write_line_docs(docs, str(tmp_path / "out"), max_records=1)
     back = read_line_docs(spark, str(tmp_path / "out")).collect()
-    assert sorted(r["text"] for r in back) == ["x y", "x y", "é \U0001f600"]
+    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, rows))
+
+
+def broken(path):
+    """Overwrites the middle of a parquet file, so that it opens and fails while it is read."""
+    file = next(path.glob("part-*.parquet"))
+    raw = file.read_bytes()
+    file.write_bytes(raw[:8] + b"\xff" * (len(raw) // 2) + raw[8 + len(raw) // 2:])
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+
+
+def test_a_broken_file_fails_its_domain_only(spark, sources, tmp_path):
+    catalog, domains = sources
+    broken(tmp_path / "web")
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    status = {r["domain"]: r for r in collect(spark, domains, catalog, WORDS, out, ledger).collect()}
+    assert {k: r["status"] for k, r in status.items()} == {"web": "failed", "lost": "failed", "code": "ok", "books": "ok"}
+    assert status["web"]["error"] and {d for d, _ in lines(spark, out)} == {"code", "books"}
+    assert {r["domain"] for r in read_ledger(spark, ledger).collect()} == {"code", "books"}
+    both = collect(spark, domains, catalog, WORDS, str(tmp_path / "o2"), str(tmp_path / "l2"), dedup="domain")
+    assert {r["domain"]: r["status"] for r in both.collect()}["web"] == "failed"
+
+
+def test_a_run_that_dies_keeps_the_domains_before(spark, sources, tmp_path, monkeypatch):
+    catalog, domains = sources
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    whole = str(tmp_path / "whole")
+    collect(spark, domains, catalog, WORDS, whole, str(tmp_path / "ledger2"))
+    calls = []
+
+    def dies(rows, path, run):
+        calls.append(run)
+        if len(calls) == 2:
+            raise KeyboardInterrupt
+        append_ledger(rows, path, run)
+
+    monkeypatch.setattr(jobs, "append_ledger", dies)
+    with pytest.raises(KeyboardInterrupt):
+        collect(spark, domains, catalog, WORDS, out, ledger)
+    monkeypatch.undo()
+    assert [r["domain"] for r in read_ledger(spark, ledger).collect()] == ["web"]
+    assert {d for d, _ in lines(spark, out)} == {"web", "code"}  # the second one's folder has no ledger row
+    assert {d for d, _ in lines(spark, committed_runs(spark, out, ledger))} == {"web"}
+    status = {r["domain"]: r["status"] for r in collect(spark, domains, catalog, WORDS, out, ledger).collect()}
+    assert status["web"] == "complete" and lines(spark, out) == lines(spark, whole)
+
+
+def test_tokens_of_domains_that_left_the_plan_count_towards_the_target(spark, sources, tmp_path):
+    catalog, domains = sources
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    collect(spark, [Domain("books", 500)], catalog[3:], WORDS, out, ledger)
+    before = read_ledger(spark, ledger).agg(F.sum("tokens_added")).first()[0]
+    collect(spark, [Domain("web", 10**6, bounded=True)], catalog[:1], WORDS, out, ledger, target=before + 300)
+    web = read_ledger(spark, ledger).filter("domain = 'web'").agg(F.sum("tokens_added")).first()[0]
+    assert 300 <= web < 300 + 100
+
+
+def test_the_tokenizer_runs_once(spark, sources, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        def encode(self, text):
+            @F.pandas_udf("array<int>")
+            def ids(texts):
+                calls.add(len(texts))
+                return texts.map(lambda t: [3] * len(t.split()))
+
+            return ids.asNondeterministic()(text)
+
+        def count(self, text):
+            raise AssertionError("counted apart from the ids")
+
+    docs = spark.createDataFrame([(k, "a b c") for k in range(50)], "doc_seq long, text_norm string")
+    rows = encode(docs, Counting()).filter("n_tokens > 0").collect()
+    assert len(rows) == 50 and calls.value == 50 and all(r["n_tokens"] == len(r["ids"]) == 3 for r in rows)
 
 
 def test_lines_to_shards(spark, tmp_path):

@@ -11,10 +11,10 @@ from millrace.operators.runlog import health, interval_means, interval_throughpu
 from millrace.plans.mixture import DEFAULT_DOMAINS, Domain, mixture_plan
 
 LINES = [
-    "[Rank0] Step 1000/100000 | Loss 8.2341 | Aux 0.8123 | GradNorm 2.34 | LR 1.50e-04 | 12.0K tok/s | 22.0s/step",
+    "[Rank0] Step 1000/100000 | Loss 7.5 | Aux 0.9021 | GradNorm 1.75 | LR 2.25e-04 | 9.5K tok/s | 31.5s/step",
     "[Rank3] 2026-02-01 10:20:30,456 INFO Step     10/100000 | Loss nan | Aux 0.0000 | GradNorm 1.00 | LR 1.50e-06 | 0.5K tok/s | 1.0s/step",
     "[Rank0] 2026-02-01 10:20:30,456 INFO Epoch 1",
-    "[Rank0] Step 1000/100000 | Loss 8.2341 | Aux",
+    "[Rank0] Step 1000/100000 | Loss 7.5 | Aux",
     "",
 ]
 
@@ -25,13 +25,20 @@ def test_parse(spark):
     assert set(rows) == {1000, 10}
     a, b = rows[1000], rows[10]
     assert (a["rank"], a["max_steps"], a["loss"], a["aux"], a["grad_norm"], a["lr"]) == (
-        0, 100000, 8.2341, 0.8123, 2.34, 1.5e-4,
+        0, 100000, 7.5, 0.9021, 1.75, 2.25e-4,
     )
-    assert (a["tok_per_s"], a["s_per_step"], a["at"]) == (12000.0, 22.0, None)
+    assert (a["tok_per_s"], a["s_per_step"], a["at"]) == (9500.0, 31.5, None)
     assert b["rank"] == 3 and b["loss"] != b["loss"]
     assert b["at"] == datetime.datetime(2026, 2, 1, 10, 20, 30, 456000)
 
 
+def test_a_step_logged_twice_counts_once(spark):
+    rows = [("r", s, float(s)) for s in range(1, 21)] + [("r", s, 100.0) for s in (4, 5)]
+    steps = spark.createDataFrame(rows, "run string, step long, loss double")
+    got = {r["log_step"]: r["loss"] for r in interval_means(steps, ["loss"], ["run"]).collect()}
+    assert got == {10: (sum(range(1, 11)) - 9 + 52 + 52.5) / 10, 20: 15.5}
+
+
 def test_health(spark):
     rows = [(10, 9.0, 0.8, 2.0), (20, 8.0, 0.0, 1.0), (30, 8.5, 1.6, 1.0), (40, 8.0, 0.5, 6.0)]
     df = spark.createDataFrame([("r", *r) for r in rows], "run string, step long, loss double, aux double, grad_norm double")

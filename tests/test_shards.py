@@ -52,6 +52,18 @@ def test_file_layout(folder):
     assert sorted(p.suffix for p in folder.iterdir()) == [".bin"] * 3 + [".idx"] * 3 + [".meta"] * 3
 
 
+@pytest.mark.parametrize("field", [12, 20])  # where the header has the number of sequences and their length
+@pytest.mark.parametrize("value", [0, 2**40, 2**61, 2**62, 2**64 - 1])
+def test_validation_survives_any_header(spark, folder, field, value):
+    path = folder / "shard_001.bin"
+    raw = path.read_bytes()
+    path.write_bytes(raw[:field] + value.to_bytes(8, "little") + raw[field + 8:])
+    (folder / ".shard_001.bin.crc").unlink(missing_ok=True)
+    found = failures(spark, folder)
+    assert {shard for shard, _ in found} == {"shard_001"}
+    assert ("shard_001", "file_size") in found and ("shard_001", "counts_agree") in found
+
+
 def test_round_trip_in_slices(spark, folder):
     back = read_shards(spark, str(folder), rangeBytes="300", minPartitions="1")
     got = sorted((r["shard_id"], r["seq_in_shard"], list(r["tokens"])) for r in back.collect())

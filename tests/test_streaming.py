@@ -111,6 +111,32 @@ def test_stall_warnings_repeat_and_survive_micro_batches(spark, tmp_path):
     assert sorted(got) == [(0.0, 80.0), (0.0, 160.0), (0.0, 240.0), (300.0, 380.0), (300.0, 460.0)]
 
 
+def test_stall_warnings_do_not_depend_on_arrow_batches(spark, tmp_path):
+    rows = [(d, float(t), 5 + t // 300) for t in range(0, 3000, 7) for d in ("a", "b")]
+    df = spark.createDataFrame(rows[::-1], "domain string, ts double, total_tokens long")
+    path = landed(spark, df, "ts", files=2)
+    found = []
+    for size in (20, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            out = str(tmp_path / f"out{size}")
+            start_ingest(stall_warnings(stream, 60), out, str(tmp_path / f"check{size}")).awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found.append(sorted(tuple(r) for r in spark.read.parquet(out).collect()))
+    want = []
+    for domain in ("a", "b"):
+        total = None
+        for t in range(0, 3000, 7):
+            if 5 + t // 300 != total:
+                total, timer, gain = 5 + t // 300, t, t
+            elif t - timer > 60:
+                want.append((domain, total, float(gain), float(t)))
+                timer = t
+    assert found == [sorted(want)] * 2
+
+
 def test_silent_source_is_reported(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.0, 5)], "domain string, ts double, total_tokens long")
     land(df, str(tmp_path / "in"))
