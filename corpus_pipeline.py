@@ -10,13 +10,14 @@ stage, which has its own.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import held_out, keep_rows
 from millrace.llm.decontaminate import contaminated
-from millrace.llm.language import SLICE, UNKNOWN, fit_languages
+from millrace.llm.language import SLICE, fit_languages
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.toxicity import fit_toxicity
@@ -35,14 +36,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts of which one language has a fair share; null texts and texts without a letter go."""
+    """Keeps texts of which one language has a fair share; null texts and texts without a letter have a share of 0 and go."""
     model = fit_languages(_table(spark, sf_dir, "documents"), ~held_out("doc_id", 5, 0))
 
-    def fair(texts: list[str]) -> list[bool]:
-        names, shares, _ = model.predict(texts)
-        return [name != UNKNOWN and share >= LEAST_SHARE for name, share in zip(names, shares, strict=True)]
-
-    return keep_rows(docs, fair, size=SLICE)
+    return keep_rows(docs, lambda texts: np.array(model.predict(texts)[1]) >= LEAST_SHARE, size=SLICE)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
