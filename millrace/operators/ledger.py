@@ -52,19 +52,19 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def load_ledger(plan: DataFrame, ledger: DataFrame) -> DataFrame:
-    """State per domain: ``(domain, done_tokens, survivors, resume_seq)``.
+def load_ledger(plan: DataFrame, ledger: DataFrame, all_domains: bool = False) -> DataFrame:
+    """State per plan domain: ``(domain, done_tokens, survivors, resume_seq)``.
 
     Plan domains without ledger rows start at zero, before their first document.
-    Ledger domains that have left the plan keep their rows, since their tokens
-    still count towards a target over all domains.
+    Ledger domains that have left the plan vanish, unless ``all_domains`` keeps their rows:
+    their tokens still count towards a target over all domains.
     """
     state = ledger.groupBy("domain").agg(
         F.sum("tokens_added").alias("done_tokens"),
         F.sum("survivors").alias("survivors"),
         F.max("resume_seq").alias("resume_seq"),
     )
-    return plan.select("domain").join(state, "domain", "full").select(
+    return plan.select("domain").join(state, "domain", "full" if all_domains else "left").select(
         "domain",
         F.coalesce("done_tokens", F.lit(0)).alias("done_tokens"),
         F.coalesce("survivors", F.lit(0)).alias("survivors"),

@@ -83,7 +83,7 @@ def _standing(spark, plan, ledger_path):
     """State of the domains, the next run number, and the names of complete domains (rows of the plan)."""
     history = read_ledger(spark, ledger_path)
     run = (history.agg(F.max("batch_id")).first()[0] or 0) + 1
-    state = materialize(load_ledger(plan, history), "state")
+    state = materialize(load_ledger(plan, history, all_domains=True), "state")
     done = plan.join(state, "domain").filter("done_tokens >= quota").select("domain")
     return state, run, {r["domain"] for r in done.collect()}
 
