@@ -30,7 +30,8 @@ GRAMS = (1, 2, 3, 4)
 SPAN = 30  # words of a training span
 SEQUENCES = 3000
 PASSES = 3
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+TEXTS = 128
 SLICE = 16 << 20
 UNKNOWN = "und"
 
@@ -69,6 +70,7 @@ class LanguageModel:
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
     letters: np.ndarray | None = None  # length of each word of ``table``
+    size: int = 0  # rows of ``table`` in use
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "table": None, "letters": None}
@@ -79,20 +81,29 @@ class LanguageModel:
         none = len(self.languages)
         return scores + self.entries[[self.lexicon.get(w, none) for w in words]]
 
-    def rows(self, found: list[list[str]]) -> list[np.ndarray]:
-        """Places of each text's words in ``table``, words without a letter left out."""
+    def rows(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of each text's words in ``table``, words without a letter left out; few texts' words are held at a time."""
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, None
+        return [p for k in range(0, len(texts), TEXTS) for p in self._rows(texts[k:k + TEXTS])]
+
+    def _rows(self, texts: list[str]) -> list[np.ndarray]:
+        found = [WORD.findall(t.lower()) for t in texts]
         known = self.known
         new = list(set().union(*found) - known.keys())
         if self.table is None:
-            self.table, self.letters = np.zeros((1, len(self.languages))), np.zeros(1)
+            self.table, self.letters, self.size = np.zeros((1, len(self.languages))), np.zeros(1), 1
         letters = [w for w in new if any(map(str.isalpha, w))]
         known.update(dict.fromkeys(new, 0))
         if letters:
-            known.update(zip(letters, range(len(self.table), len(self.table) + len(letters)), strict=True))
-            self.table = np.concatenate([self.table, self.word_scores(letters)])
-            self.letters = np.concatenate([self.letters, [len(w) for w in letters]])
+            size = self.size
+            self.size += len(letters)
+            known.update(zip(letters, range(size, self.size), strict=True))
+            if self.size > len(self.table):
+                self.table = np.concatenate([self.table[:size], np.zeros((2 * self.size - size, len(self.languages)))])
+                self.letters = np.concatenate([self.letters[:size], np.zeros(2 * self.size - size)])
+            self.table[size:self.size] = self.word_scores(letters)
+            self.letters[size:self.size] = [len(w) for w in letters]
         places = [looked_up(known, words) for words in found]
         return [p[p > 0] for p in places]
 
@@ -110,9 +121,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[list[dict]]]:
         """Language, its share of the letters, and runs of words of one language, for each text."""
-        found = [WORD.findall(t.lower()) for t in texts]
-        places = self.rows(found)
-        del found
+        places = self.rows(texts)
         names, shares = [UNKNOWN] * len(texts), [0.0] * len(texts)
         runs: list[list[dict]] = [[] for _ in texts]
         for batch in batches(np.array([len(p) for p in places]), len(self.languages)):

@@ -36,7 +36,8 @@ STEPS = 200  # of ascent, whatever the size of the sample
 RATE = 0.01
 BATCH_TEXTS = 32
 BATCH_WINDOWS = 2048
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+TEXTS = 256
 SLICE = 8 << 20
 
 WORD = re.compile(r"\w+")
@@ -151,16 +152,24 @@ class ToxicityModel:
         return out.astype(np.float32)
 
     def rows(self, texts: list[str]) -> list[np.ndarray]:
-        """Places in ``table`` of each text's words."""
-        found = [WORD.findall(t.lower()) for t in texts]
+        """Places in ``table`` of each text's words; few texts' words are held at a time."""
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, None
+        return [p for k in range(0, len(texts), TEXTS) for p in self._rows(texts[k:k + TEXTS])]
+
+    def _rows(self, texts: list[str]) -> list[np.ndarray]:
+        found = [WORD.findall(t.lower()) for t in texts]
         new = list(set().union(*found) - self.known.keys())
         if self.table is None:
             self.table = np.zeros((0, 6 * HIDDEN), np.float32)
         if new:
-            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.gate_inputs(new)])
+            size = len(self.known)
+            self.known.update(zip(new, range(size, size + len(new)), strict=True))
+            if size + len(new) > len(self.table):
+                grown = np.empty((2 * (size + len(new)), 6 * HIDDEN), np.float32)
+                grown[:size] = self.table[:size]
+                self.table = grown
+            self.table[size:size + len(new)] = self.gate_inputs(new)
         return [looked_up(self.known, words) for words in found]
 
     def window_logits(self, table: np.ndarray, laid: np.ndarray, going: np.ndarray, kept: dict | None = None):
