@@ -5,8 +5,8 @@ before it, has a context tree over the preceding bytes.  A node's counts give a
 Krichevsky-Trofimov estimate.  From the leaves up, the block probability of the
 training data is weighted, half for a node's own estimate and half for
 its children's product; from the root down, the same weights mix the estimates of all
-depths into one probability per node.  Counting, weighting and mixing are
-grouped and joined tables, level by level.  What a task needs to score is a table of
+depths into one probability per node.  Counting is a grouped table; the tree is
+weighted and mixed subtree by subtree.  What a task needs to score is a table of
 probabilities, with the contexts that hold at least one in ``SUPPORT`` of the
 training bytes, so at most ``SUPPORT`` of each depth whatever the corpus.
 A path ends at the deepest such node that training data has seen.
@@ -17,6 +17,7 @@ Every text is its bytes, A to Z in lower case, and an end symbol; before it stan
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +34,13 @@ from millrace.session import materialize, scratch_path
 from millrace.sources.paths import open_fs, qualified
 
 DEPTH = 5
-SUPPORT = 1 << 21
-HEAD_WORDS = 1 << 20  # frequent words whose counts are sent to tasks; the others are joined
+SUPPORT = 1 << 19
+HEAD_WORDS = 1 << 19  # frequent words whose counts are sent to tasks; the others are joined
 REMEMBERED = 1 << 20
-MERGED = 1 << 22
+MERGED = 1 << 20
+SLICE = 1 << 20
+READ_ROWS = 1 << 16
 END = 0xFF
-TASKS_PER_FILE = 8
 
 GRAM, WORD, TEXT = 0, 1, 2
 
@@ -84,7 +86,7 @@ def _tallies(depth: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words, texts = Tally(), Tally(), 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 raw = [t.lower() for t in text_bytes(part.column("text"))]
                 grams.add(byte_grams(raw, depth)[0])
                 words.add(word_hashes(raw)[0])
@@ -101,105 +103,173 @@ def _tallies(depth: int):
     return count
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
-    """A table of grouped rows, in fewer files than shuffle tasks."""
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(rows.coalesce(max(tasks // TASKS_PER_FILE, 1)), name)
-
-
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function from 0.5 on: Stirling's series seven places further, less the steps there."""
     y = x + 7
-    steps = x
-    for k in range(1, 7):
+    steps = np.ones_like(x)
+    for k in range(7):
         steps = steps * (x + k)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * F.pow(y, F.lit(7)))
-    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * np.log(2 * np.pi)) + series - F.log(steps)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(steps)
 
 
-def log_estimate(n0: Column, n1: Column) -> Column:
+def log_estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov block probability of ``n0`` zeros and ``n1`` ones."""
-    n0, n1 = n0.cast("double"), n1.cast("double")
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1) - F.lit(float(np.log(np.pi)))
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
 def _context(depth: int) -> int:
     return (1 << (8 * depth)) - 1
 
 
-def weighted_levels(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """Per depth from 0: nodes ``(context, bits, n0, n1, own)``, where ``own`` is the weight of the node's own estimate."""
-    levels: list[DataFrame] = []
-    below = None
-    for d in range(depth, -1, -1):
-        if d < depth:
-            grams = grams.withColumn("key", F.col("key").bitwiseAND(_context(d + 1)))
-            grams = _stored(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-        symbol = F.col("key").bitwiseAND(255)
-        step = grams.select(F.shiftright("key", 8).alias("context"), symbol.alias("symbol"), "n",
-                            F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"))
-        bits = F.expr("shiftleft(1L, k) | shiftright(symbol, 8 - k)").alias("bits")
-        one = F.expr("shiftright(symbol, 7 - k) & 1L")
-        step = step.select("context", bits, F.when(one == 0, F.col("n")).otherwise(0).alias("n0"),
-                           F.when(one == 1, F.col("n")).otherwise(0).alias("n1"))
-        nodes = step.groupBy("context", "bits").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-        nodes = nodes.withColumn("estimate", log_estimate(F.col("n0"), F.col("n1")))
-        if below is None:
-            nodes = nodes.withColumns({"weighted": F.col("estimate"), "own": F.lit(1.0)})
-        else:
-            parent = F.col("context").bitwiseAND(_context(d)).alias("context")
-            product = below.groupBy(parent, "bits").agg(F.sum("weighted").alias("product"))
-            gap = F.col("product") - F.col("estimate")
-            total = F.greatest("product", "estimate") + F.log1p(F.exp(-F.abs(gap))) - F.lit(float(np.log(2)))
-            nodes = nodes.join(product, ["context", "bits"])
-            nodes = nodes.withColumns({"weighted": total, "own": 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))}).drop("product")
-        below = _stored(nodes, "levels")
-        levels.insert(0, below.select("context", "bits", "n0", "n1", "own"))
-    return levels
-
-
-def mixed(levels: list[DataFrame], least: int) -> DataFrame:
-    """``(depth, context, bits, p)``: the probability of a one where a path ends at the node.
-
-    Contexts with fewer than ``least`` symbols below the root are left out.
-    """
-    out = None
-    above = None
-    for d, level in enumerate(levels):
-        kt = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-        if above is None:
-            level = level.withColumns({"sum": F.lit(0.0), "rest": F.lit(1.0)})
-        else:
-            level = level.withColumn("up", F.col("context").bitwiseAND(_context(d - 1))).join(above, ["up", "bits"])
-        ends = F.col("sum") + F.col("rest") * kt
-        level = level.withColumns({"p": ends, "sum": F.col("sum") + F.col("rest") * F.col("own") * kt,
-                                   "rest": F.col("rest") * (1 - F.col("own"))})
-        if d:
-            # the first decision of a context sees all its symbols
-            large = level.filter((F.col("bits") == 1) & (F.col("n0") + F.col("n1") >= least)).select("context")
-            level = level.join(large, "context", "left_semi")
-        stored = _stored(level.select("context", "bits", "p", "sum", "rest"), "mixed")
-        above = stored.select(F.col("context").alias("up"), "bits", "sum", "rest")
-        rows = stored.select(F.lit(d).cast("byte").alias("depth"), "context", "bits", "p")
-        out = rows if out is None else out.unionByName(rows)
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of the values of each."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, *(np.bincount(at, v, len(distinct)) for v in values)
+
+
+@dataclass
+class Level:
+    """The nodes of one depth, in order of ``codes``: the context's bytes, then the bits of the decision so far."""
+
+    depth: int
+    codes: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    weighted: np.ndarray  # ln of the weighted block probability
+    own: np.ndarray  # weight of the node's own estimate
+
+    @classmethod
+    def over(cls, depth: int, codes, n0, n1, below: tuple[np.ndarray, np.ndarray] | None) -> Level:
+        """A level from its counts and, unless it is the deepest, codes and ``weighted`` of the one below."""
+        own, estimate = np.ones(len(codes)), log_estimate(n0, n1)
+        weighted = estimate
+        if below is not None:
+            parents, product = _summed(parent_codes(below[0], depth), below[1])
+            assert len(parents) == len(codes)
+            weighted = np.logaddexp(estimate, product) - np.log(2)
+            own = 1 / (1 + np.exp(np.minimum(product - estimate, 700)))
+        return cls(depth, codes, n0, n1, weighted, own)
+
+    def down(self, total: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the mixture above, ``total`` and the weight that is left: the probability of a one if the path ends here, and both for below."""
+        one = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+        return total + rest * one, total + rest * self.own * one, rest * (1 - self.own)
+
+    def large(self, least: int) -> np.ndarray:
+        """Marks the nodes of contexts with at least ``least`` symbols; the first decision sees them all."""
+        first = self.codes & 255 == 1
+        contexts, sizes = self.codes[first] >> 8, (self.n0 + self.n1)[first]
+        return (sizes >= least)[np.searchsorted(contexts, self.codes >> 8)]
+
+
+def parent_codes(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Codes of the nodes of ``depth`` above nodes one byte deeper."""
+    return ((codes >> 8 & _context(depth)) << 8) | (codes & 255)
+
+
+def levels_of(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[Level]:
+    """The levels from ``depth`` up to ``top`` of counted symbols with ``depth`` bytes before each."""
+    out: list[Level] = []
+    for d in range(depth, top - 1, -1):
+        grams, n = _summed(grams & _context(d + 1), n)
+        codes, zeros, ones = [], [], []
+        for k in range(8):
+            symbols = grams & 255
+            bit = (symbols >> (7 - k)) & 1
+            code, n0, n1 = _summed(((grams >> 8) << 8) | (1 << k) | (symbols >> (8 - k)), n * (1 - bit), n * bit)
+            codes.append(code)
+            zeros.append(n0)
+            ones.append(n1)
+        order = np.argsort(code := np.concatenate(codes), kind="stable")
+        below = (out[-1].codes, out[-1].weighted) if out else None
+        out.append(Level.over(d, code[order], np.concatenate(zeros)[order], np.concatenate(ones)[order], below))
     return out
 
 
-def node_keys(depth: int, contexts: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return mix(((contexts << np.uint64(8)) | bits) ^ (np.uint64(depth + 1) << np.uint64(60)))
+def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    keys, n = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
+    return keys.astype(np.int64), n.astype(np.float64)
+
+
+SUMMARY = "code long, n0 double, n1 double, weighted double"
+NODES = "depth int, code long, p double"
+TOP = 2  # bytes of context that a task's subtrees have in common
+
+
+def _summaries(depth: int):
+    """The roots of the subtrees of a partition, with their weighted probabilities."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels_of(*_gathered(batches), depth, TOP)[-1]
+        yield pa.RecordBatch.from_pydict({"code": level.codes, "n0": level.n0, "n1": level.n1, "weighted": level.weighted})
+
+    return run
+
+
+def _mixed(depth: int, least: int, codes: np.ndarray, total: np.ndarray, rest: np.ndarray):
+    """Probabilities of the nodes of a partition's subtrees; ``codes`` are the nodes right above them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = (codes, total, rest)
+        for level in levels_of(*_gathered(batches), depth, TOP)[::-1]:
+            at = np.searchsorted(above[0], parent_codes(level.codes, level.depth - 1))
+            p, *sums = level.down(above[1][at], above[2][at])
+            above = (level.codes, *sums)
+            kept = level.large(least)
+            yield pa.RecordBatch.from_pydict({
+                "depth": pa.array(np.full(kept.sum(), level.depth), pa.int32()), "code": level.codes[kept], "p": p[kept],
+            })
+
+    return run
+
+
+def weighted_nodes(grams: DataFrame, depth: int, least: int) -> DataFrame:
+    """``(depth, code, p)``: the probability of a one where a path ends at the node, of contexts with enough symbols.
+
+    The tree is cut below its first two bytes.  All symbols whose last two
+    bytes before them agree go to one task, which weights their subtrees from the leaves up.
+    Their roots, at most 2**16 contexts, are joined on the driver into the top of the tree; with
+    the mixture there, each task goes down its subtrees again.
+    """
+    if depth < TOP:
+        raise ValueError(f"the depth is {TOP} at least")
+    by_context = grams.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(_context(TOP)))
+    roots = by_context.mapInArrow(_summaries(depth), SUMMARY).toArrow()
+    codes, n0, n1, weighted = (roots.column(c).to_numpy() for c in ("code", "n0", "n1", "weighted"))
+    top: list[Level] = []
+    for d in range(TOP - 1, -1, -1):
+        parents, zeros, ones = _summed(parent_codes(codes, d), n0, n1)
+        top.append(Level.over(d, parents, zeros, ones, (codes, weighted)))
+        codes, n0, n1, weighted = parents, zeros, ones, top[-1].weighted
+    rows, above = [], None
+    for level in top[::-1]:
+        at = slice(None) if above is None else np.searchsorted(above[0], parent_codes(level.codes, level.depth - 1))
+        total, rest = (np.zeros(len(level.codes)), np.ones(len(level.codes))) if above is None else (above[1][at], above[2][at])
+        p, *sums = level.down(total, rest)
+        above = (level.codes, *sums)
+        kept = level.large(least) if level.depth else np.ones(len(p), bool)
+        rows += zip([level.depth] * int(kept.sum()), level.codes[kept].tolist(), p[kept].tolist(), strict=True)
+    below = by_context.mapInArrow(_mixed(depth, least, *above), NODES)
+    return below.unionByName(grams.sparkSession.createDataFrame(rows, NODES).coalesce(1))
+
+
+def node_keys(depth: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    return mix(codes ^ ((depth + np.uint64(1)) << np.uint64(60)))
 
 
 class Scorer:
     """Probabilities of nodes, and code lengths of symbols met, which a worker keeps."""
 
-    def __init__(self, nodes: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], depth: int):
+    def __init__(self, depth: int, n_nodes: int, nodes: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        """``nodes`` are runs of depths, codes and probabilities, ``n_nodes`` in all."""
         self.depth = depth
-        self.nodes = HashTable(sum(len(c) for _, c, _, _ in nodes))
-        parts = []
-        for d, contexts, bits, p in nodes:
-            self.nodes.insert(node_keys(d, contexts.astype(np.uint64), bits.astype(np.uint64)))
-            parts.append(p)
-        self.p = np.concatenate([*parts, [0.5]])  # the last is for decisions never seen
+        self.nodes = HashTable(max(n_nodes, 1))
+        self.p = np.full(n_nodes + 1, 0.5)  # the last is for decisions never seen
+        for depths, codes, p in nodes:
+            numbers = self.nodes.insert(node_keys(depths.astype(np.uint64), codes.astype(np.uint64)))
+            self.p[numbers] = p
         self.known = HashTable(REMEMBERED)
         self.lengths = np.empty(REMEMBERED, np.float64)
 
@@ -213,7 +283,7 @@ class Scorer:
             for d in range(self.depth, -1, -1):
                 open_ = np.flatnonzero(at < 0)
                 own = contexts[open_] & np.uint64(_context(d))
-                at[open_] = self.nodes.find(node_keys(d, own, bits[open_]))
+                at[open_] = self.nodes.find(node_keys(np.uint64(d), (own << np.uint64(8)) | bits[open_]))
             p = self.p[at]
             total += np.log10(np.where((symbols >> np.uint64(7 - k)) & np.uint64(1), p, 1 - p))
         return total
@@ -238,27 +308,31 @@ class Scorer:
         return np.add.reduceat(self.lookup(grams), starts)
 
 
-def _read(path: str, columns: list[str]) -> dict[str, np.ndarray]:
-    """Columns of a stored table, read inside a task."""
+def _read(path: str, columns: list[str]) -> tuple[int, Iterator[tuple[np.ndarray, ...]]]:
+    """Rows of a stored table, and its columns run by run, read inside a task."""
     system, place = open_fs(path)
-    table = ds.dataset(place, filesystem=system, format="parquet").to_table(columns=columns)
-    return {c: table.column(c).to_numpy() for c in columns}
+    table = ds.dataset(place, filesystem=system, format="parquet")
+
+    def runs():
+        for batch in table.to_batches(columns=columns, batch_size=READ_ROWS, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            yield tuple(batch.column(c).to_numpy() for c in columns)
+        pa.default_memory_pool().release_unused()
+
+    return table.count_rows(), runs()
 
 
 @lru_cache(maxsize=1)
 def scorer(path: str, depth: int) -> Scorer:
-    rows = _read(path, ["depth", "context", "bits", "p"])
-    return Scorer([
-        (d, *(rows[c][rows["depth"] == d] for c in ("context", "bits", "p"))) for d in range(depth + 1)
-    ], depth)
+    return Scorer(depth, *_read(path, ["depth", "code", "p"]))
 
 
 @lru_cache(maxsize=1)
 def head_words(path: str) -> tuple[HashTable, np.ndarray]:
-    rows = _read(path, ["key", "n"])
-    table = HashTable(max(len(rows["key"]), 1))
-    table.insert(rows["key"].view(np.uint64))
-    return table, np.r_[np.log10(rows["n"] + 1), 0.0]
+    size, runs = _read(path, ["key", "n"])
+    table, logs = HashTable(max(size, 1)), np.zeros(size + 1)
+    for keys, n in runs:
+        logs[table.insert(keys.view(np.uint64))] = np.log10(n + 1)
+    return table, logs
 
 
 def _scores(model_path: str, head_path: str, depth: int):
@@ -266,7 +340,7 @@ def _scores(model_path: str, head_path: str, depth: int):
         model, (head, logs) = scorer(model_path, depth), head_words(head_path)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 raw = [t.lower() for t in text_bytes(part.column("text"))]
                 words, bounds = word_hashes(raw)
                 entries = head.find(words)
@@ -321,6 +395,7 @@ def score_texts(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), "_may"
     )
     counted = rows.filter("_may").select("text").mapInArrow(_tallies(depth), "kind byte, key long, n long")
+    counted = counted.repartition("kind", "key")  # tasks have summed up their own rows already
     counted = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "tallies")
     grams = counted.filter(F.col("kind") == GRAM).select("key", "n")
     words = counted.filter(F.col("kind") == WORD).select("key", "n")
@@ -328,7 +403,7 @@ def score_texts(
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_bytes = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    nodes = mixed(weighted_levels(grams, depth), -(-n_bytes // support))
+    nodes = weighted_nodes(grams, depth, -(-n_bytes // support))
     model_path = _kept(nodes, spark, "context-tree")
     head_table = _head(words, head)
     head_path = _kept(head_table, spark, "head-words")

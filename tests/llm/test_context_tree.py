@@ -134,10 +134,10 @@ def test_odd_rows(odd_docs):
     assert len(repeated) == 2 and repeated[0] == repeated[1]
 
 
-def test_estimate_column(spark):
+def test_estimate():
     pairs = [(0, 0), (1, 0), (0, 1), (3, 5), (1000, 7), (10**9, 10**8)]
-    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", log_estimate(F.col("a"), F.col("b")).alias("x"))
-    for a, b, x in df.collect():
+    for a, b in pairs:
+        x = log_estimate(np.array([float(a)]), np.array([float(b)]))[0]
         assert x == pytest.approx(log_kt(a, b), rel=1e-10, abs=1e-9)
 
 
