@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment of words.
 
 Test items are taken in blocks of bounded size.  For a block, every document is
-searched for all word n-grams of its items.  The number of documents with each
-n-gram tells which are rare; an item's rarer half counts as rare in any case, so
-a passage that is everywhere is still found by its own seeds.  Documents with a
-rare seed are read again, and the words around the seeds are aligned with the
-item.  Edited words and gaps lower the score but do not hide the copy.
+searched for all word n-grams of its items, and each of them is a seed, however many
+documents hold it.  The words around an item's seeds are aligned with the item,
+unless too few of its words stand there for any alignment to reach the least score.
+Edited words and gaps lower the score but do not hide the copy.
 """
 
 from __future__ import annotations
@@ -21,10 +20,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import id_text, map_texts
 from millrace.llm.wordhash import gram_hashes
-from millrace.session import materialize
 
 SEED_WORDS = 3
-RARE_SHARE = 0.001  # of documents, up to which an n-gram is rare
 MIN_SHARE = 0.5  # of the score of the item aligned with itself
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4 << 20  # text of the items that are sent to tasks at a time
@@ -51,6 +48,11 @@ class Block:
     gram_of: np.ndarray  # seed number of each place, items one after the other
     item_of: np.ndarray
     place_of: np.ndarray
+    first: np.ndarray  # where the places of each seed begin in by_gram
+    by_gram: np.ndarray  # places in order of their seed
+    flat: np.ndarray  # words of all items, one item after the other
+    starts: np.ndarray
+    sizes: np.ndarray
 
     @classmethod
     def of(cls, rows: list) -> Block:
@@ -65,7 +67,13 @@ class Block:
         grams, gram_of = np.unique(np.concatenate(hashes or [np.empty(0, np.uint64)]), return_inverse=True)
         counts = [len(h) for h in hashes]
         places = [np.arange(n) for n in counts] or [np.empty(0, np.int64)]
-        return cls(ids, vocabulary, items, grams, gram_of, np.repeat(np.arange(len(items)), counts), np.concatenate(places))
+        item_of = np.repeat(np.arange(len(items)), counts)
+        first = np.r_[0, np.cumsum(np.bincount(gram_of, minlength=len(grams)))].astype(np.int64)
+        sizes = np.array([len(i) for i in items], np.int64)
+        return cls(
+            ids, vocabulary, items, grams, gram_of, item_of, np.concatenate(places), first, np.argsort(gram_of, kind="stable"),
+            np.concatenate(items or [np.empty(0, np.int64)]), np.cumsum(sizes) - sizes, sizes,
+        )
 
     def words(self, text: str) -> np.ndarray:
         get = self.vocabulary.get
@@ -91,14 +99,42 @@ class Block:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate(numbers), np.concatenate(at)
 
-    def rare(self, counts: np.ndarray, limit: float) -> np.ndarray:
-        """Marks the places that are seeds: at most ``limit`` documents, or the rarer half of their item."""
-        seen = counts[self.gram_of]
-        order = np.lexsort((self.place_of, seen, self.item_of))
-        sizes = np.bincount(self.item_of, minlength=len(self.items))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[self.item_of[order]]
-        return (seen <= limit) | (rank < (sizes[self.item_of] + 1) // 2)
+    def reachable(self, words: np.ndarray, items: np.ndarray, min_share: float) -> np.ndarray:
+        """Those of ``items`` of which a text holds enough words; no alignment matches more of them."""
+        present = np.zeros(len(self.vocabulary) + 1, bool)  # the last is for words of no item
+        present[words] = True
+        present[-1] = False
+        sizes = self.sizes[items]
+        starts = np.cumsum(sizes) - sizes
+        own = self.flat[np.repeat(self.starts[items] - starts, sizes) + np.arange(sizes.sum())]
+        return items[np.add.reduceat(present[own].astype(np.int64), starts) >= min_share * sizes]
+
+    def windows(self, words: np.ndarray, min_share: float) -> Iterator[tuple[int, int, int]]:
+        """Per item, the joined ranges of words its seeds point to, with half its length to either side."""
+        numbers, at = self.seeds(words)
+        if not len(numbers):
+            return
+        n = self.first[numbers + 1] - self.first[numbers]  # places of each seed in items
+        ends = np.cumsum(n)
+        places = self.by_gram[np.repeat(self.first[numbers] - (ends - n), n) + np.arange(ends[-1])]
+        item, start = self.item_of[places], np.repeat(at, n) - self.place_of[places]
+        known = np.zeros(len(self.items), bool)
+        known[self.reachable(words, np.unique(item), min_share)] = True
+        item, start = item[known[item]], start[known[item]]
+        order = np.lexsort((start, item))
+        low, high = -1, -1
+        last = -1
+        for k, place in zip(item[order].tolist(), start[order].tolist(), strict=True):
+            length = len(self.items[k])
+            a, b = max(place - length // 2, 0), min(place + length + length // 2 + 1, len(words))
+            if k == last and a <= high:
+                high = max(high, b)
+                continue
+            if last >= 0:
+                yield last, low, high
+            last, low, high = k, a, b
+        if last >= 0:
+            yield last, low, high
 
 
 def align(item: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -148,59 +184,24 @@ def best_alignment(item: np.ndarray, text: np.ndarray, least: float) -> tuple[in
     return best
 
 
-def _windows(block: Block, by_gram: dict, numbers: np.ndarray, at: np.ndarray, n_words: int) -> Iterator[tuple]:
-    """Per item, the joined ranges of words its seeds point to, with half its length to either side."""
-    ranges: dict[int, list] = {}
-    for number, place in zip(numbers.tolist(), at.tolist(), strict=True):
-        for item, own in by_gram.get(number, ()):
-            length = len(block.items[item])
-            low = max(place - own - length // 2, 0)
-            high = min(place - own + length + length // 2 + 1, n_words)
-            ranges.setdefault(item, []).append((low, high))
-    for item, spans in ranges.items():
-        spans.sort()
-        low, high = spans[0]
-        for a, b in spans[1:]:
-            if a > high:
-                yield item, low, high
-                low, high = a, b
-            else:
-                high = max(high, b)
-        yield item, low, high
-
-
-def _search(block: Block):
-    def search(part: pa.RecordBatch) -> dict:
-        ids, seeds = [], []
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            numbers, _ = block.seeds(block.words(text))
-            if len(numbers):
-                ids.append(doc_id)
-                seeds.append(np.unique(numbers))
-        return {"doc_id": ids, "seeds": seeds}
-
-    return search
-
-
-def _align_all(block: Block, rare: np.ndarray, min_share: float):
-    by_gram: dict[int, list] = {}
-    for k in np.flatnonzero(rare).tolist():
-        by_gram.setdefault(int(block.gram_of[k]), []).append((int(block.item_of[k]), int(block.place_of[k])))
+def _align_all(block: Block, min_share: float):
     remembered: dict = {}
 
     def aligned(part: pa.RecordBatch) -> dict:
         out = {c.split()[0]: [] for c in FOUND.split(", ")}
         for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
             words = block.words(text)
-            numbers, at = block.seeds(words)
             best: dict[int, tuple] = {}
-            for item, low, high in _windows(block, by_gram, numbers, at, len(words)):
+            for item, low, high in block.windows(words, min_share):
                 own, window = block.items[item], words[low:high]
+                least = MATCH * min_share * len(own)
+                if MATCH * np.isin(own, window).sum() < least:
+                    continue
                 key = (item, window.tobytes())
                 if key not in remembered:
                     if len(remembered) >= REMEMBERED:
                         remembered.clear()
-                    remembered[key] = best_alignment(own, window, MATCH * min_share * len(own))
+                    remembered[key] = best_alignment(own, window, least)
                 found = remembered[key]
                 if found and (item not in best or found[0] > best[item][0]):
                     best[item] = (found[0], found[1], low + found[2], low + found[3])
@@ -224,7 +225,7 @@ def _blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[Block]:
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, rare_share: float = RARE_SHARE,
+    docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """A row per document and test item that align with at least ``min_share`` of the item's own score.
@@ -236,23 +237,9 @@ def contaminated(
     """
     spark = docs.sparkSession
     docs = id_text(docs, id_col, text_col)
-    n_docs = docs.count()
     found = spark.createDataFrame([], FOUND)
     for block in _blocks(items, item_col, item_text_col):
-        if not block.items:
-            continue
-        hits = materialize(map_texts(docs, _search(block), "doc_id long, seeds array<int>"), "seed-hits")
-        counted = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").count()
-        counts = np.zeros(len(block.grams), np.int64)
-        for seed, count in counted.collect():  # at most the n-grams of one block
-            counts[seed] = count
-        rare = block.rare(counts, rare_share * n_docs)
-        wanted = np.zeros(len(block.grams), bool)
-        wanted[block.gram_of[rare]] = True
-        kept = materialize(spark.createDataFrame([(int(g),) for g in np.flatnonzero(wanted)], "seed int"), "seeds")
-        seeded = hits.select("doc_id", F.explode("seeds").alias("seed")).join(kept, "seed", "left_semi")
-        wanted_ids = seeded.select(F.col("doc_id").alias("_id")).distinct()
-        again = docs.join(wanted_ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        found = found.unionByName(map_texts(again, _align_all(block, rare, min_share), FOUND))
+        if block.items:
+            found = found.unionByName(map_texts(docs, _align_all(block, min_share), FOUND))
     best = F.max_by(F.struct("score", "n_matches", "start_word", "end_word"), F.struct("score", -F.col("start_word"))).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")

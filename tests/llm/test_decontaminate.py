@@ -100,3 +100,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert found[5, 1] == found[6, 1] == found[6, None] == 1 and (None, 1) in found and {k[0] for k in found} == {5, 6, None}
     assert contaminated(no_docs, items).count() == 0
     assert contaminated(odd_docs, items.limit(0)).count() == 0
+
+
+def test_a_frequent_edited_copy_is_found(spark, docs_of):
+    """More than half of the item's trigrams stand in no document; those left stand in all of them."""
+    item = [f"q{k}" for k in range(40)]
+    copy = " ".join("new" if k % 5 == 2 else w for k, w in enumerate(item))
+    docs = [(k, f"start {k} {copy} end {k}") for k in range(200)] + [(900, "q0 q1 nothing q3 q4 else")]
+    found = contaminated(docs_of(docs), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    want = plain_score(item, words_of(docs[0][1])) / (MATCH * len(item))
+    assert want > 0.5 and sorted(r["doc_id"] for r in found) == list(range(200))
+    assert {r["score"] for r in found} == {want}
