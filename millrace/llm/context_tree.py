@@ -6,10 +6,10 @@ Krichevsky-Trofimov estimate.  From the leaves up, the block probability of the
 training data is weighted, half for a node's own estimate and half for
 its children's product; from the root down, the same weights mix the estimates of all
 depths into one probability per node.  Counting is a grouped table; the tree is
-weighted and mixed subtree by subtree.  What a task needs to score is a table of
-probabilities, with the contexts that hold at least one in ``SUPPORT`` of the
-training bytes, so at most ``SUPPORT`` of each depth whatever the corpus.
-A path ends at the deepest such node that training data has seen.
+weighted and mixed subtree by subtree, and the code length of every symbol after every
+context of the texts is read off it there.  A path ends at the deepest node that
+training data has seen, however rarely.  Tasks that score hold the lengths of the most frequent
+symbols in context, ``HEAD_GRAMS`` at most; those of the others are joined.
 
 Every text is its bytes, A to Z in lower case, and an end symbol; before it stand end symbols.
 """
@@ -29,20 +29,19 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, text_bytes
 from millrace.llm.hashtable import HashTable
-from millrace.llm.wordhash import mix, word_hashes
+from millrace.llm.wordhash import word_hashes
 from millrace.session import materialize, scratch_path
 from millrace.sources.paths import open_fs, qualified
 
 DEPTH = 5
-SUPPORT = 1 << 19
+HEAD_GRAMS = 1 << 20  # frequent symbols in context whose code lengths are sent to tasks; the others are joined
 HEAD_WORDS = 1 << 19  # frequent words whose counts are sent to tasks; the others are joined
-REMEMBERED = 1 << 20
 MERGED = 1 << 20
 SLICE = 1 << 20
 READ_ROWS = 1 << 16
 END = 0xFF
 
-GRAM, WORD, TEXT = 0, 1, 2
+GRAM, WORD, TEXT, OTHER = 0, 1, 2, 3  # OTHER: symbols in context of texts that are not learned from
 
 
 def byte_grams(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,14 +83,20 @@ class Tally:
 
 def _tallies(depth: int):
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words, texts = Tally(), Tally(), 0
+        grams, words, others, texts = Tally(), Tally(), Tally(), 0
         for batch in batches:
             for part in slices(batch, size=SLICE):
-                raw = [t.lower() for t in text_bytes(part.column("text"))]
+                learned = part.column("_may")
+                rest = part.filter(pa.compute.invert(learned))
+                others.add(byte_grams([t.lower() for t in text_bytes(rest.column("text"))], depth)[0])
+                raw = [t.lower() for t in text_bytes(part.filter(learned).column("text"))]
                 grams.add(byte_grams(raw, depth)[0])
                 words.add(word_hashes(raw)[0])
                 texts += len(raw)
-        rows = ((GRAM, *grams.merge()), (WORD, *words.merge()), (TEXT, np.zeros(1, np.uint64), np.array([texts])))
+        rows = (
+            (GRAM, *grams.merge()), (WORD, *words.merge()), (TEXT, np.zeros(1, np.uint64), np.array([texts])),
+            (OTHER, *others.merge()),
+        )
         for kind, keys, counts in rows:
             for k in range(0, len(keys), 1 << 16):
                 some = keys[k:k + (1 << 16)].view(np.int64)
@@ -187,14 +192,19 @@ def levels_of(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[Le
     return out
 
 
-def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    keys, n = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 2
-    return keys.astype(np.int64), n.astype(np.float64)
+def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, how often they were learned, and how often they are met."""
+    held = [[b.column(k).to_numpy() for k in range(3)] for b in batches if b.num_rows]
+    keys, n, met = (np.concatenate(c) for c in zip(*held, strict=True)) if held else (np.empty(0, np.int64),) * 3
+    return keys.astype(np.int64), n.astype(np.float64), met.astype(np.int64)
+
+
+def _learned(keys: np.ndarray, n: np.ndarray, depth: int) -> list[Level]:
+    return levels_of(keys[n > 0], n[n > 0], depth, TOP)
 
 
 SUMMARY = "code long, n0 double, n1 double, weighted double"
-NODES = "depth int, code long, p double"
+LENGTHS = "key long, n long, length double"
 TOP = 2  # bytes of context that a task's subtrees have in common
 
 
@@ -202,40 +212,70 @@ def _summaries(depth: int):
     """The roots of the subtrees of a partition, with their weighted probabilities."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels_of(*_gathered(batches), depth, TOP)[-1]
+        keys, n, _ = _gathered(batches)
+        level = _learned(keys, n, depth)[-1]
         yield pa.RecordBatch.from_pydict({"code": level.codes, "n0": level.n0, "n1": level.n1, "weighted": level.weighted})
 
     return run
 
 
-def _mixed(depth: int, least: int, codes: np.ndarray, total: np.ndarray, rest: np.ndarray):
-    """Probabilities of the nodes of a partition's subtrees; ``codes`` are the nodes right above them."""
+class Paths:
+    """Probabilities of the decisions of symbols in context, deeper level by level."""
+
+    def __init__(self, keys: np.ndarray):
+        self.contexts, self.symbols = keys >> 8, keys & 255
+        self.p = np.full((8, len(keys)), 0.5)  # for decisions never seen
+
+    def enter(self, depth: int, codes: np.ndarray, p: np.ndarray) -> None:
+        """Goes down to those of the nodes of ``depth`` that paths lead to."""
+        if not len(codes):
+            return
+        above = (self.contexts & _context(depth)) << 8
+        for k in range(8):
+            sought = above | (1 << k) | (self.symbols >> (8 - k))
+            at = np.minimum(np.searchsorted(codes, sought), len(codes) - 1)
+            hit = codes[at] == sought
+            self.p[k, hit] = p[at[hit]]
+
+    def log10(self) -> np.ndarray:
+        ones = (self.symbols >> np.arange(7, -1, -1)[:, None]) & 1 == 1
+        return np.log10(np.where(ones, self.p, 1 - self.p)).sum(axis=0)
+
+
+def _lengths(depth: int, least: int, top: list[tuple], codes: np.ndarray, total: np.ndarray, rest: np.ndarray):
+    """Code lengths of a partition's symbols in context; ``top`` are the nodes above its subtrees, ``codes`` those right above."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        above = (codes, total, rest)
-        for level in levels_of(*_gathered(batches), depth, TOP)[::-1]:
+        keys, n, met = _gathered(batches)
+        paths, above = Paths(keys), (codes, total, rest)
+        for nodes in top:
+            paths.enter(*nodes)
+        for level in _learned(keys, n, depth)[::-1]:
             at = np.searchsorted(above[0], parent_codes(level.codes, level.depth - 1))
             p, *sums = level.down(above[1][at], above[2][at])
             above = (level.codes, *sums)
             kept = level.large(least)
-            yield pa.RecordBatch.from_pydict({
-                "depth": pa.array(np.full(kept.sum(), level.depth), pa.int32()), "code": level.codes[kept], "p": p[kept],
-            })
+            paths.enter(level.depth, level.codes[kept], p[kept])
+        lengths = paths.log10()
+        for k in range(0, len(keys), READ_ROWS):
+            yield pa.RecordBatch.from_pydict({c: v[k:k + READ_ROWS] for c, v in (("key", keys), ("n", met), ("length", lengths))})
 
     return run
 
 
-def weighted_nodes(grams: DataFrame, depth: int, least: int) -> DataFrame:
-    """``(depth, code, p)``: the probability of a one where a path ends at the node, of contexts with enough symbols.
+def code_lengths(grams: DataFrame, depth: int, least: int = 1) -> DataFrame:
+    """``(key, n, length)``: log10 probability of each symbol after its context, from counts ``(key, learned, n)``.
+
+    ``n``, how often a symbol is met, is handed on.  A path ends above contexts learned fewer than ``least`` times.
 
     The tree is cut below its first two bytes.  All symbols whose last two
     bytes before them agree go to one task, which weights their subtrees from the leaves up.
-    Their roots, at most 2**16 contexts, are joined on the driver into the top of the tree; with
-    the mixture there, each task goes down its subtrees again.
+    Their roots, the decisions of at most 2**16 contexts with up to 255 each, are joined on the driver
+    into the top of the tree; with the mixture there, each task goes down its subtrees again.
     """
     if depth < TOP:
         raise ValueError(f"the depth is {TOP} at least")
-    by_context = grams.select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(_context(TOP)))
+    by_context = grams.select("key", "learned", "n").repartition(F.shiftright("key", 8).bitwiseAND(_context(TOP)))
     roots = by_context.mapInArrow(_summaries(depth), SUMMARY).toArrow()
     codes, n0, n1, weighted = (roots.column(c).to_numpy() for c in ("code", "n0", "n1", "weighted"))
     top: list[Level] = []
@@ -243,69 +283,15 @@ def weighted_nodes(grams: DataFrame, depth: int, least: int) -> DataFrame:
         parents, zeros, ones = _summed(parent_codes(codes, d), n0, n1)
         top.append(Level.over(d, parents, zeros, ones, (codes, weighted)))
         codes, n0, n1, weighted = parents, zeros, ones, top[-1].weighted
-    rows, above = [], None
+    nodes, above = [], None
     for level in top[::-1]:
         at = slice(None) if above is None else np.searchsorted(above[0], parent_codes(level.codes, level.depth - 1))
         total, rest = (np.zeros(len(level.codes)), np.ones(len(level.codes))) if above is None else (above[1][at], above[2][at])
         p, *sums = level.down(total, rest)
         above = (level.codes, *sums)
         kept = level.large(least) if level.depth else np.ones(len(p), bool)
-        rows += zip([level.depth] * int(kept.sum()), level.codes[kept].tolist(), p[kept].tolist(), strict=True)
-    below = by_context.mapInArrow(_mixed(depth, least, *above), NODES)
-    return below.unionByName(grams.sparkSession.createDataFrame(rows, NODES).coalesce(1))
-
-
-def node_keys(depth: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return mix(codes ^ ((depth + np.uint64(1)) << np.uint64(60)))
-
-
-class Scorer:
-    """Probabilities of nodes, and code lengths of symbols met, which a worker keeps."""
-
-    def __init__(self, depth: int, n_nodes: int, nodes: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``nodes`` are runs of depths, codes and probabilities, ``n_nodes`` in all."""
-        self.depth = depth
-        self.nodes = HashTable(max(n_nodes, 1))
-        self.p = np.full(n_nodes + 1, 0.5)  # the last is for decisions never seen
-        for depths, codes, p in nodes:
-            numbers = self.nodes.insert(node_keys(depths.astype(np.uint64), codes.astype(np.uint64)))
-            self.p[numbers] = p
-        self.known = HashTable(REMEMBERED)
-        self.lengths = np.empty(REMEMBERED, np.float64)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's symbol after its context."""
-        contexts, symbols = grams >> np.uint64(8), grams & np.uint64(255)
-        total = np.zeros(len(grams))
-        for k in range(8):
-            bits = np.uint64(1 << k) | (symbols >> np.uint64(8 - k))
-            at = np.full(len(grams), -1, np.int64)
-            for d in range(self.depth, -1, -1):
-                open_ = np.flatnonzero(at < 0)
-                own = contexts[open_] & np.uint64(_context(d))
-                at[open_] = self.nodes.find(node_keys(np.uint64(d), (own << np.uint64(8)) | bits[open_]))
-            p = self.p[at]
-            total += np.log10(np.where((symbols >> np.uint64(7 - k)) & np.uint64(1), p, 1 - p))
-        return total
-
-    def lookup(self, grams: np.ndarray) -> np.ndarray:
-        entries = self.known.find(grams)
-        missing = np.flatnonzero(entries < 0)
-        if len(missing):
-            new = np.unique(grams[missing])
-            if self.known.size + len(new) > REMEMBERED:
-                self.known = HashTable(REMEMBERED)
-                new = np.unique(grams)
-                if len(new) > REMEMBERED:
-                    return self.log10(grams)
-            numbers = self.known.insert(new)
-            self.lengths[numbers] = self.log10(new)
-            entries = self.known.find(grams)
-        return self.lengths[entries]
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        grams, starts = byte_grams(texts, self.depth)
-        return np.add.reduceat(self.lookup(grams), starts)
+        nodes.append((level.depth, level.codes[kept], p[kept]))
+    return by_context.mapInArrow(_lengths(depth, least, nodes, *above), LENGTHS)
 
 
 def _read(path: str, columns: list[str]) -> tuple[int, Iterator[tuple[np.ndarray, ...]]]:
@@ -322,8 +308,12 @@ def _read(path: str, columns: list[str]) -> tuple[int, Iterator[tuple[np.ndarray
 
 
 @lru_cache(maxsize=1)
-def scorer(path: str, depth: int) -> Scorer:
-    return Scorer(depth, *_read(path, ["depth", "code", "p"]))
+def head_lengths(path: str) -> tuple[HashTable, np.ndarray]:
+    size, runs = _read(path, ["key", "length"])
+    table, lengths = HashTable(max(size, 1)), np.zeros(size + 1)  # the last is for those that are joined
+    for keys, length in runs:
+        lengths[table.insert(keys.view(np.uint64))] = length
+    return table, lengths
 
 
 @lru_cache(maxsize=1)
@@ -335,9 +325,23 @@ def head_words(path: str) -> tuple[HashTable, np.ndarray]:
     return table, logs
 
 
-def _scores(model_path: str, head_path: str, depth: int):
+def _lists(rows: np.ndarray, values: np.ndarray, n_rows: int) -> pa.ListArray:
+    """The values of each row, given in order of the rows."""
+    ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=n_rows))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def _tail(grams: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each text, text by text, with their counts."""
+    order = np.lexsort((grams, text_of))
+    grams, text_of = grams[order], text_of[order]
+    first = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (text_of[1:] != text_of[:-1])][:len(grams)])
+    return text_of[first], grams[first], np.diff(np.r_[first, len(grams)])
+
+
+def _scores(lengths_path: str, head_path: str, depth: int):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (head, logs) = scorer(model_path, depth), head_words(head_path)
+        (table, lengths), (head, logs) = head_lengths(lengths_path), head_words(head_path)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for part in slices(batch, size=SLICE):
@@ -347,14 +351,19 @@ def _scores(model_path: str, head_path: str, depth: int):
                 text_of = np.repeat(np.arange(len(raw)), np.diff(bounds))
                 rare = entries < 0
                 known = np.bincount(text_of[~rare], minlength=len(raw))
-                rare_ends = np.r_[0, np.cumsum(rare)][bounds].astype(np.int32)
+                grams, starts = byte_grams(raw, depth)
+                places = table.find(grams)
+                missing = np.flatnonzero(places < 0)
+                tail_of, tail, times = _tail(grams[missing], np.searchsorted(starts, missing, side="right") - 1)
                 yield pa.RecordBatch.from_pydict({
                     "row": pa.array(row + np.arange(len(raw)), pa.int64()), "doc_id": part.column("doc_id"),
                     "n_bytes": pa.array([len(t) for t in raw], pa.int64()),
                     "n_words": pa.array(np.diff(bounds), pa.int64()), "head_known": pa.array(known, pa.int64()),
                     "head_log": pa.array(np.bincount(text_of, logs[entries], len(raw)), pa.float64()),
-                    "score": pa.array(model.scores(raw), pa.float64()),
-                    "rare": pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(words[rare].view(np.int64))),
+                    "head_score": pa.array(np.add.reduceat(lengths[places], starts), pa.float64()),
+                    "rare": _lists(text_of[rare], words[rare].view(np.int64), len(raw)),
+                    "tail": _lists(tail_of, tail.view(np.int64), len(raw)),
+                    "times": _lists(tail_of, times.astype(np.int64), len(raw)),
                 })
                 row += len(raw)
 
@@ -362,12 +371,13 @@ def _scores(model_path: str, head_path: str, depth: int):
 
 
 SCORED = (
-    "row long, doc_id long, n_bytes long, n_words long, head_known long, head_log double, score double, rare array<long>"
+    "row long, doc_id long, n_bytes long, n_words long, head_known long, head_log double, head_score double, "
+    "rare array<long>, tail array<long>, times array<long>"
 )
 
 
 def _head(words: DataFrame, most: int) -> DataFrame:
-    """The words with the highest counts, at most ``most``, down to a limit on a scale of steps of the count."""
+    """The rows with the highest counts ``n``, at most ``most``, down to a limit on a scale of steps of the count."""
     step = F.floor(F.log2(F.col("n").cast("double")) * 8)
     left, least = most, None
     for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred steps
@@ -379,8 +389,8 @@ def _head(words: DataFrame, most: int) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, may_learn: Column, depth: int = DEPTH, support: int = SUPPORT, head: int = HEAD_WORDS,
-    id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, may_learn: Column, depth: int = DEPTH, support: int | None = None, head: int = HEAD_WORDS,
+    id_col: str = "doc_id", text_col: str = "text", head_grams: int = HEAD_GRAMS,
 ) -> DataFrame:
     """Scores every text of ``docs`` with models of those that ``may_learn`` allows.
 
@@ -391,25 +401,32 @@ def score_texts(
     costs one bit, and every word 0.
     """
     spark: SparkSession = docs.sparkSession
+    may = F.coalesce("_may", F.lit(False)).alias("_may")
     rows = docs.withColumn("_may", may_learn).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), "_may"
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), may
     )
-    counted = rows.filter("_may").select("text").mapInArrow(_tallies(depth), "kind byte, key long, n long")
+    counted = rows.select("text", "_may").mapInArrow(_tallies(depth), "kind byte, key long, n long")
     counted = counted.repartition("kind", "key")  # tasks have summed up their own rows already
     counted = materialize(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "tallies")
-    grams = counted.filter(F.col("kind") == GRAM).select("key", "n")
+    learned = F.sum(F.when(F.col("kind") == GRAM, F.col("n")).otherwise(0)).alias("learned")
+    grams = counted.filter(F.col("kind").isin(GRAM, OTHER)).groupBy("key").agg(learned, F.sum("n").alias("n"))
     words = counted.filter(F.col("kind") == WORD).select("key", "n")
     n_texts = counted.filter(F.col("kind") == TEXT).agg(F.sum("n")).first()[0] or 0
     n_words, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    n_bytes = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-    nodes = weighted_nodes(grams, depth, -(-n_bytes // support))
-    model_path = _kept(nodes, spark, "context-tree")
-    head_table = _head(words, head)
-    head_path = _kept(head_table, spark, "head-words")
-    scored = rows.select("doc_id", "text").mapInArrow(_scores(model_path, head_path, depth), SCORED)
+    least = 1
+    if support is not None:
+        n_bytes = counted.filter(F.col("kind") == GRAM).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        least = -(-n_bytes // support)
+
+    lengths = materialize(code_lengths(grams, depth, least), "code-lengths")
+    lengths_path = _kept(_head(lengths, head_grams).select("key", "length"), spark, "head-lengths")
+    head_path = _kept(_head(words, head), spark, "head-words")
+    scored = rows.select("doc_id", "text").mapInArrow(_scores(lengths_path, head_path, depth), SCORED)
     scored = materialize(scored, "scored")
 
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("key"), "t.times")
+    tail = tail.join(lengths.select("key", "length"), "key").groupBy("row")
+    tail = tail.agg(F.sum(F.col("length") * F.col("times")).alias("tail_score"))
     rare = scored.select("row", F.explode("rare").alias("key")).join(words, "key")
     rare = rare.groupBy("row").agg(
         F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n").cast("double") + 1)).alias("rare_log")
@@ -418,7 +435,11 @@ def score_texts(
     n_tokens = F.col("n_words") + 1
     known = F.col("head_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(n_texts > 0))
     counts = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(float(np.log10(n_texts + 1)))
-    return scored.drop("rare").join(rare, "row", "left").select(
+    score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
+    scored = scored.drop("rare", "tail", "times").withColumnRenamed("row", "_row")
+    scored = scored.join(rare, F.col("_row") == rare["row"], "left").drop("row")
+    scored = scored.join(tail, F.col("_row") == tail["row"], "left").withColumn("score", score)
+    return scored.select(
         "doc_id", n_tokens.alias("n_tokens"), known.cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (counts - n_tokens * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"), "score",

@@ -155,3 +155,26 @@ def test_grams_and_tallies(monkeypatch):
         plain.update(keys.tolist())
     keys, counts = tally.merge()
     assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == plain
+
+
+@pytest.mark.parametrize("head_grams", [1 << 20, 50, 0])
+def test_every_learned_context_counts(docs_of, monkeypatch, head_grams):
+    """However many bytes are learned, and whether lengths are held in tasks or joined."""
+    monkeypatch.setattr("millrace.llm.context_tree.SUPPORT", 60, raising=False)
+    rows = [*texts(3, 60), (100, ""), (101, "zebra qqq"), (102, "aaaaaaaaaaaaaaaa")]
+    docs = docs_of(rows)
+    held = held_out("doc_id", 7, 2)
+    learn = {r["doc_id"] for r in docs.filter(~held).select("doc_id").collect()}
+    tree = PlainTree([t for k, t in rows if k in learn], 4)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, ~held, 4, head=3, head_grams=head_grams).collect()}
+    assert got == pytest.approx({k: tree.score(t) for k, t in rows}, rel=1e-9, abs=1e-9)
+
+
+def test_default_keeps_contexts_seen_once(docs_of):
+    """A text learned once, beside over 2**19 bytes of another: its contexts are below any share of the bytes."""
+    rare = "jqx vkz wpj qzv"
+    common = "ab " * 200_000
+    rows = [(1, rare), *((k, common) for k in (2, 3))]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in score_texts(docs_of([*rows, (9, rare)]), F.col("doc_id") < 9).collect()}
+    cut = score_texts(docs_of([*rows, (9, rare)]), F.col("doc_id") < 9, support=1 << 19)
+    assert got[9] < 0.9 * {r["doc_id"]: r["bits_per_byte"] for r in cut.collect()}[9]
