@@ -105,3 +105,22 @@ def test_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([(1, text, None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1  # nothing to learn from: nothing is dropped
+
+
+def test_clean_rows_without_an_id_of_their_own_stay(spark, docs_of, odd_docs):
+    """Rows that share an id or have none go only if their own text is a copy."""
+    r = random.Random(2)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    a, b, c, d, e, f = (" ".join(r.choice("abcdefgh") * 3 + str(r.randrange(99)) for _ in range(40)) for _ in range(6))
+    given = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, d), (None, e), (None, e), (None, f), (4, f)]
+    kept = corpus_pipeline.near_dedup(spark, docs_of(given), SF)
+    assert kept.columns == COLUMNS
+    assert {(x["doc_id"], x["text"]) for x in kept.collect()} == {(1, a), (2, b), (3, c), (3, d), (None, e), (4, f)}
+    assert kept.count() == 6
+    given = [(1, a), (1, f"{b} {item}"), (None, f"{c} {item}"), (None, d)]
+    kept = corpus_pipeline.decontaminate(spark, docs_of(given), SF)
+    assert {(x["doc_id"], x["text"]) for x in kept.collect()} == {(1, a), (None, d)}
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontaminate):
+        out = stage(spark, odd_docs, SF)
+        assert out.columns == odd_docs.columns and None in {x["doc_id"] for x in out.select("doc_id").collect()}
+        assert stage(spark, odd_docs.limit(0), SF).count() == 0
