@@ -11,6 +11,7 @@ from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.language import fit_languages, predict_languages
 from millrace.llm.line_quality import fit_lines, judge
+from millrace.llm.merkle import verify_tampered
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.packing import pack, pieces
 from millrace.llm.token_counts import token_counts
@@ -125,3 +126,68 @@ def op8_context_tree(spark, sf_dir):
     held = held_out("doc_id", 7, 2)
     scored = score_texts(documents(spark, sf_dir), ~held)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# CRC-32 byte by byte through its table of 256 entries, which follows from the polynomial bit by bit.
+MERKLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b::BIGINT)) AS crc),
+d AS (
+  SELECT doc_id, source, lang, n_chars, text, xor(4294967295, list_reduce(
+    list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: xor(c // 256, crc[1 + xor(c % 256, b)]), 4294967295::BIGINT)) % 5 = 0 AS tampered FROM documents, t),
+f AS (
+  SELECT doc_id, source, tampered,
+    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS v,
+    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')] AS w FROM d),
+h AS (
+  SELECT doc_id, source, tampered,
+    sha256(array_to_string(list_transform(v, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS leaf,
+    sha256(array_to_string(list_transform(w, lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), '')) AS changed
+  FROM f),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM h)),
+l AS (
+  SELECT h.*, g.tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source),
+a AS (
+  SELECT tree, 0 AS lvl, place, n, leaf AS h FROM l
+  UNION ALL
+  SELECT tree, lvl + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+  FROM a WHERE n > 1 GROUP BY tree, lvl, n, place // 16),
+s AS (SELECT tree, lvl AS height, h AS subroot, count(*) OVER () AS n FROM a WHERE a.n = 1),
+b AS (
+  SELECT 0 AS lvl, tree AS place, n, subroot AS h FROM s
+  UNION ALL
+  SELECT lvl + 1, place // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY place))
+  FROM b WHERE n > 1 GROUP BY lvl, n, place // 16),
+nodes AS (
+  SELECT tree, lvl, place, n, h FROM a WHERE n > 1
+  UNION ALL SELECT s.tree, s.height + b.lvl, b.place, b.n, b.h FROM s, b WHERE b.n > 1),
+runs AS (
+  SELECT tree, lvl, place, string_agg(h, '' ORDER BY place) OVER w AS lefts,
+    string_agg(h, '' ORDER BY place) OVER (PARTITION BY tree, lvl, place // 16 ORDER BY place
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rights
+  FROM nodes WINDOW w AS (PARTITION BY tree, lvl, place // 16 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (
+  SELECT l.doc_id, l.tree, l.leaf, l.place AS own, 0 AS lvl, l.place, '' AS proof,
+    CASE WHEN tampered THEN changed ELSE leaf END AS folded FROM l
+  UNION ALL
+  SELECT c.doc_id, c.tree, c.leaf, c.own, c.lvl + 1,
+    CASE WHEN c.lvl = s.height THEN c.tree ELSE c.place END // 16,
+    c.proof || coalesce(r.lefts, '') || coalesce(r.rights, ''),
+    sha256(coalesce(r.lefts, '') || c.folded || coalesce(r.rights, ''))
+  FROM c JOIN s USING (tree)
+  JOIN runs r ON r.tree = c.tree AND r.lvl = c.lvl AND r.place = CASE WHEN c.lvl = s.height THEN c.tree ELSE c.place END),
+z AS (SELECT *, row_number() OVER (PARTITION BY tree, own ORDER BY lvl DESC) AS k FROM c)
+SELECT doc_id, leaf, subroot, (SELECT h FROM b WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+  folded AS folded_root, folded = (SELECT h FROM b WHERE n = 1) AS verified
+FROM z JOIN s USING (tree) WHERE k = 1"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark, sf_dir):
+    folder = scratch_path(spark, "manifest")
+    return verify_tampered(documents(spark, sf_dir), folder, held_out("doc_id", 5, 0))
