@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from millrace.llm.collocations import collocations
 from millrace.llm.common import held_out
 from millrace.llm.context_tree import score_texts
 from millrace.llm.decontaminate import contaminated
@@ -191,3 +192,31 @@ FROM z JOIN s USING (tree) WHERE k = 1"""
 def op11_merkle_manifest(spark, sf_dir):
     folder = scratch_path(spark, "manifest")
     return verify_tampered(documents(spark, sf_dir), folder, held_out("doc_id", 5, 0))
+
+
+@query(r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc, string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (
+  SELECT lang, doc, unnest(range(len(pieces))) AS piece, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) t(m) WHERE len(ws) >= m),
+f AS (SELECT lang, ws[i:i + m - 1] AS ws, m, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 100),
+inner_ones AS (
+  SELECT lang, ws[1:m - 1] AS ws, f FROM c WHERE m > 2 UNION ALL SELECT lang, ws[2:m] AS ws, f FROM c WHERE m > 2),
+o AS (SELECT c.* FROM c ANTI JOIN inner_ones i ON c.lang = i.lang AND c.ws = i.ws AND 100 * i.f >= 100 * c.f),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM o),
+s AS (
+  SELECT k.lang, k.ws, k.k, k.f AS a, l.f AS l, r.f AS r, t.n, (1000 * k.f::HUGEINT * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM k JOIN t ON k.lang = t.lang
+  JOIN f l ON l.lang = k.lang AND l.ws = k.ws[1:k.k] JOIN f r ON r.lang = k.lang AND r.ws = k.ws[k.k + 1:k.m]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM s),
+z AS (
+  SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang
+    ORDER BY score DESC, a DESC, encode(array_to_string(ws, ' '))) AS rank FROM b WHERE place = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM z WHERE rank <= 2000""")
+def op12_collocations(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))
