@@ -11,6 +11,8 @@ from millrace.llm.context_tree import score_texts
 from millrace.llm.decontaminate import contaminated
 from millrace.llm.id_archive import read_id_archive, write_id_archive
 from millrace.llm.language import fit_languages, predict_languages
+from millrace.llm.license_scan import GAP, LEAST_DENSITY, LEAST_SHARE, NEAR, license_scan
+from millrace.llm.license_texts import NOTICES, PHRASES
 from millrace.llm.line_quality import fit_lines, judge
 from millrace.llm.merkle import verify_tampered
 from millrace.llm.near_dedup import near_duplicates
@@ -220,3 +222,49 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 FROM z WHERE rank <= 2000""")
 def op12_collocations(spark, sf_dir):
     return collocations(documents(spark, sf_dir))
+
+
+def _sql_strings(pairs):
+    return ", ".join("({}, '{}', '{}')".format(k, label, text.replace("'", "''")) for k, (label, text) in enumerate(pairs))
+
+
+LICENSE_SQL = rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+each_word AS (SELECT row, ws, unnest(range(len(ws))) AS pos FROM words),
+phrases AS (SELECT label, string_split(p, ' ') AS p FROM (VALUES {_sql_strings(PHRASES)}) t(k, label, p)),
+based AS (SELECT row, pos, label FROM each_word JOIN phrases ON ws[pos + 1:pos + len(p)] = p),
+base AS (SELECT row, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(label) AS labels FROM based GROUP BY row),
+notices AS (
+  SELECT k, label, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM (VALUES {_sql_strings(NOTICES)}) t(k, label, t)),
+grams AS (SELECT k, label, len(ws) AS size, ws, unnest(range(len(ws) - 3)) AS tpos FROM notices),
+hits AS (
+  SELECT row, k, label, size, pos, pos - tpos AS diagonal
+  FROM (SELECT row, pos, ws[pos + 1:pos + 4] AS g FROM each_word) a JOIN (SELECT *, ws[tpos + 1:tpos + 4] AS g FROM grams) b USING (g)),
+lines AS (SELECT DISTINCT row, k, diagonal FROM hits),
+steps AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, k ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM lines),
+bands AS (SELECT *, sum(fresh) OVER (PARTITION BY row, k ORDER BY diagonal) AS band FROM steps),
+ahead AS (
+  SELECT h.*, band, CASE WHEN pos - lag(pos) OVER w <= {GAP} THEN 0 ELSE 1 END AS fresh
+  FROM hits h JOIN bands b USING (row, k, diagonal) WINDOW w AS (PARTITION BY row, k, band ORDER BY pos, diagonal)),
+cut AS (SELECT *, sum(fresh) OVER (PARTITION BY row, k, band ORDER BY pos, diagonal) AS span FROM ahead),
+spread AS (SELECT *, pos + unnest(range(4)) AS word FROM cut),
+spans AS (
+  SELECT row, label, count(DISTINCT word - diagonal) / size AS share,
+    count(DISTINCT word) / (max(word) - min(word) + 1) AS density
+  FROM spread GROUP BY row, k, label, size, band, span),
+own AS (
+  SELECT row, list(label) AS labels, max(share) AS share FROM spans
+  WHERE share >= {LEAST_SHARE} AND density >= {LEAST_DENSITY} GROUP BY row)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, own.labels))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(own.share, 0)::DOUBLE END AS score
+FROM words LEFT JOIN base USING (row) LEFT JOIN own USING (row)"""
+
+
+@query(LICENSE_SQL)
+def op13_license_scan(spark, sf_dir):
+    return license_scan(documents(spark, sf_dir))
