@@ -89,12 +89,19 @@ def test_odd_rows_pass_through_every_stage(spark, odd_docs):
                 assert {i for i, _ in texts} >= {4, 5, 6, 7, None} and not {i for i, _ in texts} & {1, 2, 3, 9}
             if name == "near_dedup":
                 ids = [i for i, _ in texts]
-                assert len(ids) == len(set(ids)) and set(ids) == {1, 2, 3, 4, 5, 7, 8, 9, 10}
+                assert len(ids) == len(set(ids)) and set(ids) == {1, 2, 3, 4, 5, 7, 8, 9, 10, None}
         else:
             assert {r["doc_id"] for r in out.collect()} == {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None}
         assert stage(spark, odd_docs.limit(0), SF).count() == 0
 
 
+def test_a_column_named_like_the_row_number_stays(spark, docs_of):
+    given = docs_of([(1, "some words of a text"), (2, "other words of one more")], {"_stage_row": "'x'", "_stage_row_": "7"})
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.decontaminate):
+        out = stage(spark, given, SF)
+        assert out.columns == given.columns and {(r["_stage_row"], r["_stage_row_"]) for r in out.collect()} == {("x", 7)}
+
+
 def test_empty_tables(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
