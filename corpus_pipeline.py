@@ -26,7 +26,6 @@ from millrace.session import materialize
 
 LEAST_SHARE = 0.4  # of a text's letters, for the language with the most
 TOXIC_FROM = 0.3
-ROW = "_stage_row"  # number of a row within a stage
 
 # None: models, similarity components and packing are beyond SQL; tests compare with a plain version.
 ORACLE_SQL = None
@@ -50,9 +49,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_rows(docs, lambda texts: model.scores(texts) < TOXIC_FROM, size=SLICE // 2)
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """The rows, stored with a number of their own: ids can be null or shared."""
-    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), f"numbered-{name}")
+def _numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows, stored with a number of their own, as ids can be null or shared; and the number's column, new among theirs."""
+    row = "_stage_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), f"numbered-{name}"), row
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,18 +63,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are grouped by their texts alone, so rows that share an id or have none stay unless they are copies.
     A row without an id is kept of a group only if no other one has an id.
     """
-    rows = _numbered(docs, "near-dedup")
-    groups = near_duplicates(rows, words=5, percent=80, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", ROW)
-    kept = groups.join(rows.select("doc_id", ROW), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    rows, row = _numbered(docs, "near-dedup")
+    groups = near_duplicates(rows, words=5, percent=80, id_col=row).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", row)
+    kept = groups.join(rows.select("doc_id", row), row).groupBy("component_id").agg(F.min(order)[row].alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that hold a copy of a test item, edited ones included; others with their id, or without one, stay."""
-    rows = _numbered(docs, "decontaminate")
-    found = contaminated(rows, _table(spark, sf_dir, "benchmark"), id_col=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(found, ROW, "left_anti").drop(ROW)
+    rows, row = _numbered(docs, "decontaminate")
+    found = contaminated(rows, _table(spark, sf_dir, "benchmark"), id_col=row).select(F.col("doc_id").alias(row)).distinct()
+    return rows.join(found, row, "left_anti").drop(row)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
