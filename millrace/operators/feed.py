@@ -127,7 +127,7 @@ def permutation(n: Column, seed: Column) -> Column:
     def shuffled(sizes: pd.Series, seeds: pd.Series) -> pd.Series:
         orders = []
         for size, start in zip(sizes, seeds, strict=True):
-            order = list(range(size))
+            order = np.arange(size)
             np.random.default_rng(start).shuffle(order)
             orders.append(order)
         return pd.Series(orders, dtype="object")

@@ -29,6 +29,7 @@ from millrace.operators.pack import (
 from millrace.plans.documents import MEASURED, WORDS, cleaned, measured, raw_documents
 from millrace.plans.registry import query
 from millrace.session import materialize, scratch_path
+from millrace.sources.feed_reader import read_feed
 from millrace.sources.manifest import prune_ignored, shard_triples
 from millrace.sources.shards import read_shards, shard_catalog, validate_shards, write_shards
 
@@ -308,22 +309,22 @@ def manifest_filter(spark, sf_dir):
 
 
 # Feed order: one shard per source, numbered by plan order.
-LAYOUT = f"""{COUNTS},
-shards AS (SELECT plan_order AS shard_id, n AS num_sequences,
-                  CAST(plan_order % {WORLD} AS INTEGER) AS rank FROM counts),
-numbered AS (
+SPLIT = f"""numbered AS (
   SELECT *, row_number() OVER (PARTITION BY rank ORDER BY shard_id) - 1 AS place,
          count(*) OVER (PARTITION BY rank) AS n_rank_shards FROM shards),
 split AS (
   SELECT *, CAST(least(place // greatest(1, n_rank_shards // {WORKERS}), {WORKERS - 1}) AS INTEGER)
     AS worker FROM numbered)"""
-FEED = f"""{LAYOUT},
-seqs AS (SELECT *, 42 + worker + 1000 * shard_id AS shard_seed,
+LAYOUT = f"""{COUNTS},
+shards AS (SELECT plan_order AS shard_id, n AS num_sequences,
+                  CAST(plan_order % {WORLD} AS INTEGER) AS rank FROM counts),
+{SPLIT}"""
+ORDERED = f"""positions AS (SELECT *, 42 + worker + 1000 * shard_id AS shard_seed,
                 unnest(range(num_sequences)) AS seq_in_shard FROM split),
 streamed AS (
   SELECT *, row_number() OVER (PARTITION BY rank, worker ORDER BY shard_id,
       md5(concat_ws(':', shard_seed, shard_id, seq_in_shard)), seq_in_shard) - 1 AS nth,
-    count(*) OVER (PARTITION BY rank, worker) AS n_worker FROM seqs),
+    count(*) OVER (PARTITION BY rank, worker) AS n_worker FROM positions),
 batched AS (
   SELECT rank, worker, shard_id, seq_in_shard, nth // {BATCH} AS batch_in_worker,
          CAST(nth % {BATCH} AS INTEGER) AS row_in_batch
@@ -331,6 +332,7 @@ batched AS (
 feed AS (
   SELECT *, dense_rank() OVER (PARTITION BY rank ORDER BY batch_in_worker, worker) - 1
     AS batch_in_rank FROM batched)"""
+FEED = f"{LAYOUT}, {ORDERED}"
 STEPS = f"""{FEED},
 sizes AS (SELECT rank, max(batch_in_rank) + 1 AS n_batches FROM feed GROUP BY rank),
 micro AS (
@@ -360,6 +362,25 @@ def feed_order(spark, sf_dir):
     return feed_plan(source_shards(spark, sf_dir), WORLD, WORKERS, BATCH)
 
 
+@query(f"""WITH {packed_sql(SEQ_LEN)},
+counts AS (SELECT source, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS plan_order,
+                  count(*) AS n FROM padded GROUP BY ALL), {SHARD_PLAN},
+placed AS (SELECT CAST(first_shard + seq // {PER_SHARD} AS INTEGER) AS shard_id,
+                  seq % {PER_SHARD} AS seq_in_shard, tokens FROM padded JOIN first USING (source)),
+shards AS (SELECT shard_id, count(*) AS num_sequences, CAST(shard_id % {WORLD} AS INTEGER) AS rank
+           FROM placed GROUP BY shard_id), {SPLIT}, {ORDERED}
+SELECT rank, worker, batch_in_rank, row_in_batch, shard_id, seq_in_shard,
+  md5(array_to_string(tokens[1:{SEQ_LEN - 1}], ',')) AS input_md5,
+  md5(array_to_string(list_transform(tokens[2:{SEQ_LEN}],
+      lambda x: CASE WHEN x = 0 THEN -100 ELSE x END), ',')) AS labels_md5
+FROM feed JOIN placed USING (shard_id, seq_in_shard)""")
+def feed_examples(spark, sf_dir):
+    """Written shards read back as a job of several ranks takes them."""
+    feed = read_feed(spark, written_shards(spark, sf_dir), WORLD, WORKERS, BATCH)
+    digests = {"input_md5": digest("input_ids"), "labels_md5": digest("labels")}
+    return feed.withColumns(digests).drop("input_ids", "labels")
+
+
 @query()
 def feed_order_exact(spark, sf_dir):
     """With the NumPy generator's permutation per shard, which SQL cannot give."""
