@@ -72,25 +72,17 @@ def pack(
     placed = token_offsets(docs, framed, scope, bits).filter(F.col("framed_len") > 0)
     end = F.col("start") + F.col("framed_len")
     length = F.lit(seq_len)
-    cut = placed.select(
-        source.alias("source"),
-        "start",
-        end.alias("end"),
-        ids.alias("ids"),
-        F.explode(
-            F.sequence(F.floor(F.col("start") / length), F.floor((end - 1) / length))
-        ).alias("seq"),
-    )
-    low = F.greatest(F.col("seq") * length, F.col("start"))
-    high = F.least((F.col("seq") + 1) * length, F.col("end"))
-    pieces = cut.select(
-        "source",
-        "seq",
-        low.alias("low"),
-        F.slice(
-            "ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-        ).alias("piece"),
-    )
+    spans = placed.select(source.alias("source"), "start", end.alias("end"), ids.alias("ids"))
+    reach = F.sequence(F.floor(F.col("start") / length), F.floor((F.col("end") - 1) / length))
+
+    def piece(seq):
+        low = F.greatest(seq * length, F.col("start"))
+        high = F.least((seq + 1) * length, F.col("end"))
+        ids = F.slice("ids", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(seq.alias("seq"), low.alias("low"), ids.alias("piece"))
+
+    # The slices are cut before they become rows, so the whole ids are not copied once a sequence.
+    pieces = spans.select("source", F.inline(F.transform(reach, piece)))
     # Pieces of one sequence seldom meet in a map task, so they are not combined there.
     joined = pieces.repartition("source", "seq").groupBy("source", "seq").agg(
         F.array_sort(F.collect_list(F.struct("low", "piece"))).alias("parts")

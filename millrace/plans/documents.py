@@ -9,6 +9,7 @@ from millrace.functions.text import normalize_text
 from millrace.functions.tokenizers import SentencePieceTokenizer, WordTokenizer
 from millrace.operators.clean import clean, count_tokens, drop_uncounted, measure
 from millrace.operators.dedup import dedup_exact, skip_ingested
+from millrace.operators.key_index import append_keys, first_unseen, with_key
 from millrace.operators.ledger import append_ledger, load_ledger, read_ledger, state_json
 from millrace.operators.order import with_doc_seq
 from millrace.operators.progress import (
@@ -301,6 +302,21 @@ def dedup_domain(spark, sf_dir):
     return dedup_exact(stored_clean(spark, sf_dir)).select("domain", "doc_seq", "n_tokens")
 
 
+@query(f"""WITH {MEASURED}
+SELECT domain, doc_seq, CAST(1 + (1 - doc_seq % 2) AS INTEGER) AS run FROM m WHERE survivor
+QUALIFY row_number() OVER (PARTITION BY domain, text_norm ORDER BY doc_seq % 2 DESC, doc_seq) = 1""")
+def dedup_two_runs(spark, sf_dir):
+    """Documents of odd numbers, then those of even ones against the keys of the first run."""
+    docs = with_key(stored_clean(spark, sf_dir), "domain")
+    index, found = scratch_path(spark, "key-index"), []
+    for run in (1, 2):
+        own = docs.filter(F.col("doc_seq") % 2 == run % 2)
+        fresh = materialize(first_unseen(own, index, list(range(1, run)), [F.col("doc_seq")]), "fresh")
+        append_keys(fresh, index, run)
+        found.append(fresh.select("domain", "doc_seq", F.lit(run).alias("run")))
+    return found[0].unionByName(found[1])
+
+
 @query(f"""WITH {MEASURED}
 SELECT domain, doc_seq, n_tokens FROM m WHERE survivor
 QUALIFY row_number() OVER (PARTITION BY text_norm ORDER BY plan_order, doc_seq) = 1""")

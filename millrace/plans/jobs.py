@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.operators.clean import encode, measure
 from millrace.operators.dedup import dedup_exact, skip_ingested
+from millrace.operators.key_index import append_keys, first_unseen, indexed, with_key
 from millrace.operators.ledger import append_ledger, load_ledger, read_ledger
-from millrace.operators.pack import (
-    PER_SHARD,
-    SEQ_LEN,
-    assign_shards,
-    pack,
-    sequence_counts,
-    shard_plan,
-)
+from millrace.operators.pack import SEQ_LEN, sequence_counts, shard_plan
 from millrace.operators.quota import quota_cuts, within_cut
+from millrace.operators.scatter import sequences_per_shard, shard_pieces, store_runs, token_starts
 from millrace.plans.mixture import Domain, mixture_plan
 from millrace.session import FAILURES, materialize
 from millrace.sources.corpora import (
@@ -45,6 +40,7 @@ def collect(
     target: int | None = None,
     dedup: str | None = None,
     slice_width: int = SLICE_WIDTH,
+    key_index: str | None = None,
 ) -> DataFrame:
     """Reads, cleans, counts and cuts the corpora, and writes the kept documents as lines.
 
@@ -54,16 +50,20 @@ def collect(
     its own and its ledger row is written after them, so a run that dies loses
     the domain it was in and no other.  ``dedup`` may be ``domain`` or
     ``global``; it applies to the documents of this run, before the budgets, and all
-    domains then share one run number.
+    domains then share one run number.  With ``key_index``, a folder, it also applies to the texts that earlier
+    runs with that folder have ingested, and this run's are added.
 
     A domain that fails, when it is opened or anywhere later, is reported in the returned
-    status table and the others go on.
+    status table and the others go on.  So is a catalog entry of a domain that the plan does not have
+    (``unplanned``); nothing of it is read.
     """
     plan = materialize(mixture_plan(spark, domains), "plan")
+    order = [d.name for d in domains]
+    status = [(c.domain, "unplanned", None) for c in catalog if c.domain not in order]
+    planned = sorted((c for c in catalog if c.domain in order), key=lambda c: order.index(c.domain))
     if dedup:
-        return _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup)
-    status, order = [], [d.name for d in domains]
-    for corpus in sorted(catalog, key=lambda c: order.index(c.domain) if c.domain in order else len(order)):
+        return _collect_distinct(spark, plan, planned, tokenizer, out, ledger_path, target, dedup, status, key_index)
+    for corpus in planned:
         state, run, complete = _standing(spark, plan, ledger_path)
         if corpus.domain in complete:
             status.append((corpus.domain, "complete", None))
@@ -88,18 +88,20 @@ def _standing(spark, plan, ledger_path):
     return state, run, {r["domain"] for r in done.collect()}
 
 
-def _commit(docs, plan, state, target, out, ledger_path, run) -> None:
-    """Cuts measured documents to the budgets of ``plan``, writes them, and their ledger rows last."""
+def _commit(docs, plan, state, target, out, ledger_path, run, key_index=None) -> None:
+    """Cuts measured documents to the budgets of ``plan``, writes them, their keys, and their ledger rows last."""
     narrow = docs.select("domain", "doc_seq", "survivor", "n_tokens")
     cuts = quota_cuts(narrow, plan, target, state)
     scanned = within_cut(docs, cuts, plan.count())
     write_line_docs(scanned.filter("n_tokens > 0"), run_folder(out, run), mode="overwrite", ordered=True)
+    if key_index:
+        append_keys(scanned.filter("survivor"), key_index, run)
     append_ledger(_ledger_rows(scanned, time.time()), ledger_path, run)
 
 
-def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup):
+def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup, status, key_index):
     state, run, complete = _standing(spark, plan, ledger_path)
-    counted, status = [], []
+    counted = []
     for corpus in catalog:
         if corpus.domain in complete:
             status.append((corpus.domain, "complete", None))
@@ -114,9 +116,16 @@ def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target,
     if counted:
         docs = reduce(DataFrame.unionByName, counted)
         ordered = docs.filter("survivor").join(plan.select("domain", "plan_order"), "domain")
-        distinct = dedup_exact(ordered, dedup).drop("plan_order")
-        docs = materialize(distinct.unionByName(docs.filter("NOT survivor")), "distinct")
-        _commit(docs, plan, state, target, out, ledger_path, run)
+        if key_index:
+            history = read_ledger(spark, ledger_path).select("batch_id").distinct().orderBy("batch_id").collect()
+            earlier = [r["batch_id"] for r in history if indexed(spark, key_index, r["batch_id"])]
+            fresh = first_unseen(with_key(ordered, dedup), key_index, earlier, [F.col("plan_order"), F.col("doc_seq")])
+            distinct = ordered.join(fresh, ["domain", "doc_seq"])
+        else:
+            distinct = dedup_exact(ordered, dedup)
+        distinct = distinct.drop("plan_order")
+        docs = materialize(distinct.unionByName(docs.filter("NOT survivor"), allowMissingColumns=True), "distinct")
+        _commit(docs, plan, state, target, out, ledger_path, run, key_index)
     return statuses
 
 
@@ -179,7 +188,7 @@ def build_shards(
     out: str,
     tokenizer,
     seq_len: int = SEQ_LEN,
-    per_shard: int = PER_SHARD,
+    per_shard: int | None = None,
     tail: str = "pad",
     framed: bool = True,
     mode: str = "append",
@@ -187,19 +196,21 @@ def build_shards(
 ) -> DataFrame:
     """Encodes line documents, packs them and writes shards; returns the shard plan.
 
-    ``lines`` is a folder, or the list of folders :func:`committed_runs` gives.
+    ``lines`` is a folder, or the list of folders :func:`committed_runs` gives.  Without ``per_shard`` a shard has about
+    ``SHARD_BYTES`` whatever the sequence length.  Ids are stored where they are made and shuffled once, to their shards.
     """
-    ordered = read_line_docs(spark, lines, ordered=True)
-    encoded = materialize(
-        encode(ordered, tokenizer, "text").drop("text").filter("n_tokens > 0"), "encoded"
-    )
+    per_shard = per_shard or sequences_per_shard(seq_len)
+    encoded = encode(read_line_docs(spark, lines, ordered=True), tokenizer, "text").drop("text")
+    # A document without tokens is not framed either.
+    length = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + (2 if framed else 0)).otherwise(0).cast("long")
+    stored = store_runs(encoded.withColumn("framed_len", length), "encoded")
+    encoded = stored.filter("n_tokens > 0")
     counts = sequence_counts(encoded, seq_len, framed, tail)
     by_name = counts.withColumn("source_order", F.col("source"))
     plan = materialize(shard_plan(by_name, per_shard), "shard-plan")
     totals = plan.agg(
         F.count("*").alias("sources"), F.sum(F.ceil(F.col("n_sequences") / per_shard)).alias("shards")
     ).first()
-    packed = pack(encoded, seq_len, framed, tail)
-    assigned = assign_shards(packed, plan, totals["sources"], per_shard)
-    write_shards(assigned, out, totals["shards"] or 0, 4 * seq_len * per_shard, mode, **options)
+    pieces = shard_pieces(token_starts(stored).filter("n_tokens > 0"), plan, seq_len, per_shard, framed)
+    write_shards(pieces, out, totals["shards"] or 0, 4 * seq_len * per_shard, mode, **options)
     return plan

@@ -26,6 +26,7 @@ from millrace.operators.pack import (
     to_examples,
     token_offsets,
 )
+from millrace.operators.scatter import shard_pieces, store_runs, token_starts
 from millrace.plans.documents import MEASURED, WORDS, cleaned, measured, raw_documents
 from millrace.plans.registry import query
 from millrace.session import materialize, scratch_path
@@ -239,19 +240,34 @@ def written_shards(spark, sf_dir):
     return path
 
 
-@query(f"""WITH {packed_sql(SEQ_LEN)},
+SHARD_BODIES = f"""WITH {packed_sql(SEQ_LEN)},
 counts AS (SELECT source, CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS plan_order,
                   count(*) AS n FROM padded GROUP BY ALL), {SHARD_PLAN},
 named AS (SELECT CAST(first_shard + seq // {PER_SHARD} AS INTEGER) AS number,
                  seq % {PER_SHARD} AS seq_in_shard, {DIGEST} AS tokens_md5
           FROM padded JOIN first USING (source))
-SELECT format('shard_{{:03d}}', number) AS shard, seq_in_shard, tokens_md5 FROM named""")
+SELECT format('shard_{{:03d}}', number) AS shard, seq_in_shard, tokens_md5 FROM named"""
+
+
+@query(SHARD_BODIES)
 def shard_roundtrip(spark, sf_dir):
     """Packed sequences written as shard files and read back."""
     back = read_shards(spark, written_shards(spark, sf_dir))
     return back.select("shard", "seq_in_shard", digest().alias("tokens_md5"))
 
 
+@query(SHARD_BODIES)
+def shard_scatter(spark, sf_dir):
+    """The same files from documents whose ids went straight to their shards."""
+    docs = encoded(spark, sf_dir).withColumn("framed_len", (F.col("n_tokens") + 2).cast("long"))
+    plan = planned_shards(docs)
+    n_shards = plan.agg(F.sum(F.ceil(F.col("n_sequences") / PER_SHARD))).first()[0]
+    pieces = shard_pieces(token_starts(store_runs(docs, "runs-of-ids")), plan, SEQ_LEN, PER_SHARD)
+    path = scratch_path(spark, "scattered")
+    write_shards(pieces, path, n_shards, PER_SHARD * SEQ_LEN * 4)
+    return read_shards(spark, path).select("shard", "seq_in_shard", digest().alias("tokens_md5"))
+
+
 @query(f"""WITH {SEQUENCES}
 SELECT DISTINCT format('shard_{{:03d}}', shard_id) AS shard,
   unnest(['magic', 'header_size', 'index_present', 'meta_present', 'file_size', 'index_entries',

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators.pack import HEADER_BYTES, out_of_range
 from millrace.sources.manifest import list_files, shard_triples
 from millrace.sources.paths import shared
-from millrace.sources.tokshard import DIGITS, PREFIX, TokshardDataSource
+from millrace.sources.tokshard import DIGITS, PREFIX, TokshardDataSource, current_shards
 
 TASK_BYTES = 256 << 20
 META_SCHEMA = "num_sequences long, seq_length long, source string"
@@ -30,7 +30,8 @@ def write_shards(
 ) -> None:
     """Writes ``(shard_id, seq_in_shard, tokens, num_sequences)`` as shard files.
 
-    Shard ids run from 0 to ``n_shards - 1``.  Rows go straight to the partition
+    Pieces of shards, ``(shard_id, first, tokens, num_sequences, seq_length)``, are written as well;
+    this is the one shuffle of their ids.  Shard ids run from 0 to ``n_shards - 1``.  Rows go straight to the partition
     of their shard, so that no two shards fall together by hash.  A task writes
     one shard, or neighbouring ones as long as they stay below ``TASK_BYTES``.
     """
@@ -38,12 +39,13 @@ def write_shards(
     register(spark)
     by_size = -(-n_shards * shard_bytes // TASK_BYTES)
     tasks = max(1, min(n_shards, max(by_size, 2 * spark.sparkContext.defaultParallelism)))
-    columns = ["shard_id", "seq_in_shard", "tokens", "num_sequences"]
+    place = "first" if "first" in sequences.columns else "seq_in_shard"
+    columns = ["shard_id", place, "tokens", "num_sequences", *(["seq_length"] if place == "first" else [])]
     task = F.floor(F.col("shard_id").cast("long") * tasks / max(1, n_shards)).cast("int")
     (
         sequences.select(*columns)
         .repartitionById(tasks, task)
-        .sortWithinPartitions("shard_id", "seq_in_shard")
+        .sortWithinPartitions("shard_id", place)
         .write.format("tokshard")
         .options(**{"digits": max(DIGITS, len(str(n_shards - 1))), **options})
         .mode(mode)
@@ -67,13 +69,23 @@ def read_metas(spark: SparkSession, path: str, prefix: str = PREFIX) -> DataFram
     )
 
 
+def _listed_triples(spark, path, prefix):
+    """The shard files of a folder; those of its latest generation if it has generations (one name per shard)."""
+    triples = shard_triples(list_files(spark, path), prefix).filter(~F.col("stem").contains("/"))
+    names = current_shards(shared(spark, path), prefix)
+    if names is None:
+        return triples
+    listed = spark.createDataFrame([(n,) for n in names], "stem string")
+    return listed.join(triples, "stem", "left").fillna(False, ["has_index", "has_meta"])
+
+
 def shard_catalog(spark: SparkSession, path: str, prefix: str = PREFIX) -> DataFrame:
     """``(shard_id, shard, num_sequences, seq_length, source)`` in name order.
 
     Fails if there is no shard or a shard lacks its index or meta file.  The
     numbering window sees one short row per shard.
     """
-    triples = shard_triples(list_files(spark, path), prefix).filter(~F.col("stem").contains("/"))
+    triples = _listed_triples(spark, path, prefix)
     state = triples.agg(
         F.count("*").alias("n"),
         F.min(F.when(~(F.col("has_index") & F.col("has_meta")), F.col("stem"))).alias("bad"),
@@ -104,7 +116,7 @@ def validate_shards(
     rules that need it.  ``vocab_size`` adds a scan of the bodies.
     """
     prefix = options.get("prefix", PREFIX)
-    files = shard_triples(list_files(spark, path), prefix).filter(~F.col("stem").contains("/"))
+    files = _listed_triples(spark, path, prefix)
     headers = read_shards(spark, path, part="header", **options).drop("shard_id")
     metas = read_metas(spark, path, prefix).select(
         "shard",

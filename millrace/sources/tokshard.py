@@ -10,11 +10,16 @@ default ``shard``), on write ``digits`` (of the number in a name, default 3; eno
 of them keep name order and number order the same), and on read ``part`` (``body``, ``index`` or ``header``),
 ``wide`` (ids as bigint), ``rangeBytes`` (most bytes per input partition),
 ``minPartitions`` (small folders are cut into about that many) and ``tolerant`` (a shard that cannot be read gives no rows, for validation).
+
+With ``generations`` on write, a file below ``_generations`` names the shards that make up the folder; readers
+follow the latest one.  It is written after the shards, by one rename, and old shards go last, so whenever a
+job dies the folder holds a whole generation.  New shards take the next free numbers, so that appending never clashes.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -46,6 +51,9 @@ INDEX_ENTRY_BYTES = 12
 MAGIC = "MILLRACE"
 PREFIX = "shard"
 DIGITS = 3
+GENERATION_DIGITS = 6
+GENERATIONS = "_generations"
+SUFFIXES = (".meta", ".idx", ".bin")  # in the order in which they appear: readers look for the last
 RANGE_BYTES = 128 << 20
 MIN_RANGE_BYTES = 64 << 10
 MIN_PARTITIONS = 16
@@ -71,18 +79,72 @@ def magic_bytes(options) -> bytes:
     return magic
 
 
-def list_shards(path: str, prefix: str) -> list[tuple[int, str, int]]:
-    """``(shard_id, path without suffix, bytes)`` of the ``.bin`` files in name order."""
+def latest_generation(fs, root: str, prefix: str) -> tuple[int, list[str] | None]:
+    """Number and shard names of the folder's latest generation; ``(0, None)`` if it has none."""
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/{GENERATIONS}", allow_not_found=True))
+    numbers = [int(m[1]) for i in found if (m := re.fullmatch(rf"{re.escape(prefix)}-(\d+)\.json", i.base_name))]
+    if not numbers:
+        return 0, None
+    with fs.open_input_file(_generation_file(root, prefix, max(numbers))) as f:
+        return max(numbers), json.loads(f.read())["shards"]
+
+
+def _generation_file(root, prefix, number):
+    return f"{root}/{GENERATIONS}/{prefix}-{number:0{GENERATION_DIGITS}d}.json"
+
+
+def current_shards(path: str, prefix: str = PREFIX) -> list[str] | None:
+    """The names a folder's latest generation lists, or None if all its shards count."""
     fs, root = open_fs(path)
-    infos = fs.get_file_info(pafs.FileSelector(root))
-    bins = sorted(
+    return latest_generation(fs, root, prefix)[1]
+
+
+def _shard_files(fs, root, prefix):
+    """``(path, bytes)`` of the ``.bin`` files of a folder."""
+    infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return [
         (i.path, i.size)
         for i in infos
         if i.is_file and i.base_name.startswith(f"{prefix}_") and i.base_name.endswith(".bin")
-    )
+    ]
+
+
+def list_shards(path: str, prefix: str) -> list[tuple[int, str, int]]:
+    """``(shard_id, path without suffix, bytes)`` of the ``.bin`` files in name order."""
+    fs, root = open_fs(path)
+    bins = sorted(_shard_files(fs, root, prefix))
+    _, names = latest_generation(fs, root, prefix)
+    if names is not None:
+        listed = set(names)
+        bins = [(p, size) for p, size in bins if _base(p[: -len(".bin")]) in listed]
+        if len(bins) != len(listed):
+            raise FileNotFoundError(f"{len(listed) - len(bins)} shards of the latest generation are missing in {path}")
     return [(n, p[: -len(".bin")], size) for n, (p, size) in enumerate(bins)]
 
 
+def drop_unlisted(path: str, prefix: str = PREFIX) -> list[str]:
+    """Deletes the shards that the latest generation does not list, as jobs that died leave them; returns their names.
+
+    Not to be called while a job writes to the folder.
+    """
+    fs, root = open_fs(path)
+    _, names = latest_generation(fs, root, prefix)
+    if names is None:
+        return []
+    infos = fs.get_file_info(pafs.FileSelector(root))
+    stems = {i.path.rsplit(".", 1)[0] for i in infos if i.is_file and i.base_name.startswith(f"{prefix}_")}
+    gone = sorted(s for s in stems if _base(s) not in set(names))
+    _delete_shards(fs, gone)
+    return [_base(s) for s in gone]
+
+
+def _delete_shards(fs, stems):
+    for stem in stems:
+        for suffix in reversed(SUFFIXES):
+            if fs.get_file_info(stem + suffix).type != pafs.FileType.NotFound:
+                fs.delete_file(stem + suffix)
+
+
 @dataclass
 class ShardRange:
     """Slice ``part`` of ``parts`` equal slices of one shard."""
@@ -273,9 +335,11 @@ class TokshardWriter(DataSourceArrowWriter):
     """Writes one file triple per shard id found in a task.
 
     Rows ``(shard_id, seq_in_shard, tokens, num_sequences)`` arrive with all rows
-    of a shard together and in order (``write_shards`` sees to it).  The number of
+    of a shard together and in order (``write_shards`` sees to it), or, as pieces of any
+    length, ``(shard_id, first, tokens, num_sequences, seq_length)`` with the piece's place in the
+    shard's ids.  The number of
     sequences comes with the rows, so a shard is streamed to its file without
-    being held or revisited.  Files are written under a job folder and attempt
+    being held or revisited; of pieces, the last sequence is filled up with option ``pad``.  Files are written under a job folder and attempt
     name and moved in ``commit``; failed and repeated attempts leave nothing.
     """
 
@@ -285,8 +349,16 @@ class TokshardWriter(DataSourceArrowWriter):
         self.magic = magic_bytes(options)
         self.digits = int(options.get("digits", DIGITS))
         self.overwrite = overwrite
+        self.generations = options.get("generations", "false").lower() == "true"
+        self.first = 0
+        if self.generations:
+            self.first, width = self._next_number()
+            self.digits = width or max(self.digits, GENERATION_DIGITS)
         self.names = schema.names
-        missing = {"shard_id", "seq_in_shard", "tokens", "num_sequences"} - set(self.names)
+        self.pad = int(options.get("pad", 0))
+        self.pieces = "first" in self.names
+        place = {"first", "seq_length"} if self.pieces else {"seq_in_shard"}
+        missing = {"shard_id", "tokens", "num_sequences", *place} - set(self.names)
         if missing:
             raise ValueError(f"columns missing for tokshard: {sorted(missing)}")
         self.staging = f"_staging-{uuid.uuid4().hex}"
@@ -307,7 +379,8 @@ class TokshardWriter(DataSourceArrowWriter):
                 if shard is None or shard.shard_id != int(ids[rows[0]]):
                     if shard is not None:
                         shard.close()
-                    shard = _ShardFile(self, fs, folder, int(ids[rows[0]]), part)
+                    kind = _PiecesFile if self.pieces else _ShardFile
+                    shard = kind(self, fs, folder, int(ids[rows[0]]), part)
                     written.append((shard.name, folder))
                 shard.add(part)
         if shard is not None:
@@ -321,27 +394,55 @@ class TokshardWriter(DataSourceArrowWriter):
         if len(set(names)) != len(names):
             self.abort(messages)
             raise ValueError("a shard was written by more than one task")
-        old = list_shards(self.path, self.prefix)
+        if self.generations:
+            return self._commit_generation(fs, root, written)
+        old = [p[: -len(".bin")] for p, _ in _shard_files(fs, root, self.prefix)]
         if not self.overwrite:
-            clash = {_base(stem) for _, stem, _ in old} & set(names)
+            clash = {_base(stem) for stem in old} & set(names)
             if clash:
                 self.abort(messages)
                 raise FileExistsError(f"shards exist already: {sorted(clash)[:5]}")
         else:
-            for _, stem, _ in old:
-                for suffix in (".bin", ".idx", ".meta"):
-                    if fs.get_file_info(stem + suffix).type != pafs.FileType.NotFound:
-                        fs.delete_file(stem + suffix)
-        # The .bin file is what readers look for, so it is published last.
-        def publish(entry):
+            _delete_shards(fs, old)
+        self._publish(fs, root, written)
+        self._drop_staging(fs, root)
+
+    def _publish(self, fs, root, written):
+        def move(entry):
             name, folder = entry
-            for suffix in (".meta", ".idx", ".bin"):
+            for suffix in SUFFIXES:
                 fs.move(f"{folder}/{name}{suffix}", f"{root}/{name}{suffix}")
 
         with ThreadPoolExecutor(RENAMES_AT_ONCE) as pool:
-            list(pool.map(publish, written))
+            list(pool.map(move, written))
+
+    def _commit_generation(self, fs, root, written):
+        """Adds the shards under new names, then names the new generation, then drops what it replaces."""
+        number, listed = latest_generation(fs, root, self.prefix)
+        old = sorted(_base(p[: -len(".bin")]) for p, _ in _shard_files(fs, root, self.prefix)) if listed is None else listed
+        kept = [] if self.overwrite else old
+        names = [*kept, *[n for n, _ in written]]
+        if names != sorted(names):
+            self._drop_staging(fs, root)
+            raise ValueError(f"names with {self.digits} digits are used up; the new shards would not sort behind the old")
+        self._publish(fs, root, written)
+        fs.create_dir(f"{root}/{GENERATIONS}", recursive=True)
+        draft = f"{root}/{GENERATIONS}/.{uuid.uuid4().hex}"
+        with fs.open_output_stream(draft) as f:
+            f.write(json.dumps({"shards": names}).encode())
+        fs.move(draft, _generation_file(root, self.prefix, number + 1))
+        if self.overwrite:
+            _delete_shards(fs, [f"{root}/{name}" for name in old])
         self._drop_staging(fs, root)
 
+    def _next_number(self):
+        """One past the numbers of all shards of the folder, those of jobs that died included, and how long they are written."""
+        fs, root = open_fs(self.path)
+        infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+        names = [i.base_name for i in infos] + (latest_generation(fs, root, self.prefix)[1] or [])
+        taken = [m[1] for n in names if (m := re.match(rf"{re.escape(self.prefix)}_(\d+)", n))]
+        return max(map(int, taken), default=-1) + 1, max(map(len, taken), default=0)
+
     def abort(self, messages):
         fs, root = open_fs(self.path)
         self._drop_staging(fs, root)
@@ -359,14 +460,17 @@ class _ShardFile:
         column = lambda rows, name: rows.column(writer.names.index(name))
         self._column = column
         self.shard_id = shard_id
-        self.name = f"{writer.prefix}_{shard_id:0{writer.digits}d}"
+        self.name = f"{writer.prefix}_{writer.first + shard_id:0{writer.digits}d}"
         self.fs, self.stem = fs, f"{folder}/{self.name}"
         self.expected = column(first_rows, "num_sequences")[0].as_py()
-        self.length = len(column(first_rows, "tokens")[0])
+        self.length = self._length(first_rows)
         self.rows = 0
         self.body = fs.open_output_stream(self.stem + ".bin")
         self.body.write(struct.pack(HEADER, writer.magic, VERSION, self.expected, self.length, 0))
 
+    def _length(self, rows):
+        return len(self._column(rows, "tokens")[0])
+
     def add(self, rows):
         lists = self._column(rows, "tokens")
         places = self._column(rows, "seq_in_shard").to_numpy(zero_copy_only=False)
@@ -376,10 +480,13 @@ class _ShardFile:
         lengths = np.diff(lists.offsets.to_numpy())
         if not np.all(lengths == self.length):
             raise ValueError(f"{self.name}: sequences differ in length")
+        self._write(ids)
+        self.rows += len(places)
+
+    def _write(self, ids):
         if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFFFFFF):
             raise ValueError(f"{self.name}: id outside uint32")
         self.body.write(ids.astype("<u4").tobytes())
-        self.rows += len(places)
 
     def close(self):
         self.body.close()
@@ -394,3 +501,31 @@ class _ShardFile:
         meta = {"num_sequences": self.rows, "seq_length": self.length, "source": self.name}
         with self.fs.open_output_stream(self.stem + ".meta") as f:
             f.write(json.dumps(meta).encode())
+
+
+class _PiecesFile(_ShardFile):
+    """A shard whose ids come in pieces that follow each other, whatever sequences they are part of."""
+
+    def __init__(self, *given):
+        super().__init__(*given)
+        self.ids = 0
+        self.pad = given[0].pad
+
+    def _length(self, rows):
+        return self._column(rows, "seq_length")[0].as_py()
+
+    def add(self, rows):
+        lists = self._column(rows, "tokens")
+        places = self._column(rows, "first").to_numpy(zero_copy_only=False)
+        lengths = np.diff(lists.offsets.to_numpy())
+        if not np.array_equal(places, self.ids + np.cumsum(lengths) - lengths):
+            raise ValueError(f"{self.name}: pieces are not in order, or one is missing")
+        self._write(lists.flatten().to_numpy(zero_copy_only=False))
+        self.ids += int(lengths.sum())
+
+    def close(self):
+        missing = self.expected * self.length - self.ids
+        if 0 <= missing < self.length:
+            self._write(np.full(missing, self.pad, np.int64))
+            self.rows = self.expected
+        super().close()

@@ -159,6 +159,19 @@ def broken(path):
         crc.unlink()
 
 
+@pytest.mark.parametrize("dedup", [None, "global"])
+def test_an_entry_the_plan_does_not_have_is_reported(spark, sources, tmp_path, dedup):
+    """Its source spans several slices, and it stands first and last in the catalog."""
+    catalog, domains = sources
+    other = Corpus("other", catalog[0].paths)
+    out, ledger = str(tmp_path / "out"), str(tmp_path / "ledger")
+    status = collect(spark, domains, [other, *catalog, other], WORDS, out, ledger, dedup=dedup, slice_width=10)
+    got = [tuple(r)[:2] for r in status.collect()]
+    assert got.count(("other", "unplanned")) == 2 and ("lost", "failed") in got
+    assert {d for d, s in got if s == "ok"} == {"web", "code", "books"}
+    assert "other" not in {r["domain"] for r in read_ledger(spark, ledger).collect()}
+
+
 def test_a_broken_file_fails_its_domain_only(spark, sources, tmp_path):
     catalog, domains = sources
     broken(tmp_path / "web")
