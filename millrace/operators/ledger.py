@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.session import small_side
 
 LEDGER_SCHEMA = (
     "domain string, tokens_added long, docs_written long, docs_skipped long, "
@@ -72,49 +71,70 @@ def load_ledger(plan: DataFrame, ledger: DataFrame, all_domains: bool = False) -
     )
 
 
-def load_state_json(spark: SparkSession, plan: DataFrame, path: str) -> DataFrame:
+def read_state_json(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON state file as one row, times and totals included."""
+    return spark.read.schema(STATE_JSON_SCHEMA).option("multiLine", True).json(path)
+
+
+def load_state_json(spark: SparkSession, plan: DataFrame, path: str, all_domains: bool = False) -> DataFrame:
     """State per plan domain from a JSON state file.
 
+    With ``all_domains`` the rows of domains outside the plan are kept, and tokens of the total that no
+    listed domain accounts for are a row with a null domain: all of them count towards a target.
+
     Version ``v5`` carries positions: documents consumed for streamed domains,
     the last stored document for bounded ones.  Older files keep their totals and
     lose the positions.  ``plan`` needs ``domain`` and ``bounded``.
     """
-    state = spark.read.schema(STATE_JSON_SCHEMA).option("multiLine", True).json(path)
+    state = read_state_json(spark, path)
     progress = state.select("version", F.explode("domain_progress").alias("domain", "done_tokens"))
     positions = state.select(F.explode("domain_resume_info").alias("domain", "at"))
     joined = (
         plan.select("domain", "bounded")
-        .join(progress, "domain", "left")
+        .join(progress, "domain", "full" if all_domains else "left")
         .join(positions, "domain", "left")
     )
     done = F.coalesce("done_tokens", F.lit(0))
     last_seen = F.when(
         F.col("bounded"), F.when(done > 0, F.col("at.dataset_index"))
     ).otherwise(F.col("at.sample_idx") - 1)
-    return joined.select(
+    loaded = joined.select(
         "domain",
         done.alias("done_tokens"),
         F.coalesce(F.when(F.col("version") == "v5", last_seen), F.lit(-1)).alias("resume_seq"),
     )
+    if not all_domains:
+        return loaded
+    listed = F.aggregate(F.map_values("domain_progress"), F.lit(0).cast("long"), lambda total, n: total + n)
+    rest = state.select(
+        F.lit(None).cast("string").alias("domain"), (F.col("total_tokens") - listed).alias("done_tokens"),
+        F.lit(-1).cast("long").alias("resume_seq"),
+    )
+    return loaded.unionByName(rest.filter("done_tokens > 0"))
 
 
-def state_json(plan: DataFrame, state: DataFrame, start_time: float, now: float) -> DataFrame:
-    """The state of all plan domains as one JSON document (column ``json``)."""
-    rows = plan.count()
-    joined = plan.select("domain", "quota", "bounded").join(
-        small_side(state.select("domain", "done_tokens", "resume_seq"), rows), "domain", "left"
-    )
-    done = F.coalesce("done_tokens", F.lit(0))
-    seen = F.coalesce("resume_seq", F.lit(-1))
-    position = F.struct(
+def resume_info(bounded, seen):
+    """Where a domain goes on, as the JSON files say it; ``seen`` is its last ingested document, -1 for none."""
+    return F.struct(
         F.lit(0).alias("shard_idx"),
-        F.when(F.col("bounded"), 0).otherwise(seen + 1).alias("sample_idx"),
-        F.when(F.col("bounded"), F.greatest(seen, F.lit(0))).otherwise(seen + 1).alias("dataset_index"),
+        F.when(bounded, 0).otherwise(seen + 1).alias("sample_idx"),
+        F.when(bounded, F.greatest(seen, F.lit(0))).otherwise(seen + 1).alias("dataset_index"),
         F.lit(0).alias("file_pos"),
     )
 
+
+def state_json(plan: DataFrame, state: DataFrame, start_time: float, now: float) -> DataFrame:
+    """The state of all plan domains as one JSON document (column ``json``).
+
+    Rows of ``state`` outside the plan count in the total only.
+    """
+    planned = plan.select("domain", "quota", "bounded").withColumn("planned", F.lit(True))
+    joined = planned.join(state.select("domain", "done_tokens", "resume_seq"), "domain", "full")
+    done = F.coalesce("done_tokens", F.lit(0))
+    position = resume_info(F.col("bounded"), F.coalesce("resume_seq", F.lit(-1)))
+
     def as_map(value):
-        return F.map_from_entries(F.collect_list(F.struct("domain", value)))
+        return F.map_from_entries(F.collect_list(F.when(F.col("planned"), F.struct("domain", value))))
 
     return joined.agg(
         F.sum(done).alias("total_tokens"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import human_time
-from millrace.session import small_side
+from millrace.operators.ledger import resume_info
 
 STALL_SECONDS = 60
 
@@ -57,18 +57,26 @@ def throughput(total: Column, elapsed: Column, target: int) -> dict[str, Column]
 
 
 def progress_report(
-    plan: DataFrame, state: DataFrame, target: int, elapsed: float, now: float, **extra: str
+    plan: DataFrame, state: DataFrame, target: int, elapsed: float, now: float, resume: bool = False, **extra: str
 ) -> DataFrame:
-    """The progress report as one JSON document (column ``json``)."""
+    """The progress report as one JSON document (column ``json``).
+
+    With ``resume`` it has ``domain_resume_info`` as well; the plan then needs ``bounded`` and the state
+    ``resume_seq``.  Rows of ``state`` outside the plan count in the total only.
+    """
     done = F.coalesce("done_tokens", F.lit(0))
-    summed = (
-        plan.select("domain", "quota")
-        .join(small_side(state.select("domain", "done_tokens"), plan.count()), "domain", "left")
-        .agg(
-            F.sum(done).alias("total_tokens"),
-            F.map_from_entries(F.collect_list(F.struct("domain", done))).alias("domain_progress"),
-            F.map_from_entries(F.collect_list(F.struct("domain", "quota"))).alias("domain_plan"),
-        )
+    maps = {"domain_progress": done, "domain_plan": F.col("quota")}
+    wanted = (["domain", "quota"], ["domain", "done_tokens"])
+    if resume:
+        maps["domain_resume_info"] = resume_info(F.col("bounded"), F.coalesce("resume_seq", F.lit(-1)))
+        wanted = ([*wanted[0], "bounded"], [*wanted[1], "resume_seq"])
+    planned = plan.select(*wanted[0]).withColumn("planned", F.lit(True))
+
+    def as_map(value):
+        return F.map_from_entries(F.collect_list(F.when(F.col("planned"), F.struct("domain", value.alias("v")))))
+
+    summed = planned.join(state.select(*wanted[1]), "domain", "full").agg(
+        F.sum(done).alias("total_tokens"), *[as_map(v).alias(n) for n, v in maps.items()]
     )
     rates = throughput(F.col("total_tokens"), F.lit(float(elapsed)), target)
     return summed.select(
@@ -80,8 +88,7 @@ def progress_report(
                 F.lit(target).alias("target_tokens"),
                 *[c.alias(n) for n, c in rates.items()],
                 F.lit(float(elapsed)).alias("elapsed_seconds"),
-                "domain_progress",
-                "domain_plan",
+                *maps,
                 *[F.lit(v).alias(k) for k, v in extra.items()],
             )
         ).alias("json")

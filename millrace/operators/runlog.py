@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import CHUNK_BITS, previous_row
+from millrace.session import materialize
 
 # The line a run prints at each log interval.
 LINE = (
@@ -71,7 +72,11 @@ def interval_means(steps: DataFrame, values: list[str], group: list[str], every:
 
 
 def health(log: DataFrame, group: list[str], bits: int = CHUNK_BITS) -> DataFrame:
-    """Flags per log line; ``log`` is parsed and has one line per group and step."""
+    """Flags per log line; ``log`` is parsed and has one line per group and step.
+
+    The columns are stored first: the search for earlier rows reads them several times, and lines are parsed once.
+    """
+    log = materialize(log.select(*group, "step", "aux", "loss", "grad_norm"), "log")
     before = previous_row(log, group, "step", ["loss", "grad_norm"], bits)
     return before.select(
         *group,
@@ -91,8 +96,10 @@ def interval_throughput(log: DataFrame, group: list[str], bits: int = CHUNK_BITS
     """Tokens per second between consecutive log rows, from counters.
 
     ``log`` has ``(step, tokens, seconds)``; differences, so work done before a
-    restart does not count.  A group's first row has no interval.
+    restart does not count.  A group's first row has no interval.  The columns are stored first, as
+    in :func:`health`.
     """
+    log = materialize(log.select(*group, "step", "tokens", "seconds"), "log")
     before = previous_row(log, group, "step", ["tokens", "seconds"], bits)
     elapsed = F.col("seconds") - F.col("prev_seconds")
     return before.filter(F.col("prev_tokens").isNotNull()).select(

@@ -6,14 +6,16 @@ import math
 import time
 from functools import reduce
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.clean import encode, measure
 from millrace.operators.dedup import dedup_exact, skip_ingested
 from millrace.operators.key_index import append_keys, first_unseen, indexed, with_key
-from millrace.operators.ledger import append_ledger, load_ledger, read_ledger
+from millrace.operators.ledger import append_ledger, load_ledger, read_ledger, read_state_json, state_json
 from millrace.operators.pack import SEQ_LEN, sequence_counts, shard_plan
+from millrace.operators.progress import progress_report
 from millrace.operators.quota import quota_cuts, within_cut
 from millrace.operators.scatter import sequences_per_shard, shard_pieces, store_runs, token_starts
 from millrace.plans.mixture import Domain, mixture_plan
@@ -25,6 +27,7 @@ from millrace.sources.corpora import (
     read_line_docs,
     write_line_docs,
 )
+from millrace.sources.paths import open_fs, replace_file, shared
 from millrace.sources.shards import write_shards
 
 SLICE_WIDTH = 10_000_000
@@ -41,6 +44,7 @@ def collect(
     dedup: str | None = None,
     slice_width: int = SLICE_WIDTH,
     key_index: str | None = None,
+    reports: str | None = None,
 ) -> DataFrame:
     """Reads, cleans, counts and cuts the corpora, and writes the kept documents as lines.
 
@@ -55,14 +59,24 @@ def collect(
 
     A domain that fails, when it is opened or anywhere later, is reported in the returned
     status table and the others go on.  So is a catalog entry of a domain that the plan does not have
-    (``unplanned``); nothing of it is read.
+    (``unplanned``); nothing of it is read.  ``reports`` names a folder for ``state.json`` and ``progress.json``, which
+    are replaced at the start, after every domain, failed ones included, and at the end.
     """
+    began = _began(spark, reports) if reports else None
+
+    def report(current="", event="snapshot"):
+        if reports:
+            _report(spark, plan, ledger_path, target, reports, began, current, event)
+
     plan = materialize(mixture_plan(spark, domains), "plan")
     order = [d.name for d in domains]
     status = [(c.domain, "unplanned", None) for c in catalog if c.domain not in order]
     planned = sorted((c for c in catalog if c.domain in order), key=lambda c: order.index(c.domain))
+    report(event="start")
     if dedup:
-        return _collect_distinct(spark, plan, planned, tokenizer, out, ledger_path, target, dedup, status, key_index)
+        result = _collect_distinct(spark, plan, planned, tokenizer, out, ledger_path, target, dedup, status, key_index)
+        report(event="end")
+        return result
     for corpus in planned:
         state, run, complete = _standing(spark, plan, ledger_path)
         if corpus.domain in complete:
@@ -76,9 +90,36 @@ def collect(
             status.append((corpus.domain, "ok", None))
         except FAILURES as e:
             status.append((corpus.domain, "failed", str(e)))
+        report(corpus.domain, "error" if status[-1][1] == "failed" else "domain_end")
+    report(event="end")
     return spark.createDataFrame(status, STATUS_SCHEMA)
 
 
+def _began(spark, reports):
+    """When collecting began: the time an earlier state file has, else now."""
+    path = f"{shared(spark, reports)}/state.json"
+    fs, name = open_fs(path)
+    known = None
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        known = read_state_json(spark, path).first()["start_time"]
+    return known or time.time()
+
+
+def _report(spark, plan, ledger_path, target, reports, began, current, event):
+    """Replaces both JSON files by the ledger's state; the state before the progress, as resuming needs it."""
+    state = materialize(load_ledger(plan, read_ledger(spark, ledger_path), all_domains=True), "state")
+    now = time.time()
+    goal = target if target is not None else plan.agg(F.sum("quota")).first()[0]
+    texts = {
+        "state.json": state_json(plan, state, began, now),
+        "progress.json": progress_report(
+            plan, state, goal, now - began, now, resume=True, current_domain=current, event=event
+        ),
+    }
+    for name, df in texts.items():
+        replace_file(f"{shared(spark, reports)}/{name}", df.first()["json"])
+
+
 def _standing(spark, plan, ledger_path):
     """State of the domains, the next run number, and the names of complete domains (rows of the plan)."""
     history = read_ledger(spark, ledger_path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
@@ -41,3 +43,18 @@ def open_fs(path: str):
     if "://" in path:
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
+
+
+def replace_file(path: str, text: str) -> None:
+    """Writes a small file so that readers see the old or the new content, never a part of it."""
+    fs, name = open_fs(path)
+    folder, _, base = name.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    draft = f"{folder}/.{base}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(draft) as f:
+        f.write(text.encode())
+    try:
+        fs.move(draft, name)
+    except OSError:  # stores that do not rename onto a file
+        fs.delete_file(name)
+        fs.move(draft, name)

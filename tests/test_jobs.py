@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.tokenizers import WordTokenizer
 from millrace.operators.clean import encode, measure
-from millrace.operators.ledger import append_ledger, load_ledger, read_ledger
+from millrace.operators.ledger import append_ledger, load_ledger, load_state_json, read_ledger
 from millrace.operators.pack import pack
 from millrace.operators.quota import apply_quota
 from millrace.plans import jobs
@@ -159,6 +159,31 @@ def broken(path):
         crc.unlink()
 
 
+@pytest.mark.parametrize("dedup", [None, "domain"])
+def test_json_files_follow_the_ledger(spark, sources, tmp_path, dedup):
+    catalog, domains = sources
+    out, ledger, reports = (str(tmp_path / x) for x in ("out", "ledger", "reports"))
+    collect(spark, domains, catalog, WORDS, out, ledger, target=3_000, dedup=dedup, reports=reports)
+    state = json.loads((tmp_path / "reports" / "state.json").read_text())
+    progress = json.loads((tmp_path / "reports" / "progress.json").read_text())
+    rows = {r["domain"]: r for r in load_ledger(mixture_plan(spark, domains), read_ledger(spark, ledger)).collect()}
+    assert state["domain_progress"] == progress["domain_progress"] == {d: r["done_tokens"] for d, r in rows.items()}
+    assert state["total_tokens"] == progress["total_tokens"] == sum(r["done_tokens"] for r in rows.values()) > 0
+    assert progress["domain_resume_info"] == state["domain_resume_info"]
+    assert state["domain_resume_info"]["web"]["sample_idx"] == rows["web"]["resume_seq"] + 1
+    assert progress["target_tokens"] == 3_000 and progress["event"] == "end" and progress["domain_plan"]["lost"] == 500
+    assert {p.name for p in (tmp_path / "reports").iterdir() if p.suffix == ".json"} == {"state.json", "progress.json"}
+
+    # A later run without one of the domains keeps its tokens in the total and the time of the start.
+    rest = [d for d in domains if d.name != "books"]
+    collect(spark, rest, catalog[:1], WORDS, out, ledger, reports=reports)
+    later = json.loads((tmp_path / "reports" / "state.json").read_text())
+    assert later["start_time"] == state["start_time"] and "books" not in later["domain_progress"]
+    assert later["total_tokens"] >= sum(later["domain_progress"].values()) + rows["books"]["done_tokens"]
+    loaded = load_state_json(spark, mixture_plan(spark, rest), f"{reports}/state.json", all_domains=True)
+    assert sum(r["done_tokens"] for r in loaded.collect()) == later["total_tokens"]
+
+
 @pytest.mark.parametrize("dedup", [None, "global"])
 def test_an_entry_the_plan_does_not_have_is_reported(spark, sources, tmp_path, dedup):
     """Its source spans several slices, and it stands first and last in the catalog."""
