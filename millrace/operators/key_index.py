@@ -1,7 +1,7 @@
 """Exact duplicates across runs, by an index of text keys that grows run by run.
 
-The index has a folder per run: the 32-byte keys of the run's texts in buckets by first byte, sorted, and for each
-bucket a bitmap over a hash of the keys.  A later run looks its own distinct keys up: first
+The index has a folder per run: the 32-byte keys of the run's texts, sorted by bucket (the first byte) and key, so that
+files and row groups of other buckets are skipped by their statistics, and for each bucket a bitmap over a hash of the keys.  A later run looks its own distinct keys up: first
 in the merged bitmaps (a bit per key and a few more), then what may be there, in the buckets concerned.  Texts take no part.
 Runs that no ledger names are ignored, so one that died leaves nothing behind.
 """
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from millrace.operators.dedup import text_key
 from millrace.session import materialize
 
-BUCKETS = 256
 FILTER_BITS = 26  # log2 of the bits of a bucket's bitmap; fuller ones pass more keys on to the exact lookup
 KEYS = "scope string, key binary, bucket int"
 FILTERS = "bucket int, word long, bits long"
@@ -43,8 +42,9 @@ def _folders(path: str, part: str, runs: list[int]) -> list[str]:
 def append_keys(keys: DataFrame, path: str, run: int) -> None:
     """Writes the run's distinct ``(scope, key)`` rows and their bitmaps; replaces what an earlier attempt wrote."""
     placed = materialize(_placed(keys.select("scope", "key").distinct()), "run-keys")
-    dealt = placed.select("scope", "key", "bucket").repartition("bucket").sortWithinPartitions("bucket", "key")
-    dealt.write.mode("overwrite").partitionBy("bucket").parquet(_folders(path, "keys", [run])[0])
+    order = ["bucket", "key"]
+    dealt = placed.select("scope", "key", "bucket").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.write.mode("overwrite").parquet(_folders(path, "keys", [run])[0])
     bits = placed.groupBy("bucket", "word").agg(F.bit_or("bit").alias("bits"))
     bits.write.mode("overwrite").parquet(_folders(path, "filters", [run])[0])
 
@@ -72,14 +72,8 @@ def seen(keys: DataFrame, path: str, runs: list[int]) -> DataFrame:
 
 
 def _index(spark: SparkSession, path: str, runs: list[int], buckets: list[int]) -> DataFrame:
-    """The keys of the buckets; folders of others are not read."""
-    parts = [
-        spark.read.schema(KEYS).parquet(folder).filter(F.col("bucket").isin(buckets)) for folder in _folders(path, "keys", runs)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """The keys of the buckets; row groups of others are not read."""
+    return spark.read.schema(KEYS).parquet(*_folders(path, "keys", runs)).filter(F.col("bucket").isin(buckets))
 
 
 def first_unseen(docs: DataFrame, path: str, runs: list[int], order: list[Column]) -> DataFrame:
