@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from millrace.operators.feed import BATCH, SEED, WORKERS, worker_layout
 from millrace.operators.pack import IGNORE_LABEL, PAD
+from millrace.session import materialize
 from millrace.sources.paths import open_fs, shared
 from millrace.sources.shards import shard_catalog
 from millrace.sources.tokshard import (
@@ -101,7 +102,7 @@ def read_feed(
     the same without its first, with -100 in place of ``ignore_id``.  A partition has consecutive batches of one worker, in order.
     """
     prefix, magic = options.get("prefix", PREFIX), magic_bytes(options)
-    catalog = shard_catalog(spark, path, prefix)
+    catalog = materialize(shard_catalog(spark, path, prefix), "catalog")  # small files, read several times below
     lengths = catalog.agg(F.min("seq_length"), F.max("seq_length")).first()
     if lengths[0] != lengths[1]:
         raise ValueError(f"{path} has sequences of {lengths[0]} and of {lengths[1]} ids")
@@ -110,7 +111,7 @@ def read_feed(
     layout = worker_layout(catalog.select("shard_id", "num_sequences"), world, workers, batch, seed)
     if ranks is not None:
         layout = layout.filter(F.col("rank").isin([int(r) for r in ranks]))
-    listed = layout.join(catalog.select("shard_id", "shard"), "shard_id")
+    listed = materialize(layout.join(catalog.select("shard_id", "shard"), "shard_id"), "layout")
     rows, tasks = segments(listed, batch, per_task)
     root = shared(spark, path)
 
