@@ -46,9 +46,11 @@ def corpus(seed):
     return docs, items
 
 
-@pytest.mark.parametrize("block_chars", [1 << 20, 400])
-def test_against_all_pairs(spark, docs_of, monkeypatch, block_chars):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", block_chars)
+@pytest.mark.parametrize("reach", [3, 1])
+def test_against_all_pairs(spark, docs_of, monkeypatch, reach):
+    """Whole texts as one segment each, and texts of several segments, of 240 words with an overlap of 60."""
+    monkeypatch.setattr(decontaminate, "SEGMENT_WORDS", 1024 if reach == 3 else 100)
+    monkeypatch.setattr(decontaminate, "REACH", reach)
     docs, items = corpus(1)
     found = contaminated(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {}
@@ -111,3 +113,23 @@ def test_a_frequent_edited_copy_is_found(spark, docs_of):
     want = plain_score(item, words_of(docs[0][1])) / (MATCH * len(item))
     assert want > 0.5 and sorted(r["doc_id"] for r in found) == list(range(200))
     assert {r["score"] for r in found} == {want}
+
+
+def test_long_runs_and_rare_seeds(spark, docs_of, tmp_path):
+    """25 of an item's 59 words are reported; 15 are not.  Seeds are the rarer half; the documents are read once."""
+    item = [f"q{k}" for k in range(59)]
+    docs = docs_of([(1, " ".join(["a"] * 40 + item[10:35] + ["b"] * 40)), (2, " ".join(["a"] * 40 + item[10:25] + ["b"] * 40))])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert [(r["doc_id"], r["n_matches"], r["start_word"], r["end_word"]) for r in found.collect()] == [(1, 25, 40, 65)]
+    assert not any("documents.parquet" in f for f in found.inputFiles())
+
+
+def test_seeds_are_the_rarer_half(spark):
+    items = spark.createDataFrame([(1, [10, 11, 12, 99]), (2, [10]), (3, [99])], "item long, grams array<long>")
+    segments = spark.createDataFrame([(k, [10] + [11] * (k < 5) + [12] * (k < 2)) for k in range(9)], "segment long, grams array<long>")
+    ranked = decontaminate._ranked(items, segments).collect()
+    assert {(r["item"], r["gram"]): r["seed"] for r in ranked} == {(1, 10): False, (1, 11): True, (1, 12): True, (2, 10): True}
+    pairs = decontaminate._pairs(segments, decontaminate._ranked(items, segments)).collect()
+    assert sorted(tuple(r) for r in pairs) == sorted((k, i) for k in range(9) for i in (1, 2))
