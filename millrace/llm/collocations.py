@@ -52,9 +52,12 @@ KIND[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 class Bitmap:
     """A set of 64-bit keys by their leading bits."""
 
-    def __init__(self, keys: DataFrame):
-        """``keys`` has the column ``key``; the driver gets one row per 64 bits at most."""
-        size = min(BITMAP_BITS, max(10, keys.count().bit_length() + 4))
+    def __init__(self, keys: DataFrame, spare: int = 4):
+        """``keys`` has the column ``key``; the driver gets one row per 64 bits at most.
+
+        Up to the greatest size, one in 2 ** ``spare`` other keys at most passes by chance.
+        """
+        size = min(BITMAP_BITS, max(10, keys.count().bit_length() + spare))
         place = F.shiftrightunsigned("key", 64 - size)
         bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))")
         words = (

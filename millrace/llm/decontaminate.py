@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 REACH = 1 + MATCH // -GAP  # no alignment spans more than so many times the item's words
 SEGMENT_WORDS = 1024  # of a document at a time, more where items are long
 SALTS = 8
+SPARE_BITS = 10  # of the bitmaps of words and n-grams
 ALIGNED_CELLS = 1 << 20
 REMEMBERED = 20_000
 REMEMBERED_WORDS = 500_000
@@ -54,19 +56,20 @@ class WordHashes(dict):
 
     def __init__(self, known: Bitmap | None = None):
         super().__init__()
-        self.known = known
+        self.bits = None if known is None else known.words.astype("<u8").tobytes()  # a lookup of one word is faster here
+        self.shift = 0 if known is None else int(known.shift)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
         key = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") or 1
-        if self.known is not None and not self.known.has(np.array([key], np.uint64))[0]:
+        place = key >> self.shift
+        if self.bits is not None and not self.bits[place >> 3] >> (place & 7) & 1:
             key = 0
         self[word] = key
         return key
 
-    def of(self, text: str) -> np.ndarray:
-        words = words_of(text)
+    def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
@@ -88,7 +91,7 @@ def _hash_items():
     hashes = WordHashes()
 
     def hashed(part: pa.RecordBatch) -> dict:
-        words = [hashes.of(t) for t in part.column("text").to_pylist()]
+        words = [hashes.of(words_of(t)) for t in part.column("text").to_pylist()]
         return {
             "item_id": part.column("doc_id"), "words": [_signed(w) for w in words],
             "grams": [_signed(np.unique(gram_hashes(w, min(SEED_WORDS, len(w)) or 1))) for w in words],
@@ -105,14 +108,29 @@ def _cut_documents(words: Bitmap, grams: Bitmap, lengths: list[int], longest: in
 
     def cut(part: pa.RecordBatch) -> dict:
         out = {c.split()[0]: [] for c in SEGMENTS.split(", ")}
-        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-            whole = hashes.of(text)
+        found = [words_of(t) for t in part.column("text").to_pylist()]
+        bounds = np.cumsum([0, *map(len, found)])
+        flat = hashes.of(list(chain.from_iterable(found)))
+        held, at, size_of = [], [], []
+        for n in lengths:
+            keys, places = known_grams(flat, n)
+            hit = np.flatnonzero(grams.has(keys))
+            hit = hit[places[hit] + n <= bounds[np.searchsorted(bounds, places[hit], "right")]]  # within one text
+            held.append(keys[hit])
+            at.append(places[hit])
+            size_of.append(np.full(len(hit), n))
+        held, at, size_of = np.concatenate(held), np.concatenate(at), np.concatenate(size_of)
+        order = np.argsort(at, kind="stable")
+        held, at, size_of = held[order], at[order], size_of[order]
+        doc_ids, cuts = part.column("doc_id"), np.searchsorted(at, bounds)
+        for doc in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[doc], cuts[doc + 1]
+            whole, place = flat[bounds[doc]:bounds[doc + 1]], at[a:b] - bounds[doc]
             for first in range(0, max(len(whole) - overlap, 1), size - overlap):
-                own = whole[first:first + size]
-                held = np.unique(np.concatenate([known_grams(own, n)[0] for n in lengths]))
-                held = held[grams.has(held)]
-                if len(held):
-                    for name, value in zip(out, (doc_id, first, _signed(own), _signed(held)), strict=True):
+                own = np.unique(held[a:b][(place >= first) & (place + size_of[a:b] <= first + size)])
+                if len(own):
+                    row = (doc_ids[doc].as_py(), first, _signed(whole[first:first + size]), _signed(own))
+                    for name, value in zip(out, row, strict=True):
                         out[name].append(value)
         return out
 
@@ -274,7 +292,7 @@ def contaminated(
     sizes = items.agg(F.max(F.size("words")).alias("longest"), F.collect_set(F.least(F.size("words"), F.lit(SEED_WORDS))).alias("n")).first()
     if not sizes["longest"]:
         return spark.createDataFrame([], FOUND)
-    known = [Bitmap(items.select(F.explode(c).alias("key")).distinct()) for c in ("words", "grams")]
+    known = [Bitmap(items.select(F.explode(c).alias("key")).distinct(), SPARE_BITS) for c in ("words", "grams")]
     cut = map_texts(id_text(docs, id_col, text_col), _cut_documents(*known, sorted(sizes["n"]), sizes["longest"]), SEGMENTS)
     segments = materialize(cut.withColumn("segment", F.monotonically_increasing_id()), "segments")
     ranked = materialize(_ranked(items, segments), "ranked-grams")
