@@ -132,7 +132,8 @@ def _pack_groups(dealt: DataFrame, capacity: int, first_group: int) -> DataFrame
 
 
 def _deal(rows: DataFrame, n_groups: int, seed: int) -> DataFrame:
-    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed))
+    """Deals stored rows by their keys and their place in the stored table, which tells equal rows apart."""
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(seed))
     return rows.withColumn("_group", F.pmod(place, F.lit(n_groups)).cast("int"))
 
 
@@ -160,8 +161,8 @@ def pack(
     """Adds ``sequence_id`` and ``offset`` to pieces no longer than ``capacity``.
 
     ``cut`` is read more than once, so it should be a stored table.  No group
-    holds much more than ``group_pieces`` rows, whatever the key distribution,
-    since rows are dealt by a hash of all their keys.
+    holds much more than ``group_pieces`` rows, whatever the keys: rows without id and with
+    equal texts are dealt apart as well.
     """
     whole = cut.filter(F.col("length") == capacity).withColumns({
         "sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"),
