@@ -76,7 +76,8 @@ def write_id_archive(
     """Writes the ids of every whole text, then ``end_id``, in ascending order of id.
 
     Null text is empty text and gives the end id alone; a null id sorts first;
-    rows that share an id follow each other ordered by text.  An empty table
+    rows that share an id follow each other ordered by a hash of their text, and however many
+    share one, or the text as well, they are dealt to several parts.  An empty table
     gives an archive without parts.
     """
     spark = docs.sparkSession
@@ -90,8 +91,9 @@ def write_id_archive(
         out.write(dictionary)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     write = _part_writer(folder, tokenizer_path, end_id, dictionary)
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, PARTS).write.parquet(f"{folder}/parts")
+    keyed = docs.withColumns({"_hash": F.xxhash64("text"), "_place": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, "doc_id", "_hash", "_place").sortWithinPartitions("doc_id", "_hash", "text")
+    ordered.drop("_hash", "_place").mapInArrow(write, PARTS).write.parquet(f"{folder}/parts")
 
 
 def _part_writer(folder: str, tokenizer_path: str, end_id: int, dictionary: bytes):
@@ -157,12 +159,28 @@ def _dictionary(system, root: str, digest: str) -> bytes:
     return dictionary
 
 
+def _entry(f, row: int) -> tuple[str, dict[str, int]]:
+    """Dictionary hash and one row of an index file, by a small read of its header and one of each column."""
+    raw = f.read_at(48, 0)
+    if raw[:8] != LAYOUT:
+        raise ValueError("not an index of token ids")
+    n, at, entry = int.from_bytes(raw[40:48], "little"), 48, {}
+    if not 0 <= row < n:
+        raise IndexError(f"row {row} of an index of {n}")
+    for field, kind in FIELDS:
+        width = np.dtype(kind).itemsize
+        entry[field] = int(np.frombuffer(f.read_at(width, at + row * width), kind)[0])
+        at += n * width
+    return raw[8:40].hex(), entry
+
+
 def read_document(folder: str, name: str, row: int) -> np.ndarray:
-    """Ids of one document of a part, by its place in the index: one small read."""
+    """Ids of one document of a part, by its place in the index: small reads only, however large the part."""
     system, root = open_fs(folder)
-    digest, index = read_index(system, f"{root}/{name}.zidx")
+    with system.open_input_file(f"{root}/{name}.zidx") as f:
+        digest, entry = _entry(f, row)
     with system.open_input_file(f"{root}/{name}.zids") as f:
-        frame = f.read_at(int(index["size"][row]), int(index["offset"][row]))
+        frame = f.read_at(entry["size"], entry["offset"])
     return np.frombuffer(_codec(_dictionary(system, root, digest))[1].decompress(frame), "<u4")
 
 

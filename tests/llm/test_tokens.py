@@ -18,7 +18,7 @@ from millrace.llm.byte_ids import byte_ids
 from millrace.llm.common import NOT_PLAIN
 from millrace.llm.hashtable import HashTable
 from millrace.llm.id_archive import read_document, read_id_archive, write_id_archive
-from millrace.llm.packing import Report, best_fit_decreasing, lower_bound, pack, pieces
+from millrace.llm.packing import Report, _deal, best_fit_decreasing, lower_bound, pack, pieces
 from millrace.llm.token_counts import counter, token_counts
 from millrace.session import materialize, scratch_path
 
@@ -116,6 +116,34 @@ def test_one_document_is_read_alone(spark, docs_of, libraries):
     assert read_document(folder, first["name"], 5).tolist() == [*ids_of(libraries[1], texts[5]), 0]
 
 
+def test_rows_without_id_and_with_equal_text_are_dealt_to_several_parts(spark, docs_of, libraries):
+    rows = [(None, "one text that many rows share")] * 3000 + [(k, f"text {k}") for k in range(3000)] + [(-5, "low")]
+    docs = materialize(docs_of(rows).repartition(6), "docs")
+    folder = scratch_path(spark, "ids")
+    write_id_archive(docs, folder, BYTES, end_id=0, parts=6)
+    sizes = sorted(p["n_docs"] for p in spark.read.parquet(f"{folder}/parts").collect())
+    assert len(sizes) == 6 and sizes[-1] < 2 * sizes[3]
+    got = [r["doc_id"] for r in read_id_archive(spark, folder).orderBy("start").collect()]
+    assert got == [None] * 3000 + [-5, *range(3000)]
+
+
+def test_a_document_outside_its_part(spark, docs_of):
+    folder = scratch_path(spark, "ids")
+    write_id_archive(docs_of([(1, "a"), (2, "b")]), folder, BYTES, parts=1)
+    name = spark.read.parquet(f"{folder}/parts").first()["name"]
+    with pytest.raises(IndexError):
+        read_document(folder, name, 2)
+
+
+def test_equal_pieces_are_dealt_to_several_groups(spark):
+    rows = [(None, 0, 0, 7, 1)] * 4000 + [(k, 0, 0, 7, k) for k in range(2000)]
+    cut = materialize(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), "cut")
+    sizes = sorted(r["count"] for r in _deal(cut, 6, 0).groupBy("_group").count().collect())
+    assert len(sizes) == 6 and sizes[-1] < 2 * sizes[3]
+    placed = pack(cut, capacity=20, group_pieces=1000)
+    assert placed.count() == 6000 and placed.groupBy("sequence_id").agg(F.sum("length").alias("f")).filter("f > 20").count() == 0
+
+
 def test_pieces_and_sequences(odd_docs, libraries):
     cut = materialize(pieces(odd_docs, BYTES, capacity=16), "pieces")
     placed = pack(cut, capacity=16, group_pieces=500).collect()
