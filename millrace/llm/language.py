@@ -11,6 +11,7 @@ transitions know code-switched text.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -28,6 +29,7 @@ PER_LANGUAGE = 250  # texts of a language the model is fitted on
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 SPAN = 30  # words of a training span
+SPANS = 10  # training spans of a text at most, at hashed places all over it
 SEQUENCES = 3000
 PASSES = 3
 REMEMBERED = 200_000
@@ -157,6 +159,15 @@ def _lexicon(texts: list[tuple[str, int]], n: int) -> dict[str, int]:
     return out
 
 
+def _span_places(text: str, n_words: int) -> list[int]:
+    """Where the training spans of a text begin: every ``SPAN`` words, or ``SPANS`` of those places by a hash of the text."""
+    places = np.arange(0, n_words, SPAN)
+    if len(places) > SPANS:
+        random = np.random.Generator(np.random.PCG64(zlib.crc32(text.encode())))
+        places = np.sort(random.choice(places, SPANS, replace=False))
+    return places.tolist()
+
+
 def fit(rows: list[tuple[str, str]], seed: int = 1) -> LanguageModel:
     """Fits a model on ``(text, language)`` pairs; half give the lexicon, half the weights."""
     languages = sorted({lang for _, lang in rows}) or [UNKNOWN]
@@ -169,7 +180,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 1) -> LanguageModel:
     spans: dict[int, list[list[str]]] = defaultdict(list)
     for text, label in labelled[1::2] or labelled:
         words = [w for w in WORD.findall(text.lower()) if any(map(str.isalpha, w))]
-        spans[label] += [words[k:k + SPAN] for k in range(0, min(len(words), 10 * SPAN), SPAN)]
+        spans[label] += [words[k:k + SPAN] for k in _span_places(text, len(words))]
     spans = {k: v for k, v in spans.items() if v}
     if n < 2 or not spans:
         return model
