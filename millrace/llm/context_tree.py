@@ -34,6 +34,7 @@ from millrace.session import materialize, scratch_path
 from millrace.sources.paths import open_fs, qualified
 
 DEPTH = 5
+DEEPEST = 6  # a node's context bytes and its decision bits share 63 bits
 HEAD_GRAMS = 1 << 20  # frequent symbols in context whose code lengths are sent to tasks; the others are joined
 HEAD_WORDS = 1 << 19  # frequent words whose counts are sent to tasks; the others are joined
 MERGED = 1 << 20
@@ -273,8 +274,6 @@ def code_lengths(grams: DataFrame, depth: int, least: int = 1) -> DataFrame:
     Their roots, the decisions of at most 2**16 contexts with up to 255 each, are joined on the driver
     into the top of the tree; with the mixture there, each task goes down its subtrees again.
     """
-    if depth < TOP:
-        raise ValueError(f"the depth is {TOP} at least")
     by_context = grams.select("key", "learned", "n").repartition(F.shiftright("key", 8).bitwiseAND(_context(TOP)))
     roots = by_context.mapInArrow(_summaries(depth), SUMMARY).toArrow()
     codes, n0, n1, weighted = (roots.column(c).to_numpy() for c in ("code", "n0", "n1", "weighted"))
@@ -400,6 +399,8 @@ def score_texts(
     symbol.  Null and empty texts are the end alone.  Without training texts every bit
     costs one bit, and every word 0.
     """
+    if not TOP <= depth <= DEEPEST:
+        raise ValueError(f"the depth is from {TOP} to {DEEPEST}")
     spark: SparkSession = docs.sparkSession
     may = F.coalesce("_may", F.lit(False)).alias("_may")
     rows = docs.withColumn("_may", may_learn).select(

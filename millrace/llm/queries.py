@@ -128,7 +128,7 @@ def op7_line_quality(spark, sf_dir):
 def op8_context_tree(spark, sf_dir):
     held = held_out("doc_id", 7, 2)
     scored = score_texts(documents(spark, sf_dir), ~held)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), *scored.columns[1:])
 
 
 # CRC-32 byte by byte through its table of 256 entries, which follows from the polynomial bit by bit.

@@ -178,3 +178,9 @@ def test_default_keeps_contexts_seen_once(docs_of):
     got = {r["doc_id"]: r["bits_per_byte"] for r in score_texts(docs_of([*rows, (9, rare)]), F.col("doc_id") < 9).collect()}
     cut = score_texts(docs_of([*rows, (9, rare)]), F.col("doc_id") < 9, support=1 << 19)
     assert got[9] < 0.9 * {r["doc_id"]: r["bits_per_byte"] for r in cut.collect()}[9]
+
+
+@pytest.mark.parametrize("depth", [1, 7])
+def test_depths_that_do_not_fit_a_key_are_refused(docs_of, depth):
+    with pytest.raises(ValueError, match="depth"):
+        score_texts(docs_of([(1, "a b")]), F.lit(True), depth)

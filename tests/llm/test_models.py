@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -86,6 +87,14 @@ def test_language_held_out(docs_of, odd_docs, no_docs):
         assert by_id[k]["lang_pred"] == model.languages[share.argmax()] and by_id[k]["score"] == pytest.approx(share.max())
 
 
+def test_training_spans_lie_all_over_a_text():
+    short, long = "a" * 50, "b" * 50
+    assert language._span_places(short, 290) == list(range(0, 290, 30)) and language._span_places(short, 0) == []
+    places = language._span_places(long, 100_000)
+    assert len(places) == 10 == len(set(places)) and places == language._span_places(long, 100_000)
+    assert all(p % 30 == 0 for p in places) and max(places) > 50_000
+
+
 def test_code_switched_words_get_their_own_labels(docs_of):
     _, docs = labelled_texts(docs_of)
     model = language.fit_languages(docs, F.lit(True), per_language=100)
@@ -161,6 +170,49 @@ def test_network_gradient(monkeypatch):
             assert own[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-7), name
 
 
+def plain_toxicity(model, text):
+    """The network's score of one text, unit by unit."""
+    w, h = model.weights, toxicity.HIDDEN
+    words = re.findall(r"\w+", text.lower())
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def inputs(word):
+        (whole,), grams, (count,) = toxicity.word_keys([word])
+        chars = [sum(w["chars"][g][j] for g in grams) / max(count, 1) for j in range(toxicity.CHAR_SIZE)]
+        x = [*w["words"][whole], *chars]
+        return [sum(x[i] * w["project"][i][j] for i in range(len(x))) + w["bias"][j] for j in range(6 * h)]
+
+    def states(rows, recurrent):
+        state, out = [0.0] * h, []
+        for x in rows:
+            back = [sum(state[i] * recurrent[i][j] for i in range(h)) for j in range(3 * h)]
+            reset = [sig(x[j] + back[j]) for j in range(h)]
+            update = [sig(x[h + j] + back[h + j]) for j in range(h)]
+            fresh = [math.tanh(x[2 * h + j] + reset[j] * back[2 * h + j]) for j in range(h)]
+            state = [(1 - update[j]) * fresh[j] + update[j] * state[j] for j in range(h)]
+            out.append(state)
+        return out
+
+    logits = []
+    for a in range(0, max(len(words) - toxicity.WINDOW + toxicity.STRIDE, 1), toxicity.STRIDE):
+        rows = [inputs(word) for word in words[a:a + toxicity.WINDOW]]
+        ahead = states([x[:3 * h] for x in rows], w["ahead"])
+        back = states([x[3 * h:] for x in rows[::-1]], w["back"])[::-1]
+        both = [[*f, *b] for f, b in zip(ahead, back, strict=True)]
+        looks = [math.exp(sum(s[j] * w["look"][j] for j in range(2 * h))) for s in both]
+        pooled = [sum(k * s[j] for k, s in zip(looks, both, strict=True)) / sum(looks) for j in range(2 * h)]
+        logits.append(sum(pooled[j] * w["out"][j] for j in range(2 * h)) + w["out_bias"][0])
+    return sig(math.log(sum(math.exp(x) for x in logits)) + model.correction)
+
+
+def test_toxicity_against_a_plain_network():
+    r = random.Random(6)
+    rows = [(prose(r, "abcdef", r.randrange(3, 60)) + (" zorgab" if k % 2 else ""), k % 2) for k in range(60)]
+    model = toxicity.fit(rows, 0.2)
+    texts = [rows[1][0], "one", "İstanbul ΣΑΣ 漢字 x", *(prose(r, "abcdefz", n) for n in (31, 32, 33, 47, 48, 49, 130))]
+    assert model.scores(texts) == pytest.approx([plain_toxicity(model, t) for t in texts], rel=1e-3, abs=1e-5)
+
+
 def test_toxicity_held_out(docs_of, odd_docs, no_docs):
     r = random.Random(2)
     rows = []
@@ -226,6 +278,46 @@ def test_line_quality(docs_of, odd_docs, no_docs):
     assert line_quality.judge(no_docs, model).count() == 0
 
 
+def page_lines(r, label, n):
+    if label:
+        return [" | ".join(prose(r, "abc", 1) for _ in range(r.randrange(3, 9))) for _ in range(n)]
+    return [prose(r, "abcdefghij", r.randrange(5, 25)).capitalize() + "." for _ in range(n)]
+
+
+def test_lines_of_mixed_pages():
+    """Fitted on texts of one label each, tested on pages where the label changes."""
+    r = random.Random(8)
+    notice = "All rights reserved by the maker."
+    rows = []
+    for k in range(160):
+        lines = page_lines(r, k % 2, r.randrange(1, 9)) + ([notice] if k % 8 == 0 else [])
+        rows.append(("\n".join(lines).encode(), 1 - k % 2))
+    model = line_quality.fit(rows)
+    assert model.notices == {notice.encode()}
+    pages, want = [], []
+    for _ in range(100):
+        parts = [(label, page_lines(r, label, r.randrange(1, 6))) for label in r.choice([(0, 1), (1, 0), (0, 1, 0), (1, 0, 1)])]
+        pages.append("\n\n".join("\n".join(lines) for _, lines in parts).encode() + b"\n" + notice.encode())
+        want += [label for label, lines in parts for _ in lines] + [1]
+    _, lines = line_quality.measure(pages, model.notices)
+    got, want = model.labels(lines, len(pages)), np.array(want)
+    assert all((got[want == y] == y).mean() >= 0.95 for y in (0, 1))
+
+
+def test_spliced_labels():
+    rows = [(b"one two\n \nthree\none two", 1), (b"junk | a\njunk | b", 0), (b"note\nx", 1), (b"note\ny", 1), (b"note", 1)]
+    notices = line_quality.repeated_lines(rows)
+    assert notices == {b"note"}
+    labelled = line_quality.line_labels(rows, notices)
+    assert [labels.tolist() for _, labels in labelled] == [[0, 0, 1], [1, 1], [1, 0], [1, 0], [1]]
+    right = {line: y for lines, labels in labelled for line, y in zip(lines, labels.tolist(), strict=True)} | {b"one two": 0}
+    for lines, labels in line_quality.splice(labelled, 50, 1):
+        first = {line: k for k, line in reversed(list(enumerate(lines)))}
+        for k, (line, label) in enumerate(zip(lines, labels.tolist(), strict=True)):
+            assert label == 1 if first[line] < k else label in ((right[line],) if line != b"one two" else (0, 1))
+    assert line_quality.splice(labelled[:1], 5, 1) != [] and line_quality.splice(line_quality.line_labels(rows[1:2], notices), 5, 1) == []
+
+
 @pytest.mark.parametrize("text", ["", "\n\n", "a b c a b c", "x\n x\nx\n \n", "é ü ß | # \x0b\x0c\r\t", "a a a a", "\u0085 b"])
 def test_counts_of_odd_texts(text):
     counts, _ = line_quality.measure(["q".encode(), text.encode(), b""])
