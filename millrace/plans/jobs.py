@@ -27,6 +27,7 @@ from millrace.sources.corpora import (
     read_line_docs,
     write_line_docs,
 )
+from millrace.sources.file_index import FileIndex, file_index
 from millrace.sources.paths import open_fs, replace_file, shared
 from millrace.sources.shards import write_shards
 
@@ -45,6 +46,7 @@ def collect(
     slice_width: int = SLICE_WIDTH,
     key_index: str | None = None,
     reports: str | None = None,
+    skip_broken: bool = False,
 ) -> DataFrame:
     """Reads, cleans, counts and cuts the corpora, and writes the kept documents as lines.
 
@@ -59,7 +61,10 @@ def collect(
 
     A domain that fails, when it is opened or anywhere later, is reported in the returned
     status table and the others go on.  So is a catalog entry of a domain that the plan does not have
-    (``unplanned``); nothing of it is read.  ``reports`` names a folder for ``state.json`` and ``progress.json``, which
+    (``unplanned``); nothing of it is read.  With ``skip_broken``, Parquet files that cannot be read do not fail
+    their domain but are left out and reported (``broken_file``).  Always reported is the number of records without a place in the order, which malformed ones
+    are as well (``bad_records``).  Both add to the ledger's skipped documents, as far as their number is
+    known, once.  ``reports`` names a folder for ``state.json`` and ``progress.json``, which
     are replaced at the start, after every domain, failed ones included, and at the end.
     """
     began = _began(spark, reports) if reports else None
@@ -74,7 +79,7 @@ def collect(
     planned = sorted((c for c in catalog if c.domain in order), key=lambda c: order.index(c.domain))
     report(event="start")
     if dedup:
-        result = _collect_distinct(spark, plan, planned, tokenizer, out, ledger_path, target, dedup, status, key_index)
+        result = _collect_distinct(spark, plan, planned, tokenizer, out, ledger_path, target, dedup, status, key_index, skip_broken)
         report(event="end")
         return result
     for corpus in planned:
@@ -84,9 +89,12 @@ def collect(
             continue
         own = plan.filter(F.col("domain") == corpus.domain)
         try:
-            raw = skip_ingested(open_corpus(spark, corpus), state)
-            docs = read_until_full(raw, own, state, tokenizer, slice_width)
-            _commit(docs, own, state, target, out, ledger_path, run)
+            files = file_index(spark, corpus, skip_broken)
+            raw = None if files else open_corpus(spark, corpus)
+            faults = []
+            docs = read_until_full(raw, own, state, tokenizer, slice_width, files, faults)
+            _commit(docs, own, state, target, out, ledger_path, run, faults=faults)
+            status += _fault_rows(corpus.domain, faults)
             status.append((corpus.domain, "ok", None))
         except FAILURES as e:
             status.append((corpus.domain, "failed", str(e)))
@@ -129,7 +137,34 @@ def _standing(spark, plan, ledger_path):
     return state, run, {r["domain"] for r in done.collect()}
 
 
-def _commit(docs, plan, state, target, out, ledger_path, run, key_index=None) -> None:
+def _fault_rows(domain, faults):
+    """Status rows of what :func:`read_until_full` left out."""
+    rows = []
+    for path, error, lost, _ in faults:
+        if path is None:
+            rows.append((domain, "bad_records", f"{lost} {error}"))
+        else:
+            known = "" if lost is None else f" ({lost} documents lost)"
+            rows.append((domain, "broken_file", f"{path}: {error}{known}"))
+    return rows
+
+
+def _resume_seq(state, plan) -> int:
+    """The last place of the plan's one domain that is ingested, or -1."""
+    known = state.join(plan.select("domain"), "domain", "left_semi").agg(F.max("resume_seq")).first()[0]
+    return -1 if known is None else known
+
+
+def _lost(faults, scanned, before) -> int:
+    """Documents known to be lost by faults between the last run's position and this one's; those without place come first."""
+    last = scanned.agg(F.max("doc_seq")).first()[0]
+    if last is None:
+        return 0
+    places = [(n, -1 if path is None else low) for path, _, n, low in faults if n is not None]
+    return sum(n for n, low in places if (before < low <= last) or (low == before == -1))
+
+
+def _commit(docs, plan, state, target, out, ledger_path, run, key_index=None, faults=()) -> None:
     """Cuts measured documents to the budgets of ``plan``, writes them, their keys, and their ledger rows last."""
     narrow = docs.select("domain", "doc_seq", "survivor", "n_tokens")
     cuts = quota_cuts(narrow, plan, target, state)
@@ -137,10 +172,11 @@ def _commit(docs, plan, state, target, out, ledger_path, run, key_index=None) ->
     write_line_docs(scanned.filter("n_tokens > 0"), run_folder(out, run), mode="overwrite", ordered=True)
     if key_index:
         append_keys(scanned.filter("survivor"), key_index, run)
-    append_ledger(_ledger_rows(scanned, time.time()), ledger_path, run)
+    lost = _lost(faults, scanned, _resume_seq(state, plan)) if faults else 0
+    append_ledger(_ledger_rows(scanned, time.time(), lost), ledger_path, run)
 
 
-def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup, status, key_index):
+def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target, dedup, status, key_index, skip_broken):
     state, run, complete = _standing(spark, plan, ledger_path)
     counted = []
     for corpus in catalog:
@@ -148,8 +184,14 @@ def _collect_distinct(spark, plan, catalog, tokenizer, out, ledger_path, target,
             status.append((corpus.domain, "complete", None))
             continue
         try:
-            raw = skip_ingested(open_corpus(spark, corpus), state)
-            counted.append(materialize(measure(raw, tokenizer, keep_text=True), "counted"))
+            files = file_index(spark, corpus, skip_broken)
+            if files:
+                after = _resume_seq(state, plan.filter(F.col("domain") == corpus.domain))
+                counted.append(files.stored(lambda docs: measure(docs, tokenizer, keep_text=True), "counted", after + 1))
+                status += _fault_rows(corpus.domain, files.faults)
+            else:
+                raw = skip_ingested(open_corpus(spark, corpus), state)
+                counted.append(materialize(measure(raw, tokenizer, keep_text=True), "counted"))
             status.append((corpus.domain, "ok", None))
         except FAILURES as e:
             status.append((corpus.domain, "failed", str(e)))
@@ -181,42 +223,64 @@ def committed_runs(spark: SparkSession, out: str, ledger_path: str) -> list[str]
 
 
 def read_until_full(
-    raw: DataFrame, plan: DataFrame, state: DataFrame, tokenizer, width: int = SLICE_WIDTH
+    raw: DataFrame | None, plan: DataFrame, state: DataFrame, tokenizer, width: int = SLICE_WIDTH,
+    files: FileIndex | None = None, faults: list | None = None,
 ) -> DataFrame:
-    """The measured beginning of a domain, long enough to hold its cut.
+    """The measured beginning of a domain, from where ``state`` stands, long enough to hold its cut.
 
     Slices of consecutive ``doc_seq`` values are read until the budget's cut lies
     within what was read or the domain ends, so a corpus far larger than its
     budget is not read whole.  Slices grow with the number of tokens that are
     missing.  Documents after the cut cannot be part of the result, so nothing is
-    lost.  ``plan`` has the domain's one row.
+    lost.  ``plan`` has the domain's one row.  With ``files`` in place of ``raw``, a slice opens the files
+    whose range meets it and no others.  ``faults`` gets what could not be read, as
+    :class:`FileIndex` has it, and a row with neither path nor place for records that have no place.
     """
-    low, top = raw.agg(F.min("doc_seq"), F.max("doc_seq")).first()
-    if low is None:
-        return measure(raw, tokenizer, keep_text=True)
+    after = _resume_seq(state, plan)
+
+    def counted(docs):
+        return measure(docs, tokenizer, keep_text=True)
+
+    if files:
+        (low, top), unplaced = files.bounds(after), files.unplaced
+    else:
+        place = F.col("doc_seq")
+        low, top, unplaced = raw.agg(
+            F.min(F.when(place > after, place)), F.max(place), F.count_if(place.isNull())
+        ).first()
+        raw = raw.filter(place > after)
     start, docs = low, None
-    while True:
-        inside = (F.col("doc_seq") >= low) & (F.col("doc_seq") < low + width)
-        part = materialize(measure(raw.filter(inside), tokenizer, keep_text=True), "counted")
+    while low is not None and low <= top:
+        if files:
+            part = files.stored(counted, "counted", low, low + width)
+        else:
+            inside = (F.col("doc_seq") >= low) & (F.col("doc_seq") < low + width)
+            part = materialize(counted(raw.filter(inside)), "counted")
         docs = part if docs is None else docs.unionByName(part)
         low += width
-        if low > top:
-            return docs
         narrow = docs.select("domain", "doc_seq", "survivor", "n_tokens")
-        cut = quota_cuts(narrow, plan, ledger=state).first()
-        if cut["need"] <= 0 or cut["cut_seq"] is not None:
-            return docs
+        cut = quota_cuts(narrow, plan, ledger=state).first() if low <= top else None
+        if cut is None or cut["need"] <= 0 or cut["cut_seq"] is not None:
+            break
         missing = cut["need"] - cut["added"]
         per_place = cut["added"] / (low - start)
         wanted = math.ceil(1.1 * missing / per_place) if per_place else 8 * width
         width = max(width, min(wanted, 8 * width))
+        if files:
+            low = files.bounds(low - 1)[0] or top + 1  # over a gap that no file's range meets
+    if faults is not None:
+        faults += files.faults if files else []
+        faults += [(None, "records without a place in the order", unplaced, None)] if unplaced else []
+    if docs is None:
+        return counted(raw.limit(0) if files is None else files.read(0, 0))
+    return docs
 
 
-def _ledger_rows(scanned, now):
+def _ledger_rows(scanned, now, lost=0):
     return scanned.groupBy("domain").agg(
         F.sum("n_tokens").alias("tokens_added"),
         F.count_if(F.col("n_tokens") > 0).alias("docs_written"),
-        F.count_if(~F.col("survivor")).alias("docs_skipped"),
+        (F.count_if(~F.col("survivor")) + lost).alias("docs_skipped"),
         F.count_if("survivor").alias("survivors"),
         F.max("doc_seq").alias("resume_seq"),
         F.lit(float(now)).alias("ts"),

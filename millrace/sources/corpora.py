@@ -37,7 +37,7 @@ def open_corpus(spark: SparkSession, corpus: Corpus, stream: bool = False) -> Da
     failure = None
     for path in corpus.paths:
         try:
-            return _project(_reader(spark, corpus, stream).load(path), corpus)
+            return project(_reader(spark, corpus, stream).load(path), corpus)
         except FAILURES as e:
             failure = e
     raise failure or ValueError(f"no path given for {corpus.domain}")
@@ -51,7 +51,7 @@ def _reader(spark, corpus, stream):
     return reader.schema(corpus.schema) if corpus.schema else reader
 
 
-def _project(df, corpus):
+def project(df, corpus):
     """A missing text field reads as null, and such rows fall to the length filter."""
     domain = F.expr(corpus.domain) if corpus.domain_is_expr else F.lit(corpus.domain)
     text = F.col(corpus.field) if corpus.field in df.columns else F.lit(None)
