@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions.tokenizers import WordTokenizer
 from millrace.operators.clean import clean, measure
 from millrace.operators.quota import apply_quota
+from millrace.plans import streams
+from millrace.plans.registry import QUERIES
 from millrace.plans.streams import landed
+from millrace.session import scratch_path
 from millrace.sources.corpora import Corpus
 from millrace.streaming import quota as stream_quota
 from millrace.streaming.ingest import (
@@ -157,3 +160,32 @@ def test_silent_source_is_reported(spark, tmp_path):
     finally:
         query.stop()
     assert (rows[0]["domain"], rows[0]["total_tokens"], rows[0]["last_gain"]) == ("a", 5, 1.0)
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_dedup", "stream_quota"])
+def test_no_task_lands_a_range_of_a_large_table(spark, tmp_path, monkeypatch, name):
+    """Twelve files that are read by a task each; the results are those of one small file."""
+    rows = documents(spark, 0, 240).selectExpr(
+        "doc_seq AS doc_id", "text", "'en' AS lang", "domain AS source", "length(text) AS n_chars"
+    )
+    folders = []
+
+    def named(session, what):
+        folders.append((what, scratch_path(session, what)))
+        return folders[-1][1]
+
+    monkeypatch.setattr(streams, "scratch_path", named)
+    found = []
+    for files in (12, 1):
+        sf_dir = tmp_path / str(files)
+        rows.withColumn("n_chars", F.col("n_chars").cast("long")).repartition(files).write.parquet(str(sf_dir / "documents.parquet"))
+        spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)
+        try:
+            found.append(sorted(map(tuple, QUERIES[name](spark, str(sf_dir)).collect())))
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found[0] == found[1] and found[0]
+    places = [path for what, path in folders if what == "landed"]
+    held = spark.read.parquet(places[0]).groupBy(F.input_file_name()).count()
+    assert held.agg(F.max("count")).first()[0] < 40  # of 80 rows a range
+    assert spark.read.parquet(places[0]).count() == 240
