@@ -38,7 +38,8 @@ TOP = 2_000
 SCALE = 1_000
 BITMAP_BITS = 26  # log2; 8 MB
 TEXT_SLICE = 2 << 20  # bytes of texts or runs held at a time
-RUN_SLICE = 8 << 20
+RUN_SLICE = 4 << 20
+OUT_ROWS = 1 << 16  # rows sent back at a time
 FIRST_WORDS = 2_000  # the first band of a language has about so many words at least
 WIDEN = 64  # how far the next band goes while fewer than ``top`` phrases are known
 SALTS = 64
@@ -84,11 +85,18 @@ def _mapped(df: DataFrame, function, schema: str, column: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, column, size):
                 arrays = [pa.array(a) if isinstance(a, (list, np.ndarray)) else a for a in function(part)]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target)
+                whole = pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target, strict=True)], schema=target)
+                yield from _in_pieces(whole)
 
     return df.mapInArrow(run, fields)
 
 
+def _in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, a few at a time: Spark holds each piece it gets outside its heap."""
+    for k in range(0, max(batch.num_rows, 1), OUT_ROWS):
+        yield batch.slice(k, OUT_ROWS)
+
+
 class Words:
     """The words of a batch of texts: keys that differ by language, spans, and where pieces begin."""
 

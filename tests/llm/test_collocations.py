@@ -120,3 +120,13 @@ def test_products_beyond_64_bits(spark):
 
     row = spark.range(1).select(c._score(F.lit(big), F.lit(7_000_000_000_000_000), F.lit(big), F.lit(3)).alias("s")).first()
     assert row["s"] == 1000 * 7_000_000_000_000_000 // 3
+
+
+@pytest.mark.parametrize("rows", [0, 1, c.OUT_ROWS, c.OUT_ROWS + 1, 3 * c.OUT_ROWS + 5])
+def test_rows_leave_a_task_in_small_pieces(rows):
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_pydict({"v": pa.array(range(rows), pa.int64())})
+    pieces = list(c._in_pieces(whole))
+    assert pieces and max(p.num_rows for p in pieces) <= c.OUT_ROWS
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([whole]))
