@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.common import slices, text_bytes
 from millrace.llm.wordhash import BASE, gram_hashes, hash_spans, joined, mix
-from millrace.session import materialize, small_side
+from millrace.session import materialize, small_batches, small_side
 
 LEAST = 100
 LONGEST = 5
@@ -39,6 +39,7 @@ SCALE = 1_000
 BITMAP_BITS = 26  # log2; 8 MB
 TEXT_SLICE = 2 << 20  # bytes of texts or runs held at a time
 RUN_SLICE = 4 << 20
+IN_BYTES = 15 << 18  # of rows sent to a task's function at a time: one slice of runs
 OUT_ROWS = 1 << 16  # rows sent back at a time
 FIRST_WORDS = 2_000  # the first band of a language has about so many words at least
 WIDEN = 64  # how far the next band goes while fewer than ``top`` phrases are known
@@ -361,23 +362,24 @@ def collocations(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
-    counted = word_counts(texts).filter((F.col("f") >= least) | (F.col("word") == ""))
-    stored = materialize(counted, "words")
-    words = stored.filter("word <> ''")
-    totals = stored.filter("word = ''").select("lang", F.col("f").alias("n"))
-    most = words.groupBy("lang").agg(F.max("f").alias("most"))
-    frontier = totals.join(most, "lang").withColumn("least", F.lit(least).cast("long"))
-    frontier = materialize(_next_bands(materialize(frontier, "languages"), words, None, top), "frontier")
-    runs = materialize(_runs(texts, Bitmap(words)), "runs")
-    known = words.select("lang", F.array("key").alias("part"), "f")
-    scored = None
-    while frontier.filter("low < high").count():
-        band = materialize(words.join(_per_language(frontier), "lang").filter("f >= low AND f < high"), "band")
-        grown = grow(runs, band, least, longest)
-        known = known.unionByName(grown.select("lang", F.col("words").alias("part"), F.col("a").alias("f")))
-        some = materialize(_scored(grown, known, runs, frontier, longest), "scored")
-        scored = some if scored is None else scored.unionByName(some)
-        frontier = materialize(_next_bands(frontier, words, scored, top), "frontier")
+    with small_batches(docs.sparkSession, IN_BYTES):  # all Python work ends in stored tables here
+        counted = word_counts(texts).filter((F.col("f") >= least) | (F.col("word") == ""))
+        stored = materialize(counted, "words")
+        words = stored.filter("word <> ''")
+        totals = stored.filter("word = ''").select("lang", F.col("f").alias("n"))
+        most = words.groupBy("lang").agg(F.max("f").alias("most"))
+        frontier = totals.join(most, "lang").withColumn("least", F.lit(least).cast("long"))
+        frontier = materialize(_next_bands(materialize(frontier, "languages"), words, None, top), "frontier")
+        runs = materialize(_runs(texts, Bitmap(words)), "runs")
+        known = words.select("lang", F.array("key").alias("part"), "f")
+        scored = None
+        while frontier.filter("low < high").count():
+            band = materialize(words.join(_per_language(frontier), "lang").filter("f >= low AND f < high"), "band")
+            grown = grow(runs, band, least, longest)
+            known = known.unionByName(grown.select("lang", F.col("words").alias("part"), F.col("a").alias("f")))
+            some = materialize(_scored(grown, known, runs, frontier, longest), "scored")
+            scored = some if scored is None else scored.unionByName(some)
+            frontier = materialize(_next_bands(frontier, words, scored, top), "frontier")
     if scored is None:
         schema = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
         return docs.sparkSession.createDataFrame([], schema)

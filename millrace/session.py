@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -55,6 +57,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run meanwhile send rows to Python in Arrow batches of about ``size`` bytes.
+
+    Spark holds a batch outside its heap, twice while it grows, and up to 64 MB of it by default.  A limit
+    the session names itself stays as it is.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 BROADCAST_ROWS = 100_000
 
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from millrace import session
 from millrace.llm import collocations as c
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -130,3 +131,35 @@ def test_rows_leave_a_task_in_small_pieces(rows):
     pieces = list(c._in_pieces(whole))
     assert pieces and max(p.num_rows for p in pieces) <= c.OUT_ROWS
     assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches([whole]))
+
+
+def test_rows_reach_a_task_in_small_batches(spark, monkeypatch):
+    """Texts of 5 MB in all, in few enough rows for one batch of Spark's default size."""
+    monkeypatch.setattr(c, "IN_BYTES", 1 << 20)
+    whole, limit = c.slices, c.IN_BYTES + 100_000
+
+    def slices(batch, column, size):
+        if batch.nbytes > limit:
+            raise ValueError(f"a batch of {batch.nbytes} bytes")
+        return whole(batch, column, size)
+
+    monkeypatch.setattr(c, "slices", slices)
+    r = random.Random(7)
+    rows = [(" ".join(r.choices([f"w{k}" for k in range(9)], k=8_000)), "en") for _ in range(220)]
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert c.collocations(df, 1_000, 2, 10).count() == 10
+    assert spark.conf.get(session.BATCH_BYTES, None) is None
+
+
+def test_limits_of_batches_end_and_leave_the_session_its_own(spark):
+    with pytest.raises(ValueError), session.small_batches(spark, 1000):
+        assert spark.conf.get(session.BATCH_BYTES, None) == "1000"
+        raise ValueError
+    assert spark.conf.get(session.BATCH_BYTES, None) is None
+    spark.conf.set(session.BATCH_BYTES, "1m")
+    try:
+        with session.small_batches(spark, 1000):
+            assert spark.conf.get(session.BATCH_BYTES, None) == "1m"
+        assert spark.conf.get(session.BATCH_BYTES, None) == "1m"
+    finally:
+        spark.conf.unset(session.BATCH_BYTES)
